@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_blocks, licenses, sentencepieces, simhash, transport_stream
+from . import decontamination, html_blocks, licenses, quality, sentencepieces, simhash, toxicity, transport_stream
 from .common import table
+from .training import remainder
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(docs, bench))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+    return toxicity.digest(toxicity.score(docs, model), remainder("doc_id", 3) == 1)
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -25,6 +32,12 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
+    return quality.digest(quality.score(docs, model), remainder("doc_id", 5) == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,9 +54,11 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op3_licenses": op3_licenses,
     "op4_transport_stream": op4_transport_stream,
     "op5_html_blocks": op5_html_blocks,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_sentencepieces": op8_sentencepieces,
 }
