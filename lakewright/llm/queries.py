@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_blocks, licenses, quality, sentencepieces, simhash, toxicity, transport_stream
+from . import (
+    decontamination,
+    html_blocks,
+    licenses,
+    quality,
+    repeated_bytes,
+    sentencepieces,
+    simhash,
+    toxicity,
+    transport_stream,
+)
 from .common import table
 from .training import remainder
 
@@ -52,6 +62,10 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), model_path())
 
 
+def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +75,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_sentencepieces": op8_sentencepieces,
+    "op10_repeated_bytes": op10_repeated_bytes,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
