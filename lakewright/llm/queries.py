@@ -8,6 +8,7 @@ from . import (
     decontamination,
     html_blocks,
     licenses,
+    paragraphs,
     quality,
     repeated_bytes,
     sentencepieces,
@@ -62,6 +63,10 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), model_path())
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.paragraph_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_sentencepieces": op8_sentencepieces,
+    "op9_paragraphs": op9_paragraphs,
     "op10_repeated_bytes": op10_repeated_bytes,
 }
 
