@@ -1,13 +1,52 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
-Each stage is (name, function); the function takes (spark, docs, sf_dir) and returns the next docs.
+Each stage is (name, function); the function takes (spark, docs, sf_dir) and returns the next docs. All but
+the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lakewright.llm import decontamination, paragraphs, quality, sentencepieces, simhash
+from lakewright.llm.common import table, written
+from lakewright.llm.queries import model_path
+from lakewright.llm.training import remainder
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line field accepts; it learns from the labels outside the held-out part."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.accepted(docs, quality.fit(docs, labels, remainder("doc_id", 5) != 0))
+
+
+def one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def without_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each repeated paragraph stays in one document."""
+    return paragraphs.without_repeats(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with their digests."""
+    return sentencepieces.encode(docs, model_path(), keep_ids=True).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_near_copy),
+    ("substring dedup", without_repeated_paragraphs),
+    ("benchmark decontamination", uncontaminated),
+    ("SentencePiece encoding", encoded),
+]
 
 #: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -15,9 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table documents."""
-    from lakewright.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else written(docs), sf_dir)
+        docs = stage(spark, written(docs) if k else docs, sf_dir)
     return docs

@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -129,6 +130,22 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
     return parts[0] if len(parts) == 1 else united(docs, parts)
 
 
+def clean(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of docs that hold no window of bench, with all their columns."""
+
+    def hit(block: Block):
+        @F.pandas_udf("boolean")
+        def own(text: pd.Series) -> pd.Series:
+            found = automaton(block)
+            return pd.Series([scan(t.encode() if t else b"", found)[1] is not None for t in text], dtype=bool)
+
+        return own
+
+    for block in blocks(bench, size):
+        docs = docs.where(~hit(block)("text"))
+    return docs
+
+
 def united(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """The findings of several blocks: words hit by more than one of them count once."""
     found = parts[0]

@@ -172,6 +172,33 @@ def fit(
     return m
 
 
+def scored(texts: list, m: Model) -> tuple[list[float], list[int]]:
+    """Scores and numbers of lines of some texts (bytes or None)."""
+    scores, sizes, at = [], [], 0
+    while at < len(texts):  # about 8 MB of text at a time
+        made, total = [], 0
+        while at < len(texts) and (not made or total < 8 << 20):
+            made.append(line_features(texts[at] or b""))
+            total += len(texts[at] or b"")
+            at += 1
+        own = np.array([len(b) for _, b in made])
+        logit = aggregated(np.vstack([a for a, _ in made]), own, np.concatenate([b for _, b in made]), m)
+        scores += sigmoid(np.column_stack([logit, np.ones(len(logit))]) @ m.weights).tolist()
+        sizes += own.tolist()
+    return scores, sizes
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores `threshold` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series(scored([t.encode() if t else b"" for t in text], shared.value)[0], dtype=float)
+
+    return docs.where(own("text") >= threshold)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_lines) of each row of docs (doc_id, text).
 
@@ -181,19 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(ids: list, texts: list) -> list:
-        m, scores, sizes = shared.value, [], []
-        at = 0
-        while at < len(texts):  # about 8 MB of text at a time
-            made, total = [], 0
-            while at < len(texts) and (not made or total < 8 << 20):
-                made.append(line_features(texts[at] or b""))
-                total += len(texts[at] or b"")
-                at += 1
-            own = np.array([len(b) for _, b in made])
-            logit = aggregated(np.vstack([a for a, _ in made]), own, np.concatenate([b for _, b in made]), m)
-            scores += sigmoid(np.column_stack([logit, np.ones(len(logit))]) @ m.weights).tolist()
-            sizes += own.tolist()
-        return [ids, scores, sizes]
+        return [ids, *scored(texts, shared.value)]
 
     return map_columns(
         docs, ["doc_id", "text"], run, "doc_id long, score double, n_lines long",

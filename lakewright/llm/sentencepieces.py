@@ -21,6 +21,7 @@ import re
 import string
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -224,7 +225,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
             ids_sha.append(hashlib.sha256(coded.encode()).hexdigest())
             text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             if keep_ids:
-                ids.append(list(map(int, coded.split(" "))))
+                ids.append(np.fromstring(coded, np.int32, sep=" "))
                 back.append(decoded)
         memo.settle()
         return [doc_ids, n, ids_sha, text_sha, *([ids, back] if keep_ids else [])]

@@ -197,3 +197,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     labels = classes.join(found, "fp", "left").join(named, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, the one of the smallest doc_id, with all its columns. Rows that share a
+    doc_id are one document; rows without a doc_id stay."""
+    found = near_duplicates(docs)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
