@@ -51,7 +51,7 @@ class _Silence(StatefulProcessor):
                 self.handle.deleteTimer(t)
             self.last.update((newest,))
             self.handle.registerTimer(newest + self.limit)
-        yield pd.DataFrame({self.key_name: [], "silent_since": []})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         since = self.last.get()[0]
