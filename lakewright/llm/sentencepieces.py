@@ -132,11 +132,13 @@ class Vocabulary:
         return out.decode("utf-8", "replace")
 
     def check(self, segments: list[str], ids: list[list[int]]) -> None:
-        """Compare with the library: a segment without a mark is put behind a line feed."""
-        given = [s[1:] if s[0] == MARK else "\n" + s for s in segments]
-        for s, own, theirs, back in zip(segments, ids, got := self.sp.encode(given), self.sp.decode(got), strict=True):
-            lead, text = (0 if s[0] == MARK else 2), s.replace(MARK, " ")
-            if theirs[lead:] != own or self.decode(own) != text or back[lead // 2 :] != text[1 - lead // 2 :]:
+        """Compare with the library: a segment without a mark, or of the mark alone, is put behind a line feed."""
+        alone = [s[0] == MARK and len(s) > 1 for s in segments]
+        given = [s[1:] if x else "\n" + s.replace(MARK, " ") for s, x in zip(segments, alone, strict=True)]
+        theirs = self.sp.encode(given)
+        for s, x, own, ids_, back in zip(segments, alone, ids, theirs, self.sp.decode(theirs), strict=True):
+            text = s.replace(MARK, " ")
+            if ids_[0 if x else 2 :] != own or self.decode(own) != text or back[0 if x else 1 :] != text[1 if x else 0 :]:
                 raise ValueError(f"the agenda and the library differ on {s[:80]!r}")
 
 
