@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 
+#: The column that tells catalogues apart where a table holds several.
+GRAPH = "catalog"
 #: A label's order: cost, hops, then the costs on the way back to the source, then the edges in order.
 RANK = "struct(cost, hops, reverse(costs) as back, edge_ords)"
 
@@ -33,18 +35,20 @@ def cheapest_paths(
     node, or the source's normalised form; a final-only edge may only be the last one; no node comes twice.
     Inner edges are followed in rounds from the labels that improved last; final-only edges make one join
     at the end. Rows: source, target, keys, chain, edge_ords, cost, hops. Edges and labels are hash-joined,
-    so neither is broadcast or collected; there are at most |sources| x |reachable nodes| labels.
+    so neither is broadcast or collected; there are at most |sources| x |reachable nodes| labels. Many
+    graphs run at once if nodes, sources and targets hold one of the keys too (such as catalog).
     """
     k = list(keys)
-    node = nodes.select(F.col("node"), F.coalesce("transit", F.lit(False)).alias("transit"))
-    legacy = nodes.select(F.col("node").alias("source"), "normalize_to")
+    graph = [c for c in k if c in nodes.columns]
+    node = nodes.select(*graph, F.col("node"), F.coalesce("transit", F.lit(False)).alias("transit"))
+    legacy = nodes.select(*graph, F.col("node").alias("source"), "normalize_to")
     inner = edges.where(~F.coalesce("final_only", F.lit(False))).select(*k, "src", "dst", "edge_ord", F.col("cost").alias("_c"))
     last = edges.where(F.coalesce("final_only", F.lit(False))).select(*k, "src", "dst", "edge_ord", F.col("cost").alias("_c"))
     cost_type = dict(edges.dtypes)["cost"]
     cost_type = "decimal(20,4)" if cost_type.startswith("decimal") else cost_type
-    start = sources.select(F.col("node").alias("source")).distinct().join(legacy, "source", "left")
-    kinds = edges.select(*k).distinct() if k else None
-    start = start.crossJoin(F.broadcast(kinds)) if k else start  # a few key values at most
+    start = sources.select(*graph, F.col("node").alias("source")).distinct().join(legacy, [*graph, "source"], "left")
+    kinds = edges.select(*k).distinct()
+    start = start.join(kinds, graph) if graph else start.crossJoin(kinds) if k else start  # the modes of a graph
     start = start.select(
         "source", *k, F.col("source").alias("node"), F.lit(0).cast(cost_type).alias("cost"), F.lit(0).alias("hops"),
         F.array().cast(f"array<{cost_type}>").alias("costs"), F.array().cast("array<long>").alias("edge_ords"), F.array("source").alias("chain"), "normalize_to",
@@ -52,7 +56,7 @@ def cheapest_paths(
     key = ["source", *k, "node"]
 
     def leave(labels: DataFrame, by: DataFrame) -> DataFrame:
-        free = labels.join(node, "node", "left").where("node = source or transit or node <=> normalize_to").drop("transit")
+        free = labels.join(node, [*graph, "node"], "left").where("node = source or transit or node <=> normalize_to").drop("transit")
         step = free.join(by.withColumnRenamed("src", "node"), [*k, "node"]).where("not array_contains(chain, dst)")
         return step.select(
             "source", *k, F.col("dst").alias("node"), (F.col("cost") + F.col("_c")).cast(cost_type).alias("cost"), (F.col("hops") + 1).alias("hops"),
@@ -69,8 +73,8 @@ def cheapest_paths(
         if frontier.isEmpty():
             break
     ends = best.where("hops > 0").unionByName(leave(best.where(F.col("hops") < max_hops), last))
-    goal = targets.select("node").distinct()
-    return _least(ends.join(goal, "node", "left_semi"), key).select(
+    goal = targets.select(*graph, "node").distinct()
+    return _least(ends.join(goal, [*graph, "node"], "left_semi"), key).select(
         "source", F.col("node").alias("target"), *k, "chain", "edge_ords", "cost", "hops"
     )
 
@@ -112,14 +116,14 @@ def plan_requests(requests: DataFrame, formats: DataFrame, routes: DataFrame, mo
     formats: format, roles, target_modes. routes: source, target, mode, cost, hops, chain. Routes are
     broadcast only up to `most_rows` rows; beyond, they are joined by key.
     """
-    f = formats.select(F.col("format"), "roles", "target_modes")
-    src = f.select(F.col("format").alias("source"), F.col("roles").alias("_sr"))
-    dst = f.select(F.col("format").alias("target"), F.col("roles").alias("_tr"), F.col("target_modes").alias("_tm"))
+    g = [GRAPH] if all(GRAPH in df.columns for df in (requests, formats, routes)) else []
+    src = formats.select(*g, F.col("format").alias("source"), F.col("roles").alias("_sr"))
+    dst = formats.select(*g, F.col("format").alias("target"), F.col("roles").alias("_tr"), F.col("target_modes").alias("_tm"))
     small = routes.limit(most_rows + 1).count() <= most_rows
     hint = F.broadcast if small else (lambda x: x)
-    r = routes.select("source", "target", F.col("mode").alias("effective_mode"), "cost", "hops", "chain")
-    df = requests.join(hint(src) if small else src, "source", "left").join(hint(dst) if small else dst, "target", "left")
-    df = df.withColumn("effective_mode", effective_mode(F.col("mode"), F.col("_tm"))).join(hint(r), ["source", "target", "effective_mode"], "left")
+    r = routes.select(*g, "source", "target", F.col("mode").alias("effective_mode"), "cost", "hops", "chain")
+    df = requests.join(hint(src), [*g, "source"], "left").join(hint(dst), [*g, "target"], "left")
+    df = df.withColumn("effective_mode", effective_mode(F.col("mode"), F.col("_tm"))).join(hint(r), [*g, "source", "target", "effective_mode"], "left")
     reason = (
         F.when(~F.coalesce(F.col("mode").isin(*modes), F.lit(False)), "unknown mode")
         .when(~F.coalesce(F.array_contains("_sr", "source"), F.lit(False)), "not a source")
@@ -136,9 +140,11 @@ def plan_requests(requests: DataFrame, formats: DataFrame, routes: DataFrame, mo
 def all_requests(formats: DataFrame) -> DataFrame:
     """Every source with every other target, in the modes that the target has. A catalogue's formats are
     few; the pairs are what is asked for."""
-    src = formats.where(F.array_contains("roles", "source")).select(F.col("format").alias("source"))
-    dst = formats.where(F.array_contains("roles", "target")).select(F.col("format").alias("target"), "target_modes")
-    return src.join(dst, src.source != dst.target).select("source", "target", F.explode("target_modes").alias("mode"))
+    g = [GRAPH] if GRAPH in formats.columns else []
+    src = formats.where(F.array_contains("roles", "source")).select(*g, F.col("format").alias("source"))
+    dst = formats.where(F.array_contains("roles", "target")).select(*g, F.col("format").alias("target"), "target_modes")
+    pairs = src.join(dst, g) if g else src.crossJoin(dst)
+    return pairs.where("source <> target").select(*g, "source", "target", F.explode("target_modes").alias("mode"))
 
 
 def path_invariants(routes: DataFrame, edges: DataFrame, nodes: DataFrame, forbidden: str | int | None = None) -> DataFrame:

@@ -90,6 +90,29 @@ def test_load_and_plan(spark, tmp_path):
     assert catalog.membership(t["formats"], "roles", "target").count() == 4
 
 
+def test_two_catalogues_at_once(spark, tmp_path):
+    other = json.loads(json.dumps(ROUTES))
+    other["edges"][1]["modes"] = {"exact": 9}
+    for name, routes in (("x", ROUTES), ("y", other)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "formats.json").write_text(json.dumps({"features": FEATURES, "formats": FORMATS}))
+        (tmp_path / name / "routes.json").write_text(json.dumps(routes))
+    t = catalog.load_catalog(spark, f"{tmp_path}/*/formats.json", f"{tmp_path}/*/routes.json")
+    nodes = t["formats"].select("catalog", F.col("format").alias("node"), "transit", "normalize_to")
+    ends = t["formats"].select("catalog", F.col("format").alias("node"), "roles")
+    routes = paths.cheapest_paths(t["edges"], nodes, ends.where("array_contains(roles, 'source')"), ends.where("array_contains(roles, 'target')"), keys=("catalog", "mode"))
+    cost = {(r.catalog, r.source, r.target, r["mode"]): float(r.cost) for r in routes.collect()}
+    assert cost["x", "old", "pix", "exact"] == 1.75 and cost["y", "old", "pix", "exact"] == 9.25 and ("y", "txt", "hub", "editable") not in cost
+    lv = lambda df: df.select("catalog", "format", "feature", catalog.level(F.col("level")).alias("level"))
+    lost = losses.path_losses(routes, lv(t["caps"]), lv(t["source_caps"]))
+    steps = losses.step_losses(routes, t["edge_losses"], catalog.overlay(lv(t["caps"]), lv(t["source_caps"]), ["catalog", "format", "feature"], "level"))
+    said = losses.summarise_losses(routes, lost, steps, t["formats"], t["features"])
+    assert said.count() == routes.count()
+    planned = paths.plan_requests(paths.all_requests(t["formats"]), t["formats"], routes, catalog.MODES)
+    got = {(r.catalog, r.source, r.target, r["mode"]): r.cost and float(r.cost) for r in planned.collect()}
+    assert len({k[0] for k in got}) == 2 and all(got[k] == cost.get(k) for k in got)
+
+
 def test_missing_edge_of_an_override(spark, tmp_path):
     t = loaded(spark, tmp_path, routes={**ROUTES, "overrides": [{"source": "hub", "target": "a", "modes": ["exact"], "chain": ["hub", "a"], "reason": "x"}]})
     r = planned(t).where("source = 'hub' and target = 'a'").first()
