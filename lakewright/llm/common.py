@@ -28,6 +28,17 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+#: About so many bytes are Python values at a time; a single larger row comes alone.
+PART_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, as many rows each as about PART_BYTES hold on average."""
+    step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def map_columns(
     df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, out: pa.Schema
 ) -> DataFrame:
@@ -38,9 +49,9 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            for part in parts(batch):
                 given = [
-                    (c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in batch.columns
+                    (c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in part.columns
                 ]
                 made = fn(*given)
                 yield pa.RecordBatch.from_arrays(
@@ -59,8 +70,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet into the shared folder and read them again."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write the rows as Parquet into the shared folder and read them again.
+
+    The shuffle files of the write go with it, as nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

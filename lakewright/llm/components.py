@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 
 
 def forest(a: list, b: list) -> list[tuple]:
@@ -55,7 +55,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     Links are undirected, of long ids; repeated links, both directions and self-links are allowed, null
     ends are left out. An empty table gives an empty one.
     """
-    own = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
+    own = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    own = written(own.where("u is not null and v is not null"))  # read twice below
     edges = _cut(own.where("u <> v").mapInPandas(_local, "u long, v long").distinct())
     seen = None
     for _ in range(rounds):
