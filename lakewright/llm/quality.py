@@ -173,13 +173,14 @@ def fit(
 
 
 def scored(texts: list, m: Model) -> tuple[list[float], list[int]]:
-    """Scores and numbers of lines of some texts (bytes or None)."""
+    """Scores and numbers of lines of some texts (str, bytes or None)."""
     scores, sizes, at = [], [], 0
     while at < len(texts):  # about 8 MB of text at a time
         made, total = [], 0
         while at < len(texts) and (not made or total < 8 << 20):
-            made.append(line_features(texts[at] or b""))
-            total += len(texts[at] or b"")
+            text = texts[at].encode() if isinstance(texts[at], str) else texts[at] or b""
+            made.append(line_features(text))
+            total += len(text)
             at += 1
         own = np.array([len(b) for _, b in made])
         logit = aggregated(np.vstack([a for a, _ in made]), own, np.concatenate([b for _, b in made]), m)
@@ -194,7 +195,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
     @F.pandas_udf("double")
     def own(text: pd.Series) -> pd.Series:
-        return pd.Series(scored([t.encode() if t else b"" for t in text], shared.value)[0], dtype=float)
+        return pd.Series(scored(text.tolist(), shared.value)[0], dtype=float)
 
     return docs.where(own("text") >= threshold)
 

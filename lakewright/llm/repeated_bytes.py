@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
+from .common import map_columns, parts, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -115,7 +115,7 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
     """The contexts of every row of docs (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in parts(b)):
             keys, texts = (batch.column(i).cast(pa.binary()).to_pylist() for i in range(2))
             wait, owner, total = [], [], 0
 
@@ -198,7 +198,7 @@ def fetched(needs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     schema = pa.schema([("ah", pa.int64()), ("single", pa.bool_()), ("key", pa.binary()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in parts(b)):
             keys, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("key", "text"))
             at = batch.column("at")
             f = at.flatten()
@@ -261,8 +261,8 @@ def compared(contexts_: DataFrame, length: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys, pa.array(pos[row] + a - reach), pa.array(pos[row] + b - 1 - reach)], schema=STARTS)
 
-    parts = int(contexts_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts_.repartition(parts, "ah").sortWithinPartitions("ah").mapInArrow(run, "key binary, first long, last long")
+    n = int(contexts_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts_.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(run, "key binary, first long, last long")
 
 
 def removed(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -292,10 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, keep_text: b
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = occurrences(own.where(F.octet_length("text") >= length), length, k)
     out = written(
-        rows.repartition(parts, "ah").sortWithinPartitions("ah", "ch")
+        rows.repartition(n, "ah").sortWithinPartitions("ah", "ch")
         .mapInArrow(_sorted_out, "need boolean, single boolean, ah long, ch long, key binary, pos long, lo int, hi int")
     )
     whole = out.where("not need").select("key", (F.col("pos") + F.col("lo")).alias("first"), (F.col("pos") + F.col("hi")).alias("last"))

@@ -149,7 +149,7 @@ class Memo(dict):
     the older one, and what is used of that moves on.
     """
 
-    LIMIT, LONGEST = 700_000, 200
+    LIMIT, LONGEST, UNCHECKED = 300_000, 200, 20_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -182,8 +182,10 @@ class Memo(dict):
             known[key] = ids
         return ids
 
-    def settle(self) -> None:
-        """Check what is new; called after each batch."""
+    def settle(self, least: int = 0) -> None:
+        """Check what is new, from `least` segments on."""
+        if len(self.new) < least:
+            return
         self.v.check(self.new, [list(map(int, x.split(" "))) for x in self.new_ids])
         self.new, self.new_ids = [], []
         if len(self) > self.LIMIT:
@@ -226,6 +228,7 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
             n.append(coded.count(" ") + 1)
             ids_sha.append(hashlib.sha256(coded.encode()).hexdigest())
             text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+            memo.settle(memo.UNCHECKED)
             if keep_ids:
                 ids.append(np.fromstring(coded, np.int32, sep=" "))
                 back.append(decoded)
