@@ -77,10 +77,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows as Parquet into the shared folder and read them again.
 
-    The shuffle files of the write go with it, as nothing reads them any more.
+    The shuffle files of the write go with it, as nothing reads them any more. The tables of an application
+    are in one folder named after it, which may be cleared when it has ended.
     """
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(CLEANUP)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
