@@ -132,13 +132,13 @@ def features(n: int, found: list[tuple[int, int, float]], m: Model) -> list[floa
     ]
 
 
-def _rate(clean: list[tuple[int, list[float]]], cost: float) -> float:
-    """lambda > 0 with mean(exp(lambda * score)) = 1 over the words of clean text (words, scores above zero)."""
-    s = np.array([x for _, own in clean for x in own] or [1.0])
-    n = max(1, sum(n for n, _ in clean), 2 * len(s))
+def _rate(clean: list[tuple[float, int]], n: int, cost: float) -> float:
+    """lambda > 0 with mean(exp(lambda * score)) = 1 over the n words of clean text (positive scores, how often)."""
+    s, c = np.array([x for x, _ in clean] or [1.0]), np.array([k for _, k in clean] or [1.0], float)
+    n = max(1.0, n, 2 * c.sum())
 
     def over(x: float) -> float:
-        return float(np.exp(np.minimum(x * s, 600)).sum() / n + (1 - len(s) / n) * math.exp(-x * cost)) - 1
+        return float((c * np.exp(np.minimum(x * s, 600))).sum() / n + (1 - c.sum() / n) * math.exp(-x * cost)) - 1
 
     low, high = 1e-9, 1.0
     while over(high) < 0:
@@ -167,24 +167,42 @@ def fit(
     stem = scored_stems(train, prior, least_z, least_docs, most_stems)
     heads = heads_of(stem)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    m = Model(stem, cost, 1.0, 1.0, np.zeros(4))
+
+    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How often each positive score stands in clean text; 0 stands for all words."""
         for pdf in batches:
-            rows = []
+            count: Counter = Counter()
             for text, y in zip(pdf["text"], pdf["label"], strict=True):
-                w = words(text.encode())
-                rows.append((int(y == 1), len(w), *word_scores(w, stem, heads)))
-            yield pd.DataFrame(rows, columns=["y", "n", "places", "scores"])
-
-    seen = train.mapInPandas(scan, "y int, n long, places array<long>, scores array<double>").collect()
-    clean = [(r.n, r.scores) for r in seen if not r.y]
-    while sum(sum(s) for _, s in clean) >= cost * (sum(n for n, _ in clean) or 1):
-        cost *= 2  # calibration needs a negative mean in clean text
-    m = Model(stem, cost, _rate(clean, cost), 1.0, np.zeros(4))
-    found = [segments(r.places, r.scores, cost) for r in seen]
-    best = [(r.n, max((s for _, _, s in f), default=0.0)) for r, f in zip(seen, found, strict=True) if not r.y]
-    m.k = (len(best) + 1) / (sum(max(n, 1) * math.exp(-m.rate * s) for n, s in best) + 1)
-    x = [features(r.n, f, m) for r, f in zip(seen, found, strict=True)]
-    m.weights = logistic(np.array(x).reshape(-1, 3), np.array([r.y for r in seen], float))
+                if y != 1:
+                    w = words(text.encode())
+                    count.update(word_scores(w, stem, heads)[1])
+                    count[0.0] += len(w)
+            yield pd.DataFrame({"score": list(count), "n": list(count.values())})
+
+    seen = train.mapInPandas(scores, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()
+    clean, n_words = [(r.score, r.n) for r in seen if r.score > 0], sum(r.n for r in seen if r.score == 0)
+    while sum(s * k for s, k in clean) >= m.cost * (n_words or 1):
+        m.cost *= 2  # calibration needs a negative mean in clean text
+    m.rate = _rate(clean, n_words, m.cost)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """n * exp(-lambda * s) of the best segment of each clean document, summed."""
+        for pdf in batches:
+            own = [found_in(t.encode(), m, heads) for t, y in zip(pdf["text"], pdf["label"], strict=True) if y != 1]
+            terms = [max(n, 1) * math.exp(-m.rate * max((s for *_, s in f), default=0.0)) for n, f in own]
+            yield pd.DataFrame({"n": [len(own)], "total": [float(sum(terms))]})
+
+    n, total = train.mapInPandas(best, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    m.k = ((n or 0) + 1) / ((total or 0.0) + 1)
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [features(*found_in(t.encode(), m, heads), m) for t in pdf["text"]]
+            yield pd.DataFrame([(int(y == 1), *v) for y, v in zip(pdf["label"], x, strict=True)], columns=["y", "a", "b", "c"])
+
+    x = np.array([tuple(r) for r in train.mapInPandas(evidence, "y int, a double, b double, c double").collect()], float).reshape(-1, 4)
+    m.weights = logistic(x[:, 1:], x[:, 0])
     return m
 
 
