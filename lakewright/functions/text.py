@@ -39,6 +39,31 @@ def _lcs(a: list, b: list) -> int:
     return len(a) - row.bit_count()
 
 
+@F.pandas_udf(IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance of two token arrays of any length, bit-parallel on integers."""
+    return pd.Series([None if x is None or y is None else _edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+def _edits(a: list, b: list) -> int:
+    """Myers' bit vectors as Hyyro computes them: `up` and `down` are the steps of a column by +1 and -1."""
+    if not a:
+        return len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last, d = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down = full, 0
+    for y in b:
+        eq = places.get(y, 0)
+        zero = ((eq & up) + up ^ up | eq | down) & full
+        right, left = down | full & ~(zero | up), up & zero
+        d += bool(right & last) - bool(left & last)
+        right = (right << 1 | 1) & full
+        up, down = (left << 1 | full & ~(zero | right)) & full, right & zero
+    return d
+
+
 _CELL = re.compile(r"<(/?)(table|tr|td|th)\b([^>]*)>", re.I)
 _SPAN = re.compile(r"(row|col)span\s*=\s*[\"']?(\d+)", re.I)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import lcs_length, nfkc
+from ..functions.text import edit_distance, lcs_length, nfkc
 
 
 def normalised(text: Column, unicode: bool = True) -> Column:
@@ -46,6 +46,10 @@ def with_context(toks: DataFrame, diff: DataFrame, id: str, n: int = 2) -> DataF
     return toks.withColumn("context", F.array_join(F.collect_list("token").over(w), " ")).join(diff, [id, "token"])
 
 
+#: Up to so many tokens of a pair take the built-in edit distance.
+SHORT = 80
+
+
 def _codes(tokens_: Column, all_: Column, base: int) -> Column:
     """One character for each distinct token of a pair, so that edit distance on strings is on tokens."""
     places = F.map_from_arrays(all_, F.sequence(F.lit(0), F.size(all_) - 1))
@@ -53,17 +57,20 @@ def _codes(tokens_: Column, all_: Column, base: int) -> Column:
 
 
 def token_similarity(pairs: DataFrame, a: str, b: str, most: int = 20_000) -> DataFrame:
-    """pairs with similarity = 1 - d / max(n, m) over token arrays; equal ones leave early.
+    """pairs with distance and similarity = 1 - d / max(n, m) over token arrays; equal ones leave early.
 
-    The coding has room for `most` distinct tokens of a pair (from U+4E00 on); beyond, similarity is null,
-    so long texts are compared by paragraph.
+    The built-in's coding has room for `most` tokens of a pair (from U+4E00 on) and is slow beyond SHORT;
+    longer pairs go to bit vectors, which give the same distance at any length.
     """
     x, y = F.col(a), F.col(b)
     longest = F.greatest(F.size(x), F.size(y))
     every = F.array_distinct(F.concat(x, y))
-    d = F.levenshtein(_codes(x, every, 0x4E00), _codes(y, every, 0x4E00))
-    similarity = F.when(x == y, 1.0).when(F.size(every) <= most, 1 - d / longest)
-    return pairs.withColumn("distance", F.when(x == y, 0).when(F.size(every) <= most, d)).withColumn("similarity", similarity)
+    near = F.size(x) + F.size(y) <= min(most, SHORT)
+    far = (x != y) & ~near
+    d = F.when(x == y, 0).when(near, F.levenshtein(_codes(x, every, 0x4E00), _codes(y, every, 0x4E00)))
+    d = d.otherwise(edit_distance(F.when(far, x), F.when(far, y)))
+    out = pairs.withColumn("distance", d)
+    return out.withColumn("similarity", F.when(x == y, 1.0).otherwise(1 - F.col("distance") / longest))
 
 
 def order_score(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -36,8 +36,11 @@ def v3_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, d: str, n: int | None) -> DataFrame:
     """Each document's tokens, at most n (the compared window), beside those of the next doc_id."""
-    t = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    t = F.slice(t, 1, n) if n else t
+    if n is None:  # texts are smaller than their tokens on the way to the join
+        docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
+        both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+        return both.select("doc_id", *(F.filter(F.split(c, r"\s+"), lambda x: x != "").alias(c) for c in "ab"))
+    t = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, n)
     docs = table(spark, d, "documents").select("doc_id", t.alias("a"))
     return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
@@ -50,6 +53,13 @@ def v4_token_similarity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"))
 
 
+@query()
+def v4_whole_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """V4 over every token of both documents; no SQL, as DuckDB's distance is over bytes."""
+    out = compare.token_similarity(neighbours(spark, d, None), "a", "b")
+    return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"), "similarity")
+
+
 @query()
 def v5_order_score(spark: SparkSession, d: str) -> DataFrame:
     return compare.order_score(neighbours(spark, d, None), "a", "b").select("doc_id", "lcs", "order_score")

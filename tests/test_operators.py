@@ -55,6 +55,28 @@ def test_similarity_and_order(spark):
         assert got[i].similarity == pytest.approx(1 - edit(a, b) / max(len(a), len(b)) if a != b else 1.0)
 
 
+def test_similarity_of_long_texts(spark):
+    """Beyond the room for codes, and beyond the built-in's cells, the distance is exact too."""
+    rnd = random.Random(3)
+    far = [f"w{i}" for i in range(25_000)]
+    changed = [x if i % 1000 else f"new{i}" for i, x in enumerate(far)]
+    a, b = ([rnd.choice("abcdef") for _ in range(n)] for n in (260, 310))
+    df = spark.createDataFrame([(0, far, changed), (1, a, b), (2, far, far), (3, far, []), (4, [], a)], "id int, a array<string>, b array<string>")
+    got = {r.id: (r.distance, r.similarity) for r in compare.token_similarity(df, "a", "b").collect()}
+    assert got == {0: (25, 1 - 25 / 25_000), 1: (edit(a, b), pytest.approx(1 - edit(a, b) / 310)), 2: (0, 1.0), 3: (25_000, 0.0), 4: (260, 0.0)}
+    tiny = {r.id: r.distance for r in compare.token_similarity(df.where("id in (1, 4)"), "a", "b", most=1).collect()}
+    assert tiny == {1: edit(a, b), 4: 260}
+
+
+def test_whole_similarity_sees_every_word(spark, data):
+    from lakewright.plans import verify
+
+    t = {r.doc_id: r.text.split() for r in spark.read.parquet(f"{data}/documents.parquet").where("n_chars < 3000").collect()}
+    got = {r.doc_id: r.distance for r in verify.v4_whole_similarity(spark, data).collect()}
+    pairs = [i for i in sorted(t) if i + 1 in t and max(len(t[i]), len(t[i + 1])) > 40][:15]
+    assert pairs and all(got[i] == edit(t[i], t[i + 1]) for i in pairs)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_lcs(a, b):
