@@ -6,7 +6,8 @@ scanned once. The words that a hit covers are mapped back to offsets of the orig
 
 The automaton is rebuilt in each Python worker from broadcast windows. Their size has a bound: items are
 dealt to blocks of about BLOCK_BYTES of text by a hash of their id, each block is one scan of the
-documents, and the findings are united by document. A usual benchmark is one block.
+documents, and the findings are united by row: rows are numbered and written once, and runs of hit words
+are merged by their places. A usual benchmark is one block.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, map_columns, words
+from .common import WORD_BYTES, map_columns, words, written
 
 #: Benchmark text of one automaton; 256 KiB make about 45,000 windows and 100 MB.
 BLOCK_BYTES = 1 << 18
@@ -70,8 +71,9 @@ def scan(text: bytes, found) -> tuple[int, np.ndarray | None, set]:
     return len(w), np.cumsum(change[:-1]) > 0, {i for x in hits for i in x[2]}
 
 
-def spans(text: bytes, hit: np.ndarray) -> list[dict]:
-    """The runs of hit words as offsets (in characters of the original text) from a start to an end."""
+def runs(text: bytes, hit: np.ndarray) -> list[dict]:
+    """The runs of hit words by place (first word, word after the last) and as offsets (in characters of
+    the original text) from a start to an end."""
     mark = np.frombuffer(text.translate(WORD_BYTES), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.concatenate(([0], mark.astype(np.int8), [0]))))
     starts, ends = edges[::2], edges[1::2]
@@ -79,11 +81,33 @@ def spans(text: bytes, hit: np.ndarray) -> list[dict]:
     last = np.flatnonzero(hit & ~np.concatenate((hit[1:], [False])))
     chars = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     return [
-        {"start": int(chars[a]), "end": int(chars[b])} for a, b in zip(starts[first], ends[last], strict=True)
+        {"first": int(f), "after": int(z) + 1, "start": int(chars[starts[f]]), "end": int(chars[ends[z]])}
+        for f, z in zip(first, last, strict=True)
     ]
 
 
+def merged(found: list[dict]) -> list[dict]:
+    """Runs of several scans of one text as those of one scan: runs that overlap or touch are one."""
+    out: list[dict] = []
+    for x in sorted(found, key=lambda x: x["first"]):
+        if out and x["first"] <= out[-1]["after"]:
+            if x["after"] > out[-1]["after"]:
+                out[-1] |= {"after": x["after"], "end": x["end"]}
+        else:
+            out.append(dict(x))
+    return out
+
+
+RUN = ["first", "after", "start", "end"]
+RUNS = f"array<struct<{', '.join(f'{c}: int' for c in RUN)}>>"
 SPANS = "array<struct<start: int, end: int>>"
+OFFSETS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+FOUND = f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", OFFSETS)])
+
+
+def offsets(found: list[dict]) -> list[dict]:
+    return [{"start": x["start"], "end": x["end"]} for x in found]
 
 
 def blocks(bench: DataFrame, size: int) -> list[Block]:
@@ -106,28 +130,23 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
     (offsets of the hit passages in the text), against bench (item_id, text).
 
     A null or empty text has no words and no hit; an item with a null id is left out and one whose text
-    is null has no windows; repeated items count once; rows with the same doc_id are scanned one by one
-    when the benchmark is one block, and united if they are the same when it has more. An empty
-    benchmark hits nothing. Further columns are ignored.
+    is null has no windows; repeated items count once; each row gives one row, whatever its doc_id and
+    however large the benchmark. An empty benchmark hits nothing. Further columns are ignored.
     """
+    own = blocks(bench, size)
+    if len(own) > 1:
+        return united(docs, own)
 
-    def over(block: Block) -> DataFrame:
-        def run(ids: list, texts: list) -> list:
-            found, out = automaton(block), ([], [], [], [], [])
-            for i, t in zip(ids, texts, strict=True):
-                n, hit, items = scan(t or b"", found)
-                row = (i, n, int(hit.sum()) if hit is not None else 0, sorted(items), spans(t, hit) if items else [])
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-            return list(out)
-
-        return map_columns(
-            docs, ["doc_id", "text"], run, f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}",
-            pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]),
-        )
+    def run(ids: list, texts: list) -> list:
+        found, out = automaton(own[0]), ([], [], [], [], [])
+        for i, t in zip(ids, texts, strict=True):
+            n, hit, items = scan(t or b"", found)
+            row = (i, n, int(hit.sum()) if hit is not None else 0, sorted(items), offsets(runs(t, hit)) if items else [])
+            for column, v in zip(out, row, strict=True):
+                column.append(v)
+        return list(out)
 
-    parts = [over(b) for b in blocks(bench, size)]
-    return parts[0] if len(parts) == 1 else united(docs, parts)
+    return map_columns(docs, ["doc_id", "text"], run, FOUND, FOUND_ARROW)
 
 
 def clean(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
@@ -146,41 +165,41 @@ def clean(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
     return docs
 
 
-def united(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """The findings of several blocks: words hit by more than one of them count once."""
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
+def united(docs: DataFrame, own: list[Block]) -> DataFrame:
+    """The findings of several blocks, one row for each row of docs: words hit by more than one of them
+    count once. The first block's scan returns every row, the others those that they hit."""
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+
+    def over(block: Block, every: bool) -> DataFrame:
+        def run(numbers: list, ids: list, texts: list) -> list:
+            found, out = automaton(block), ([], [], [], [], [])
+            for r, i, t in zip(numbers, ids, texts, strict=True):
+                n, hit, items = scan(t or b"", found)
+                if every or items:
+                    for column, v in zip(out, (r, i, n, sorted(items), runs(t, hit) if items else []), strict=True):
+                        column.append(v)
+            return list(out)
+
+        return map_columns(
+            rows, ["row", "doc_id", "text"], run, f"row long, doc_id long, n_words long, items array<string>, runs {RUNS}",
+            pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([(c, pa.int32()) for c in RUN])))]),
+        )
+
+    found = over(own[0], True)
+    for block in own[1:]:
+        found = found.unionByName(over(block, False))
+    found = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    )
-
-    def run(ids: list, n: list, items: list, runs: list, texts: list) -> list:
-        hits, merged = [], []
-        for r, t in zip(runs, texts, strict=True):
-            own: list[dict] = []
-            for x in sorted(r or [], key=lambda x: x["start"]):
-                if own and x["start"] <= own[-1]["end"]:
-                    own[-1]["end"] = max(own[-1]["end"], x["end"])
-                else:
-                    own.append(dict(x))
-            text = (t or b"").decode("utf-8", "replace")
-            hits.append(sum(len(words(text[x["start"] : x["end"]].encode())) for x in own))
-            merged.append(own)
-        return [ids, n, hits, items, merged]
-
-    return map_columns(
-        found.where(F.size("items") > 0).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id"),
-        ["doc_id", "n_words", "items", "spans", "text"],
-        lambda i, n, it, r, t: run(i, n, it, r, t),
-        f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}",
-        pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]),
-    ).unionByName(
-        found.where(F.size("items") == 0).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), "items", "spans")
+        F.flatten(F.collect_list("runs")).alias("runs"),
     )
 
+    def unite(ids: list, n: list, items: list, found_: list) -> list:
+        one = [merged(x) for x in found_]
+        return [ids, n, [sum(x["after"] - x["first"] for x in r) for r in one], items, [offsets(r) for r in one]]
+
+    return map_columns(found, ["doc_id", "n_words", "items", "runs"], unite, FOUND, FOUND_ARROW)
+
 
 def digest(found: DataFrame) -> DataFrame:
     """The columns that the query returns."""

@@ -50,6 +50,21 @@ def test_decontamination(spark, make):
     assert all(not r.contaminated and r.items_sha256 == hashlib.sha256(b"").hexdigest() for r in none.values())
 
 
+def test_large_benchmark_keeps_rows(spark, make, monkeypatch):
+    """Rows that share a doc_id or have none stay one row each when the benchmark is many blocks."""
+    items = {str(i): " ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)}
+    bench = spark.createDataFrame([(int(k), v) for k, v in items.items()], "item_id long, text string")
+    docs = make([(1, f"a {items['3']} {items['8']} b"), (1, "other text"), (1, None), (2, f"a, {items['4']}"), (2, f"a, {items['4']}"), (None, items["5"]), (None, "clean"), (None, f"é {items['6']} é {items['7']}")])
+
+    def found():
+        return sorted(map(str, decontamination.contamination(docs, bench).collect()))
+
+    whole = found()
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
+    assert len(decontamination.blocks(bench, 10)) > 3 and len(whole) == 8
+    assert found() == whole
+
+
 def test_licenses(make):
     phrases = list(licenses.PHRASES)
     rnd = random.Random(5)
