@@ -1,10 +1,11 @@
 """Operator 5: main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block; what can't be article text (scripts, menus, forms,
-adverts, comments, hidden parts) leaves an empty line. The lengths of the lines are summed over a sliding
-window. The text surges where a window's sum rises above a threshold and dives where the sum falls to
-nothing; what stands between is kept whole, short lines too. Where a page names its article or its main
-part, only that part has lengths and any text is a surge.
+adverts, comments, hidden parts) leaves empty lines, structure alone leaves none. The lengths of the lines
+are summed over a sliding window. The text surges where a window's sum rises above a threshold and dives
+where the sum falls to nothing; what stands between is kept whole, short lines too, and so is what shares
+a container with the longest range. Where a page names its article or its main part, only that part has
+lengths and any text is a surge.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ class Line:
     length: int
     linked: int
     scope: tuple[int, int]
+    node: int
 
 
 def excluded(name: str, attrs: str, in_scope: bool) -> bool:
@@ -80,11 +82,17 @@ class Stripper:
     article: int = 0
     articles: int = 0
     main: int = 0
+    #: Elements by number in the order of their starts (0 is the page): name, parent, last number within.
+    names: list[str] = field(default_factory=lambda: ["html"])
+    up: list[int] = field(default_factory=lambda: [0])
+    last: list[int] = field(default_factory=lambda: [0])
+    open_: list[int] = field(default_factory=lambda: [0])
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         scope = (self.articles if self.article else 0, 1 if self.main else 0)
-        self.lines.append(Line(text, len(text), self.linked, scope))
+        if text or self.skip:
+            self.lines.append(Line(text, len(text), self.linked, scope, self.open_[-1]))
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
@@ -96,6 +104,7 @@ class Stripper:
 
     def pop(self) -> None:
         name, skipped = self.stack.pop()
+        self.last[self.open_.pop()] = len(self.up) - 1
         self.skip -= skipped
         self.links -= name == "a"
         self.article -= name == "article"
@@ -118,6 +127,10 @@ class Stripper:
             return
         skipped = excluded(name, attrs, bool(self.article or self.main))
         self.stack.append((name, skipped))
+        self.names.append(name)
+        self.up.append(self.open_[-1])
+        self.last.append(0)
+        self.open_.append(len(self.up) - 1)
         self.skip += skipped
         self.links += name == "a"
         self.main += name == "main"
@@ -142,8 +155,21 @@ class Stripper:
                 (self.close(name.lower()) if m["end"] else self.open(name.lower(), m["attrs"]))
         self.text(html[at:])
         self.flush()
+        for node in self.open_:
+            self.last[node] = len(self.up) - 1
         return self.lines
 
+    def beside(self, own: list[int], others: list[int]) -> set[int]:
+        """Those of the elements `others` that share the container of `own`: the least element around `own`
+        that holds one of the others too. Of the body itself, only its direct children count."""
+        low, high = min(own), max(own)
+        at = low
+        while self.names[at] not in ("body", "html"):
+            if self.last[at] >= high and (found := {x for x in others if at <= x <= self.last[at]}):
+                return found
+            at = self.up[at]
+        return {x for x in others if at in (x, self.up[x])} if any(at in (x, self.up[x]) for x in own) else set()
+
 
 def surges(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
     """Line ranges from a surge to its dive."""
@@ -164,9 +190,10 @@ def surges(lengths: list[int], window: int, threshold: int) -> list[tuple[int, i
     return out
 
 
-def extract(html: str, window: int = 3, threshold: int = 80, share: float = 0.25) -> str:
+def extract(html: str, window: int = 3, threshold: int = 80) -> str:
     """The main text of a page, one line for each block."""
-    lines = Stripper().run(html)
+    stripper = Stripper()
+    lines = stripper.run(html)
     best: dict[int, int] = {}
     for x in lines:
         if x.scope[0]:
@@ -181,22 +208,27 @@ def extract(html: str, window: int = 3, threshold: int = 80, share: float = 0.25
         kept = lines
         lengths = [x.length if 2 * x.linked <= x.length else 0 for x in kept]
         found = surges(lengths, window, threshold) or surges(lengths, window, 0)
-        size = {r: sum(lengths[r[0] : r[1]]) for r in found}
-        found = [r for r in found if size[r] >= share * max(size.values())]
+        if found:
+            a, b = max(found, key=lambda r: sum(lengths[r[0] : r[1]]))
+            inside = {i for r in found for i in range(*r)}
+            rest = [i for i, n in enumerate(lengths) if n and not a <= i < b]
+            near = stripper.beside([x.node for x, n in zip(kept[a:b], lengths[a:b], strict=True) if n], [kept[i].node for i in rest])
+            inside.update(i for i in rest if kept[i].node in near)
+            found = [(i, i + 1) for i in sorted(inside)]
     return "\n".join(x.text for a, b in found for x in kept[a:b] if x.text)
 
 
-def main_text(pages: DataFrame, window: int = 3, threshold: int = 80, share: float = 0.25) -> DataFrame:
+def main_text(pages: DataFrame, window: int = 3, threshold: int = 80) -> DataFrame:
     """For each row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     window: lines of the sliding window. threshold: characters of a window above which text surges, where
-    a page names no article. share: part of the longest range that a further range must have to be kept
-    beside it. A null or empty page has an empty text; rows are independent, so repeated rows repeat; an
-    empty table gives an empty one; further columns are ignored. Pages of any length are read whole.
+    a page names no article. A null or empty page has an empty text; rows are independent, so repeated
+    rows repeat; an empty table gives an empty one; further columns are ignored. Pages of any length are
+    read whole.
     """
 
     def run(ids: list, urls: list, pages_: list) -> list:
-        text = [extract((h or b"").decode("utf-8", "replace"), window, threshold, share) for h in pages_]
+        text = [extract((h or b"").decode("utf-8", "replace"), window, threshold) for h in pages_]
         return [ids, [u and u.decode("utf-8", "replace") for u in urls], text, [len(t) for t in text]]
 
     return map_columns(

@@ -125,6 +125,19 @@ def test_html(spark):
     assert html_blocks.main_text(df).count() == 8 and html_blocks.main_text(df.where("false")).count() == 0
 
 
+def test_html_wrapped_paragraphs():
+    """Wrappers of single paragraphs, short paragraphs and adverts between cut nothing off a page that names no article."""
+    texts = ["A heading", "first " * 120, "Short one.", "second " * 20, "third " * 30, "The end."]
+    ad = "<div class=ad>" + "<p>buy this</p>" * 5 + "</div>"
+    wrapped = [f"<div><div><p>{t}</p></div></div>" for t in texts]
+    want = "\n".join(t.strip() for t in texts)
+    foot = "<div class=footer><p>a</p><p>b</p><p>c</p></div><div><p>legal</p></div>"
+    for page in ("".join(wrapped), "<body>" + "".join(wrapped) + "</body>", f"<body><div id=x>{''.join(wrapped[:2])}{ad}{''.join(wrapped[2:5])}{ad}{wrapped[5]}</div>{foot}</body>"):
+        assert html_blocks.extract(page) == want
+    direct = f"<body><p>{texts[1]}</p>{ad}<p>Short one.</p>{ad}<p>{texts[3]}</p></body>"
+    assert html_blocks.extract(direct) == "\n".join(t.strip() for t in texts[1:4])
+
+
 def test_sentencepieces(make):
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece
