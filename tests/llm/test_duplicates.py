@@ -157,3 +157,12 @@ def test_repeated_bytes_of_long_texts(make, monkeypatch):
     got = {r.doc_id: r for r in repeated_bytes.remove_repeats(make(texts)).collect()}
     want = repeated_bytes.brute([t.encode() for t in texts], 400)
     assert [got[i].kept_sha256 for i in range(3)] == [hashlib.sha256(x).hexdigest() for x in want]
+
+
+def test_paragraphs_of_rows_without_id(make):
+    """A paragraph that also, or only, stands in a row without a doc_id is linked to its near copies."""
+    p, q = ([f"{c}{i}" for i in range(60)] for c in "pq")
+    texts = [(None, " ".join(p)), (1, " ".join(p)), (2, " ".join(p[:-1] + ["new"])), (None, " ".join(q)), (3, " ".join(["new"] + q[1:])), (4, "alone " * 30)]
+    got = {r.doc_id: r for r in paragraphs.paragraph_duplicates(make(texts)).collect()}
+    assert {i: r.n_linked for i, r in got.items()} == {None: 2, 1: 1, 2: 1, 3: 1, 4: 0}
+    assert {i: r.n_removed for i, r in got.items()} == {None: 0, 1: 1, 2: 1, 3: 1, 4: 0}
