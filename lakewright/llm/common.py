@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +41,28 @@ def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks: the last thing asked for, and nothing else. Workers
+    live on through an application's stages, so one operator's tables must not stay for the next ones."""
+    if key not in _held:
+        _held.clear()
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Give the memory that Arrow and the C library have set aside back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_columns(
     df: DataFrame, columns: list[str], fn: Callable[..., list], schema: str, out: pa.Schema
 ) -> DataFrame:
@@ -57,14 +81,32 @@ def map_columns(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, type=f.type) for v, f in zip(made, out, strict=True)], schema=out
                 )
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, fn: Callable[[list], list[bool]]) -> DataFrame:
+    """The rows of df, with all their columns, for which fn says true; it gets the column's values (UTF-8
+    bytes or None) in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                mask = fn(part.column(column).cast(pa.binary()).to_pylist())
+                yield part.filter(pa.array(mask, pa.bool_()))
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on
+    this machine alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found

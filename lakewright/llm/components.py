@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +37,13 @@ def forest(a: list, b: list) -> list[tuple]:
     return [(x, root(x)) for x in list(up)]
 
 
-def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame(forest(pdf["u"].tolist(), pdf["v"].tolist()), columns=["u", "v"])
+LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = forest(batch.column("u").to_pylist(), batch.column("v").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=LINKS)
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100)
     """
     own = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     own = written(own.where("u is not null and v is not null"))  # read twice below
-    edges = _cut(own.where("u <> v").mapInPandas(_local, "u long, v long").distinct())
+    edges = _cut(own.where("u <> v").mapInArrow(_local, "u long, v long").distinct())
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -18,13 +18,12 @@ from collections import defaultdict
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, map_columns, words, written
+from .common import WORD_BYTES, held, keep_rows, map_columns, words, written
 
 #: Benchmark text of one automaton; 256 KiB make about 45,000 windows and 100 MB.
 BLOCK_BYTES = 1 << 18
@@ -38,21 +37,21 @@ def windows(item: bytes | None, size: int) -> list[bytes]:
 
 #: A block's key and its broadcast windows.
 Block = tuple[str, Broadcast]
-_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def automaton(block: Block) -> ahocorasick.Automaton:
     """The block's automaton, built once for a worker: window -> (characters, item ids)."""
     key, own = block
-    if key not in _automata:
-        _automata.clear()
+
+    def make() -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for window, items in own.value:
             text = f" {window.decode('latin-1')} "
             a.add_word(text, (len(text), items))
         a.make_automaton()
-        _automata[key] = a
-    return _automata[key]
+        return a
+
+    return held(key, make)
 
 
 def scan(text: bytes, found) -> tuple[int, np.ndarray | None, set]:
@@ -150,19 +149,20 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
 
 
 def clean(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs that hold no window of bench, with all their columns."""
+    """The rows of docs that hold no window of bench, with all their columns. What is hit is defined as in
+    contamination(): null and empty texts stay, repeated rows and ids are judged each by its own text.
 
-    def hit(block: Block):
-        @F.pandas_udf("boolean")
-        def own(text: pd.Series) -> pd.Series:
-            found = automaton(block)
-            return pd.Series([scan(t.encode() if t else b"", found)[1] is not None for t in text], dtype=bool)
+    Each block is a pass over what the former ones left, which is written in between, so that a worker
+    holds one automaton at a time.
+    """
 
-        return own
+    def without(block: Block) -> DataFrame:
+        return keep_rows(docs, "text", lambda texts: [scan(t or b"", automaton(block))[1] is None for t in texts])
 
-    for block in blocks(bench, size):
-        docs = docs.where(~hit(block)("text"))
-    return docs
+    own = blocks(bench, size)
+    for block in own[:-1]:
+        docs = written(without(block))
+    return without(own[-1])
 
 
 def united(docs: DataFrame, own: list[Block]) -> DataFrame:

@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import keep_rows, map_columns
 from .training import logistic, sample, sigmoid
 
 SIGNS, DIGITS = b"#$%&*|@^~<>{}[]\\/_=+", b"0123456789"
@@ -151,15 +150,18 @@ def fit(
 ) -> Model:
     """Learn from at most `most_rows` labelled rows of at most `longest` bytes where `learn` holds."""
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [line_features(t.encode()) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "y": pdf["label"].astype("int32"), "n": [len(b) for _, b in made],
-                "x": [a.astype(np.float32).tobytes() for a, _ in made], "length": [b.astype(np.float32).tobytes() for _, b in made],
-            })
+    def lines(labels_: list, texts: list) -> list:
+        made = [line_features(t) for t in texts]
+        return [
+            labels_, [len(b) for _, b in made],
+            [a.astype(np.float32).tobytes() for a, _ in made], [b.astype(np.float32).tobytes() for _, b in made],
+        ]
 
-    rows = sample(docs, labels, label, learn, most_rows, longest).mapInPandas(lines, "y int, n int, x binary, length binary").collect()
+    features = map_columns(
+        sample(docs, labels, label, learn, most_rows, longest), ["label", "text"], lines, "y int, n int, x binary, length binary",
+        pa.schema([("y", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("length", pa.binary())]),
+    )
+    rows = features.collect()
     if not rows:
         return Model(np.zeros(N), np.ones(N), np.zeros(N + 1), np.zeros((2, 2)), np.zeros(2))
     y, sizes = np.array([int(r.y == 1) for r in rows]), np.array([r.n for r in rows])
@@ -193,11 +195,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """The rows of docs whose text scores `threshold` or more, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def own(text: pd.Series) -> pd.Series:
-        return pd.Series(scored(text.tolist(), shared.value)[0], dtype=float)
-
-    return docs.where(own("text") >= threshold)
+    return keep_rows(docs, "text", lambda texts: [x >= threshold for x in scored(texts, shared.value)[0]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,8 +9,10 @@ Merges never cross a place where no piece holds both neighbours: before a mark a
 beside a line feed, between punctuation and letters (found from the pieces when the model is loaded; else
 texts are encoded whole). A text is cut there, and each
 distinct segment is encoded once for a worker, within a bounded memo. Each Arrow batch checks the
-segments that it encodes anew against the sentencepiece library, ids and decoded text, and that the ids
-decode to the segment; so a text decodes to its segments in order.
+segments that it encodes anew against the sentencepiece library, ids and decoded text.
+
+Decoding takes a document's ids alone: their pieces are joined, runs of byte pieces become UTF-8, the mark
+becomes a space, and the prefix mark and the end id go, as the library's decode(ids) does it.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import held, map_columns
 
 MARK, NEVER = "▁", float("inf")
 
@@ -52,6 +54,9 @@ class Vocabulary:
             raise ValueError("only models that keep white space and add a prefix mark are supported")
         self.segment = re.compile(self.cuts()).findall
         self.plain = [p.replace(MARK, " ") for p in self.names]
+        self.plain[self.eos] = ""
+        #: Text of an id as written in decimal; bytes have none of their own.
+        self.text_of = {str(i): None if i in self.is_byte else x for i, x in enumerate(self.plain)}.__getitem__
 
     def cuts(self) -> str:
         """Pattern of the segments that no merge leaves: see the module's text."""
@@ -131,6 +136,14 @@ class Vocabulary:
             out += self.plain[i].encode() if b is None else bytes((b,))
         return out.decode("utf-8", "replace")
 
+    def decode_document(self, ids: list[str]) -> str:
+        """Text of a document's ids, in decimal: the prefix mark and the end id have no text."""
+        try:
+            text = "".join(map(self.text_of, ids))
+        except TypeError:
+            text = self.decode(list(map(int, ids)))
+        return text[1:]  # of the end id alone, nothing
+
     def check(self, segments: list[str], ids: list[list[int]]) -> None:
         """Compare with the library: a segment without a mark, or of the mark alone, is put behind a line feed."""
         alone = [s[0] == MARK and len(s) > 1 for s in segments]
@@ -149,7 +162,7 @@ class Memo(dict):
     the older one, and what is used of that moves on.
     """
 
-    LIMIT, LONGEST, UNCHECKED = 300_000, 200, 20_000
+    LIMIT, LONGEST, UNCHECKED = 100_000, 100, 20_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -195,18 +208,15 @@ class Memo(dict):
             self.signs.clear()
 
 
-_memos: dict[str, Memo] = {}
-
-
-def encode_text(memo: Memo, text: str) -> tuple[str, str]:
-    """The ids with the end id, joined by a space, and the decoded text."""
+def encode_text(memo: Memo, text: str) -> str:
+    """The ids with the end id, joined by a space."""
     if not text:
-        return str(memo.v.eos), ""
+        return str(memo.v.eos)
     if "  " in text or text[0] == " " or MARK in text:
         ids = memo.marked(MARK + text.replace(" ", MARK))
     else:
         ids = " ".join(map(memo.__getitem__, text.replace("\n", " \n").split(" ")))
-    return f"{ids} {memo.v.eos}", text.replace(MARK, " ")
+    return f"{ids} {memo.v.eos}"
 
 
 def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
@@ -219,18 +229,18 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
     """
 
     def run(doc_ids: list, texts: list) -> list:
-        if model not in _memos:
-            _memos[model] = Memo(Vocabulary(model))
-        memo = _memos[model]
+        memo = held(("pieces", model), lambda: Memo(Vocabulary(model)))
         n, ids_sha, text_sha, ids, back = [], [], [], [], []
         for t in texts:
-            coded, decoded = encode_text(memo, (t or b"").decode("utf-8", "replace"))
-            n.append(coded.count(" ") + 1)
+            coded = encode_text(memo, (t or b"").decode("utf-8", "replace"))
+            own = coded.split(" ")
+            decoded = memo.v.decode_document(own)
+            n.append(len(own))
             ids_sha.append(hashlib.sha256(coded.encode()).hexdigest())
             text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
             memo.settle(memo.UNCHECKED)
             if keep_ids:
-                ids.append(np.fromstring(coded, np.int32, sep=" "))
+                ids.append(np.array(own, np.int32))
                 back.append(decoded)
         memo.settle()
         return [doc_ids, n, ids_sha, text_sha, *([ids, back] if keep_ids else [])]
