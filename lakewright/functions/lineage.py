@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """Checkpoint into the folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on
+    this machine alone, as in tests."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-"))
+        found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not found and not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
