@@ -5,22 +5,28 @@ The named method inserts one symbol of every document in each round and keeps th
 many rounds as the longest one has bytes, each a pass over the corpus; so the collection is first cut down
 to short, aligned contexts, whose columns are then inserted the same way:
 
-1. Every string of LENGTH bytes has an anchor, its leftmost k-byte word of least hash. Equal strings have
-   equal anchors at equal places, so a string's only possible partners are contexts of the same anchor.
-   A context is an occurrence of an anchor with the strings that it anchors. One scan emits its two
-   hashes and its place.
+1. Every string of `least` bytes has an anchor, its leftmost k-byte word of least hash. Equal strings have
+   equal anchors at equal places, so a string's only possible partners are contexts of the same anchor; and
+   equal strings of `length` bytes begin with equal strings of `least` bytes. A context is an occurrence of
+   an anchor with the strings that it anchors and what follows them up to `length` bytes. One scan emits
+   its two hashes and its place; equal texts of a batch are scanned once and counted.
 2. Rows come together by anchor. Contexts that are equal as a whole are repeated as a whole and need no
    bytes. Where an anchor has different contexts, those that are unique, and one of each other kind, have
-   their bytes fetched.
+   their bytes fetched, once for each distinct text.
 3. The fetched contexts of an anchor are a collection of strings aligned at the anchor. From the last
    column to the first, each round inserts one symbol of every context: a stable distribution by symbol
    updates the order of the suffixes that begin there, and range minima update the common prefixes. A
-   suffix whose common prefix with a neighbour reaches LENGTH begins a repeated string. Spark's sorted
-   shuffle files take the place of the sequential external files; many anchors share one round.
-4. The starts of repeated strings of each text come together, and their bytes are removed.
+   suffix whose common prefix with a neighbour reaches `length` (or `least`) begins a repeated string.
+   Spark's sorted shuffle files take the place of the sequential external files; many anchors share one
+   round. Only order and prefixes are kept, and only within a task.
+4. An anchor of more than MANY contexts (a frequent line with other text around it) isn't sorted in one
+   task: each of its strings becomes a row with a 128-bit hash, equal ones of a batch become one, and rows
+   are dealt out by that hash.
+5. The starts of repeated strings of each text come together. The bytes of strings of `length` are removed;
+   those of strings of `least` bytes are counted.
 
 Hashes of k-byte words only choose partners; the columns compare bytes. Step 2 takes contexts of one
-anchor to be equal if their 64-bit hashes are (with the anchor's, 128 bits).
+anchor to be equal if their 64-bit hashes are (with the anchor's, 128 bits), step 4 strings by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,28 +40,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, parts, written
+from .common import held, map_columns, parts, release, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes that are scanned at once, and the bits of a place within them.
 BUFFER, PLACE_BITS = 1 << 20, 22
-#: Contexts whose columns are inserted together.
-TOGETHER = 16_384
+#: Contexts whose columns are inserted together, and the most of one anchor.
+TOGETHER, MANY = 8_192, 20_000
+#: Other values of the bytes, for a second hash.
+OTHER = np.random.default_rng(10_03).permutation(256).astype(np.uint8)
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, n at least."""
+    own = held("powers", dict)
+    if len(own.get("up", ())) <= n:
+        one, size = np.ones(1, np.uint64), 1 << max(16, (n + 1).bit_length())
+        own["up"], own["down"] = (np.concatenate([one, np.full(size, x, np.uint64)]).cumprod() for x in (BASE, INVERSE))
+    return own["up"], own["down"]
 
 
 def word_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """A mixed 64-bit hash of the k bytes from each place."""
     n = len(b)
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        one = np.ones(1, np.uint64)
-        up = np.concatenate([one, np.full(size, BASE, np.uint64)]).cumprod()
-        _powers[size] = up, np.concatenate([one, np.full(size, INVERSE, np.uint64)]).cumprod()
-    up, down = _powers[size]
+    up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
@@ -78,68 +87,92 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def contexts(pieces: list[tuple[bytes, int, int]], length: int, k: int) -> Iterator[tuple]:
-    """(piece, anchor hash, context hash, place of the anchor, first and last start relative to it).
+def contexts(pieces: list[tuple[bytes, int, int]], length: int, least: int, k: int) -> Iterator[tuple]:
+    """(piece, anchor hash, context hash, place of the anchor, and relative to it the first and last start
+    and the end of the bytes).
 
-    A piece is (text, first start, end of starts): the strings of `length` bytes that begin there.
+    A piece is (text, first start, end of starts): the strings of `least` bytes that begin there.
     """
-    data = b"".join(t[a : e + length - 1] for t, a, e in pieces)
-    size = np.array([e - a + length - 1 for _, a, e in pieces])
+    taken = [t[a : e - 1 + length] for t, a, e in pieces]
+    data = b"".join(taken)
+    size, starts_ = np.array([len(x) for x in taken]), np.array([e - a for _, a, e in pieces])
     begin = np.cumsum(size) - size
     h = word_hashes(np.frombuffer(data, np.uint8), k)
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = sliding_minimum(h & ~low | np.arange(len(h), dtype=np.uint64), length - k + 1)
-    anchor = (least & low).astype(np.int64)
+    smallest = sliding_minimum(h & ~low | np.arange(len(h), dtype=np.uint64), least - k + 1)
+    anchor = (smallest & low).astype(np.int64)
     valid = np.zeros(len(anchor) + 1, np.int8)
     np.add.at(valid, begin, 1)
-    np.add.at(valid, begin + size - length + 1, -1)
+    np.add.at(valid, begin + starts_, -1)
     live = np.cumsum(valid[:-1]) > 0
     fresh = np.concatenate(([True], anchor[1:] != anchor[:-1])) | ~live
     fresh[begin] = True
     starts = np.flatnonzero(fresh)
     ends = np.append(starts[1:], len(anchor))
     keep = live[starts]
-    starts, ends = starts[keep], ends[keep] - 1
+    starts, ends = starts[keep], ends[keep]
     piece = np.searchsorted(begin, starts, side="right") - 1
+    ends = np.minimum(ends, (begin + starts_)[piece]) - 1
+    stop = np.minimum(ends + length, (begin + size)[piece])
     place = anchor[starts]
     first = np.array([a for _, a, _ in pieces])[piece] - begin[piece]
-    for p, ah, at, s, e, off in zip(piece.tolist(), h[place].view(np.int64).tolist(), place.tolist(), starts.tolist(), ends.tolist(), first.tolist(), strict=True):
-        ch = xxhash.xxh3_64_intdigest(data[s : e + length], (at - s) << 20 | e - s)
-        yield p, ah, ch - (1 << 64) if ch >> 63 else ch, at + off, s - at, e - at
-
+    for p, ah, at, s, e, z, off in zip(piece.tolist(), h[place].view(np.int64).tolist(), place.tolist(), starts.tolist(), ends.tolist(), stop.tolist(), first.tolist(), strict=True):
+        ch = xxhash.xxh3_64_intdigest(data[s:z], (at - s) << 20 | e - s)
+        yield p, ah, ch - (1 << 64) if ch >> 63 else ch, at + off, s - at, e - at, z - at
 
-OCCURRENCES = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("key", pa.binary()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
+PLACE = [("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("end", pa.int32())]
+PLACE_SQL = "pos long, lo int, hi int, end int"
+OCCURRENCES = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("key", pa.binary()), *PLACE, ("n", pa.int32())])
 
-def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """The contexts of every row of docs (key, text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in parts(b)):
-            keys, texts = (batch.column(i).cast(pa.binary()).to_pylist() for i in range(2))
-            wait, owner, total = [], [], 0
+def once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
+    """The first row of each key (column 0), and how many rows have it."""
+    first: dict[bytes, int] = {}
+    rows, n = [], []
+    for i, key in enumerate(batch.column(0).to_pylist()):
+        at = first.setdefault(key, len(n))
+        if at == len(n):
+            rows.append(i)
+            n.append(0)
+        n[at] += 1
+    return (batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))), n
 
-            def out() -> pa.RecordBatch:
-                rows = [(ah, ch, keys[owner[p]], at, lo, hi) for p, ah, ch, at, lo, hi in contexts(wait, length, k)]
-                cols = list(zip(*rows, strict=True)) or [[] for _ in OCCURRENCES]
-                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OCCURRENCES, strict=True)], schema=OCCURRENCES)
 
-            for i, t in enumerate(texts):
-                for a in range(0, len(t) - length + 1, BUFFER):
-                    e = min(a + BUFFER, len(t) - length + 1)
-                    wait.append((t, a, e))
-                    owner.append(i)
-                    total += e - a + length
-                    if total >= BUFFER:
-                        yield out()
-                        wait, owner, total = [], [], 0
-            if wait:
-                yield out()
+def occurrences(docs: DataFrame, length: int, least: int, k: int) -> DataFrame:
+    """The contexts of docs (key, text); n: the rows of a batch that hold it in an equal text."""
 
-    return docs.select("key", "text").mapInArrow(run, "ah long, ch long, key binary, pos long, lo int, hi int")
-
-
-SORTED = pa.schema([("need", pa.bool_()), ("single", pa.bool_()), *OCCURRENCES])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            whole, n = once(whole)
+            counts = iter(n)
+            for batch in parts(whole):
+                keys, texts = (batch.column(i).cast(pa.binary()).to_pylist() for i in range(2))
+                many = [next(counts) for _ in keys]
+                wait, owner, total = [], [], 0
+
+                def out() -> pa.RecordBatch:
+                    rows = [(ah, ch, keys[o := owner[p]], at, lo, hi, end, many[o]) for p, ah, ch, at, lo, hi, end in contexts(wait, length, least, k)]
+                    cols = list(zip(*rows, strict=True)) or [[] for _ in OCCURRENCES]
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OCCURRENCES, strict=True)], schema=OCCURRENCES)
+
+                for i, t in enumerate(texts):
+                    for a in range(0, len(t) - least + 1, BUFFER):
+                        e = min(a + BUFFER, len(t) - least + 1)
+                        wait.append((t, a, e))
+                        owner.append(i)
+                        total += e - a + length
+                        if total >= BUFFER:
+                            yield out()
+                            wait, owner, total = [], [], 0
+                if wait:
+                    yield out()
+        release()
+
+    return docs.select("key", "text").mapInArrow(run, f"ah long, ch long, key binary, {PLACE_SQL}, n int")
+
+
+SORTED = pa.schema([("need", pa.bool_()), ("single", pa.bool_()), ("hot", pa.bool_()), ("ah", pa.int64()), ("key", pa.binary()), *PLACE])
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -147,25 +180,25 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def sort_out(t: pa.Table) -> pa.RecordBatch:
-    """Of whole anchors, sorted by anchor and context hash: rows of repeated contexts (need false), and
-    the contexts whose bytes are needed (need true; single: it is unique)."""
-    ah, ch = (t.column(c).to_numpy() for c in ("ah", "ch"))
+def sort_out(t: pa.Table, hot: bool) -> pa.RecordBatch:
+    """Of whole anchors (hot: of whole contexts of one anchor), sorted by anchor and context hash: rows of
+    repeated contexts (need false), and the contexts whose bytes are needed (need true; single: unique)."""
+    ah, ch, n = (t.column(c).to_numpy() for c in ("ah", "ch", "n"))
     new = np.zeros(len(ah), bool)
     new[_runs(ah)] = True
     new[_runs(ch)] = True
     classes = np.flatnonzero(new)
-    size = np.diff(np.append(classes, len(ah)))
+    size, rows = np.add.reduceat(n, classes), np.diff(np.append(classes, len(ah)))
     group = np.searchsorted(_runs(ah), classes, side="right") - 1
-    n, singles = np.bincount(group), np.bincount(group, weights=size == 1)
-    fetch = (n > 1) & (singles > 0)
-    repeated = np.flatnonzero(np.repeat(size > 1, size))
+    kinds, singles = np.bincount(group), np.bincount(group, weights=size == 1)
+    fetch = (kinds > 1) & (singles > 0) | hot
+    repeated = np.flatnonzero(np.repeat(size > 1, rows))
     needed = classes[fetch[group]]
-    index = np.concatenate([repeated, needed])
+    index = pa.array(np.concatenate([repeated, needed]))
     single = np.concatenate([np.zeros(len(repeated), bool), (size == 1)[fetch[group]]])
     need = np.arange(len(index)) >= len(repeated)
-    own = t.take(pa.array(index)).combine_chunks()
-    return pa.RecordBatch.from_arrays([pa.array(need), pa.array(single), *(own.column(f.name).combine_chunks() if isinstance(own.column(f.name), pa.ChunkedArray) else own.column(f.name) for f in OCCURRENCES)], schema=SORTED)
+    own = t.select(SORTED.names[3:]).take(index).combine_chunks().columns
+    return pa.RecordBatch.from_arrays([pa.array(need), pa.array(single), pa.array(need & hot), *(c.combine_chunks() for c in own)], schema=SORTED)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
@@ -188,40 +221,81 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, least: int) ->
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in whole_groups(batches, "ah", 100_000):
-        yield sort_out(t)
+    """Rows come sorted by anchor and context hash. About MANY wait: of whole anchors, or of one anchor alone."""
+    wait: list[pa.RecordBatch] = []
+    hot = None  # the anchor that is too large
+    for batch in batches:
+        for at in range(0, batch.num_rows, MANY):
+            wait.append(batch.slice(at, MANY))
+            if sum(b.num_rows for b in wait) < MANY:
+                continue
+            t = pa.Table.from_batches(wait).combine_chunks()
+            ah, ch = t.column("ah").to_numpy(), t.column("ch").to_numpy()
+            end = 0
+            if ah[0] == ah[-1]:
+                hot = int(ah[0])
+                if ch[0] != ch[-1]:
+                    end = int(np.flatnonzero(ch != ch[-1])[-1]) + 1
+                else:  # one context: all its rows are repeated, and the last one goes on to say so
+                    yield sort_out(t.slice(0, len(ah) - 1), False)
+                    last = t.slice(len(ah) - 1).set_column(t.column_names.index("n"), OCCURRENCES.field("n"), pa.array([2], pa.int32()))
+                    wait = last.combine_chunks().to_batches()
+                    continue
+            else:
+                end = int(np.flatnonzero(ah != ah[-1])[-1]) + 1
+                first = int(np.flatnonzero(ah != ah[0])[0]) if hot == ah[0] else 0
+                if first:
+                    yield sort_out(t.slice(0, first), True)
+                if end > first:
+                    yield sort_out(t.slice(first, end - first), False)
+                wait = t.slice(end).combine_chunks().to_batches()
+                continue
+            yield sort_out(t.slice(0, end), True)
+            wait = t.slice(end).combine_chunks().to_batches()
+    if wait:
+        t = pa.Table.from_batches(wait)
+        ah = t.column("ah").to_numpy()
+        first = int(np.count_nonzero(ah == hot)) if hot is not None else 0
+        if first:
+            yield sort_out(t.slice(0, first), True)
+        if first < len(ah):
+            yield sort_out(t.slice(first), False)
+    release()
+
 
+FETCHED = pa.schema([("ah", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("key", pa.binary()), *PLACE, ("own", pa.binary())])
 
-def fetched(needs: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """The bytes of the needed contexts: (ah, single, key, pos, lo, hi, own)."""
-    by_text = needs.groupBy("key").agg(F.collect_list(F.struct("ah", "single", "pos", "lo", "hi")).alias("at"))
-    schema = pa.schema([("ah", pa.int64()), ("single", pa.bool_()), ("key", pa.binary()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.binary())])
+
+def fetched(needs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The bytes of the needed contexts: (ah, single, hot, key, pos, lo, hi, end, own)."""
+    by_text = needs.groupBy("key").agg(F.collect_list(F.struct("ah", "single", "hot", "pos", "lo", "hi", "end")).alias("at"))
+    texts = docs.groupBy("key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in parts(b)):
             keys, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("key", "text"))
             at = batch.column("at")
             f = at.flatten()
-            ah, single, pos, lo, hi = (f.field(i) for i in range(5))
-            row = np.repeat(np.arange(len(keys)), np.diff(at.offsets.to_numpy()))
-            own = [texts[r][p + a : p + b + length] for r, p, a, b in zip(row.tolist(), pos.to_pylist(), lo.to_pylist(), hi.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ah, single, pa.array([keys[r] for r in row.tolist()], pa.binary()), pos, lo, hi, pa.array(own, pa.binary())], schema=schema)
+            ah, single, hot, pos, lo, hi, end = (f.field(i) for i in range(7))
+            row = np.repeat(np.arange(len(keys)), np.diff(at.offsets.to_numpy())).tolist()
+            own = [texts[r][p + a : p + z] for r, p, a, z in zip(row, pos.to_pylist(), lo.to_pylist(), end.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ah, single, hot, pa.array([keys[r] for r in row], pa.binary()), pos, lo, hi, end, pa.array(own, pa.binary())], schema=FETCHED)
+        release()
 
-    joined = docs.join(by_text, "key").select("key", "text", "at")
-    return joined.mapInArrow(run, "ah long, single boolean, key binary, pos long, lo int, hi int, own binary")
+    joined = texts.join(by_text, "key").select("key", "text", "at")
+    return joined.mapInArrow(run, f"ah long, single boolean, hot boolean, key binary, {PLACE_SQL}, own binary")
 
 
-def insert_columns(group: np.ndarray, own: list[bytes], lo: np.ndarray, hi: np.ndarray, length: int, reach: int) -> np.ndarray:
-    """(contexts x starts from -reach to 0): whether the string that begins there occurs in another
-    context of the group (groups are runs of equal numbers)."""
-    n, width = len(own), reach + length
+def insert_columns(group: np.ndarray, own: list[bytes], lo: np.ndarray, hi: np.ndarray, lengths: tuple[int, ...], reach: int) -> list[np.ndarray]:
+    """For each of the lengths (contexts x starts from -reach to 0): whether the string that begins there
+    occurs in another context of the group (groups are runs of equal numbers)."""
+    n, width = len(own), reach + max(lengths)
     symbol = np.full((width, n), -1, np.int16)  # by column; -1: outside the context, equal to nothing
     for i, (b, a) in enumerate(zip(own, (lo + reach).tolist(), strict=True)):
         symbol[a : a + len(b), i] = np.frombuffer(b, np.uint8)
-    _, number = np.unique(group, return_inverse=True)
-    number = number.astype(np.int64) << 16
+    number = np.cumsum(np.concatenate(([0], group[1:] != group[:-1]))).astype(np.int64) << 16
     order, prefix = np.arange(n), np.zeros(n, np.int64)
-    found = np.zeros((reach + 1, n), bool)
+    found = [np.zeros((reach + 1, n), bool) for _ in lengths]
     for column in range(width - 1, -1, -1):
         key = (number + symbol[column])[order]
         by = np.argsort(key, kind="stable")
@@ -236,33 +310,104 @@ def insert_columns(group: np.ndarray, own: list[bytes], lo: np.ndarray, hi: np.n
             met[after] = 1 + np.minimum.reduceat(np.append(prefix, 0), bounds)[::2]
         order, prefix = order[by], met
         if column <= reach:
-            long = prefix >= length
-            long[:-1] |= long[1:]
-            found[column, order] = long
+            for length, f in zip(lengths, found, strict=True):
+                long = prefix >= length
+                long[:-1] |= long[1:]
+                f[column, order] = long
     starts = np.arange(-reach, 1)[:, None]
-    return (found & (starts >= lo) & (starts <= hi)).T
+    return [(f & (starts >= lo) & (starts <= hi)).T for f in found]
 
 
-STARTS = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
+STARTS = pa.schema([("key", pa.binary()), ("size", pa.int32()), ("first", pa.int64()), ("last", pa.int64())])
+STARTS_SQL = "key binary, size int, first long, last long"
 
 
-def compared(contexts_: DataFrame, length: int, k: int) -> DataFrame:
-    """(key, first, last): runs of starts of repeated strings among the unique contexts."""
-    reach = length - k
+def compared(contexts_: DataFrame, lengths: tuple[int, ...], reach: int) -> DataFrame:
+    """(key, size, first, last): runs of starts of repeated strings of that size among the unique contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "ah", TOGETHER):
             ah, single, pos, lo, hi = (t.column(c).to_numpy() for c in ("ah", "single", "pos", "lo", "hi"))
-            found = insert_columns(ah, t.column("own").to_pylist(), lo, hi, length, reach) & single[:, None]
-            edge = np.diff(found.astype(np.int8), axis=1, prepend=0, append=0)
-            row, a = np.nonzero(edge == 1)
-            _, b = np.nonzero(edge == -1)
-            keys = t.column("key").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys, pa.array(pos[row] + a - reach), pa.array(pos[row] + b - 1 - reach)], schema=STARTS)
+            own = t.column("key").combine_chunks()
+            for size, found in zip(lengths, insert_columns(ah, t.column("own").to_pylist(), lo, hi, lengths, reach), strict=True):
+                edge = np.diff((found & single[:, None]).astype(np.int8), axis=1, prepend=0, append=0)
+                row, a = np.nonzero(edge == 1)
+                _, b = np.nonzero(edge == -1)
+                yield pa.RecordBatch.from_arrays(
+                    [own.take(pa.array(row)), pa.array(np.full(len(row), size, np.int32)), pa.array(pos[row] + a - reach), pa.array(pos[row] + b - 1 - reach)], schema=STARTS)
+        release()
+
+    n = int(contexts_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts_.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(run, STARTS_SQL)
+
+
+STRINGS = pa.schema([("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("single", pa.bool_()), ("n", pa.int32()), *((f.name, f.type) for f in STARTS)])
+
 
+def strings(contexts_: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Every string of some contexts: its 128-bit hash (a, b), place, whether its context is unique. Equal
+    strings of a batch become one row (n: how many), and those of unique contexts are known to be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                own = part.column("own").to_pylist()
+                single, pos, lo, hi = (part.column(c).to_numpy(zero_copy_only=False) for c in ("single", "pos", "lo", "hi"))
+                data = np.frombuffer(b"".join(own), np.uint8)
+                bytes_ = np.array([len(x) for x in own])
+                begin = np.cumsum(bytes_) - bytes_
+                for size in lengths:
+                    if len(data) < size:
+                        continue
+                    many = np.maximum(np.minimum(hi - lo + 1, bytes_ - size + 1), 0)
+                    row = np.repeat(np.arange(len(own)), many)
+                    offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    place = begin[row] + offset
+                    a, b = (word_hashes(x, size)[place] for x in (data, OTHER[data]))
+                    order = np.lexsort((b, a))
+                    a, b, row, offset = a[order], b[order], row[order], offset[order]
+                    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+                    run_of = np.cumsum(new) - 1
+                    count = np.bincount(run_of) if len(a) else np.zeros(0, np.int64)
+                    known = np.flatnonzero((count[run_of] > 1) & single[row])
+                    index = np.concatenate([known, np.flatnonzero(new)])
+                    start = pos[row[index]] + lo[row[index]] + offset[index]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(len(index)) < len(known)), pa.array(a[index].view(np.int64)), pa.array(b[index].view(np.int64)), pa.array(single[row[index]]),
+                        pa.array(count[run_of[index]].astype(np.int32)), part.column("key").take(pa.array(row[index])), pa.array(np.full(len(index), size, np.int32)), pa.array(start), pa.array(start),
+                    ], schema=STRINGS)
+        release()
+
+    return contexts_.mapInArrow(run, f"known boolean, a long, b long, single boolean, n int, {STARTS_SQL}")
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of strings sorted by size, a and b -> starts of those that are repeated. A row waits for the next."""
+    wait = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch] if wait is None else [wait, batch]).combine_chunks()
+        size, a, b, n, single = (t.column(c).to_numpy() for c in ("size", "a", "b", "n", "single"))
+        same = (size[1:] == size[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        twice = n > 1
+        twice[1:] |= same
+        twice[:-1] |= same
+        keep = np.flatnonzero(twice & single)
+        out = t.take(pa.array(keep)).select(STARTS.names).combine_chunks()
+        yield from out.cast(STARTS).to_batches()
+        last = t.slice(len(a) - 1)  # seen again with the next batch; twice at most, and sets forget that
+        wait = last.combine_chunks().to_batches()[0]
+    release()
+
+
+def of_hot_anchors(contexts_: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, size, first, last) as compared() gives it, however many contexts an anchor has."""
+    found = written(strings(contexts_, lengths))
     n = int(contexts_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts_.repartition(n, "ah").sortWithinPartitions("ah").mapInArrow(run, "key binary, first long, last long")
+    dealt = found.where("not known").repartition(n, "a", "b").sortWithinPartitions("size", "a", "b")
+    return found.where("known").select(*STARTS.names).unionByName(dealt.mapInArrow(_repeated, STARTS_SQL))
 
 
 def removed(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[bytes, int, list[tuple[int, int]]]:
@@ -281,36 +426,54 @@ def removed(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[byte
     return b"".join(out), sum(b - a for a, b in spans), [(a, b) for a, b in spans]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, keep_text: bool = False) -> DataFrame:
-    """For each row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256; with keep_text also
-    the bytes left (binary) and the removed spans (array of struct: start, end).
+def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, keep_text: bool = False, least: int = 256) -> DataFrame:
+    """For each row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, n_repeated; with
+    keep_text also the bytes left (binary) and the removed spans (array of struct: start, end).
 
     Every byte is removed that a string of `length` bytes covers which also begins elsewhere in any row.
-    Rows are told apart by their texts only: a text that two rows hold is repeated as a whole if it has
-    `length` bytes. Null counts as empty; repeated ids and rows are fine; an empty table gives an empty
-    one; further columns are ignored. Long texts are scanned in overlapping parts.
+    n_repeated counts the bytes that strings of only `least` bytes cover so; they stay. Rows are told apart
+    by their texts only: a text that two rows hold is repeated as a whole if it has `length` bytes. Null
+    counts as empty; repeated ids and rows are fine; an empty table gives an empty one; further columns are
+    ignored. Long texts are scanned in overlapping parts.
     """
+    least = min(least, length)
+    lengths, reach = tuple(sorted({length, least}, reverse=True)), least - k
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = occurrences(own.where(F.octet_length("text") >= length), length, k)
+    enough = own.where(F.octet_length("text") >= least)
+    rows = occurrences(enough, length, least, k)
     out = written(
         rows.repartition(n, "ah").sortWithinPartitions("ah", "ch")
-        .mapInArrow(_sorted_out, "need boolean, single boolean, ah long, ch long, key binary, pos long, lo int, hi int")
+        .mapInArrow(_sorted_out, f"need boolean, single boolean, hot boolean, ah long, key binary, {PLACE_SQL}")
+    )
+    first = F.col("pos") + F.col("lo")
+    whole = out.where("not need").select(
+        "key", first.alias("first"), (F.col("pos") + F.col("hi")).alias("last"),
+        F.least(F.col("pos") + F.col("hi"), F.col("pos") + F.col("end") - length).alias("last_long"),
     )
-    whole = out.where("not need").select("key", (F.col("pos") + F.col("lo")).alias("first"), (F.col("pos") + F.col("hi")).alias("last"))
-    partly = compared(fetched(out.where("need"), own, length), length, k)
-    runs = whole.unionByName(partly).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = whole.select("key", F.lit(least).alias("size"), "first", "last")
+    if least < length:
+        runs = runs.unionByName(whole.where("last_long >= first").select("key", F.lit(length).alias("size"), "first", F.col("last_long").alias("last")))
+    needed = out.where("need")
+    if out.where("hot").isEmpty():
+        runs = runs.unionByName(compared(fetched(needed, enough), lengths, reach))
+    else:
+        bytes_ = written(fetched(needed, enough))
+        runs = runs.unionByName(compared(bytes_.where("not hot"), lengths, reach)).unionByName(of_hot_anchors(bytes_.where("hot"), lengths))
+    runs = runs.groupBy("key").agg(F.collect_set(F.struct("size", "first", "last")).alias("runs"))
 
     def run(ids: list, texts: list, found: list) -> list:
         made = []
         for i, t, r in zip(ids, texts, found, strict=True):
-            left, n, spans = removed(t, [(x["first"], x["last"]) for x in r or []], length)
-            row = (i, len(t), n, len(spans), hashlib.sha256(left).hexdigest())
+            left, n, spans = removed(t, [(x["first"], x["last"]) for x in r or [] if x["size"] == length], length)
+            repeated = removed(t, [(x["first"], x["last"]) for x in r or [] if x["size"] == least], least)[1]
+            row = (i, len(t), n, len(spans), hashlib.sha256(left).hexdigest(), repeated)
             made.append((*row, left, [{"start": a, "end": b} for a, b in spans]) if keep_text else row)
         return list(zip(*made, strict=True))
 
-    schema, fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long"
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated", pa.int64())]
     if keep_text:
         schema += ", kept binary, spans array<struct<start: long, end: long>>"
         fields += [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]

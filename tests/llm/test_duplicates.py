@@ -140,11 +140,13 @@ def test_repeated_bytes(make):
         texts = ["".join(rnd.choice(parts) if rnd.random() < 0.5 else "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 60))) for _ in range(rnd.randint(0, 5))) for _ in range(25)]
         texts += [None, "", "x" * 500, texts[2], "ab" * 40, "short"]
         want = repeated_bytes.brute([(t or "").encode() for t in texts], length)
-        got = {r.doc_id: r for r in repeated_bytes.remove_repeats(make(texts), length, k, keep_text=True).collect()}
+        least = length - 5
+        shorter = repeated_bytes.brute([(t or "").encode() for t in texts], least)
+        got = {r.doc_id: r for r in repeated_bytes.remove_repeats(make(texts), length, k, keep_text=True, least=least).collect()}
         for i, t in enumerate(texts):
             raw, r = (t or "").encode(), got[i]
             assert bytes(r.kept) == want[i] and r.kept_sha256 == hashlib.sha256(want[i]).hexdigest()
-            assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), len(raw) - len(want[i]), len(r.spans))
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.n_repeated) == (len(raw), len(raw) - len(want[i]), len(r.spans), len(raw) - len(shorter[i]))
             assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
     assert repeated_bytes.remove_repeats(make(texts).where("false")).count() == 0
 
@@ -159,6 +161,25 @@ def test_repeated_bytes_of_long_texts(make, monkeypatch):
     assert [got[i].kept_sha256 for i in range(3)] == [hashlib.sha256(x).hexdigest() for x in want]
 
 
+def test_repeated_bytes_of_frequent_lines(make, monkeypatch):
+    """Anchors of more contexts than a task takes, of equal texts and of texts that share a line only."""
+    rnd = random.Random(12)
+
+    def noise(n):
+        return "".join(rnd.choice("abcdefgh ") for _ in range(n))
+
+    line, passage, other = noise(90), noise(420), noise(300)
+    texts = [noise(rnd.randint(0, 300)) + line + noise(rnd.randint(200, 500)) for _ in range(120)]
+    texts += [noise(200) + passage + noise(60) for _ in range(20)] + [noise(50) + other + noise(80) for _ in range(12)] + [texts[5]] * 40 + [texts[7] + "x", "y" + texts[9]]
+    rnd.shuffle(texts)
+    want, shorter = (repeated_bytes.brute([t.encode() for t in texts], n) for n in (400, 256))
+    monkeypatch.setattr(repeated_bytes, "MANY", 16)
+    got = {r.doc_id: r for r in repeated_bytes.remove_repeats(make(texts)).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(t) - len(want[i]), hashlib.sha256(want[i]).hexdigest())
+        assert got[i].n_repeated == len(t) - len(shorter[i])
+
+
 def test_paragraphs_of_rows_without_id(make):
     """A paragraph that also, or only, stands in a row without a doc_id is linked to its near copies."""
     p, q = ([f"{c}{i}" for i in range(60)] for c in "pq")
