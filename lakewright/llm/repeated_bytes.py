@@ -21,7 +21,8 @@ to short, aligned contexts, whose columns are then inserted the same way:
    round. Only order and prefixes are kept, and only within a task.
 4. An anchor of more than MANY contexts (a frequent line with other text around it) isn't sorted in one
    task: each of its strings becomes a row with a 128-bit hash, equal ones of a batch become one, and rows
-   are dealt out by that hash.
+   are dealt out by that hash. Anchors that a sample shows to be frequent have their contexts dealt out by
+   the context's hash from the start.
 5. The starts of repeated strings of each text come together. The bytes of strings of `length` are removed;
    those of strings of `least` bytes are counted.
 
@@ -48,6 +49,8 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BUFFER, PLACE_BITS = 1 << 20, 22
 #: Contexts whose columns are inserted together, and the most of one anchor.
 TOGETHER, MANY = 8_192, 20_000
+#: Of one text in SAMPLE, anchors that stand OFTEN are taken to be frequent, MOST_FREQUENT of them at most.
+SAMPLE, OFTEN, MOST_FREQUENT = 1_000, 16, 5_000
 #: Other values of the bytes, for a second hash.
 OTHER = np.random.default_rng(10_03).permutation(256).astype(np.uint8)
 
@@ -180,9 +183,10 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def sort_out(t: pa.Table, hot: bool) -> pa.RecordBatch:
-    """Of whole anchors (hot: of whole contexts of one anchor), sorted by anchor and context hash: rows of
-    repeated contexts (need false), and the contexts whose bytes are needed (need true; single: unique)."""
+def sort_out(t: pa.Table, hot: bool, frequent: np.ndarray) -> pa.RecordBatch:
+    """Of whole anchors (hot, or a frequent one: of whole contexts of an anchor), sorted by anchor and
+    context hash: rows of repeated contexts (need false), and the contexts whose bytes are needed (need
+    true; single: unique)."""
     ah, ch, n = (t.column(c).to_numpy() for c in ("ah", "ch", "n"))
     new = np.zeros(len(ah), bool)
     new[_runs(ah)] = True
@@ -191,14 +195,16 @@ def sort_out(t: pa.Table, hot: bool) -> pa.RecordBatch:
     size, rows = np.add.reduceat(n, classes), np.diff(np.append(classes, len(ah)))
     group = np.searchsorted(_runs(ah), classes, side="right") - 1
     kinds, singles = np.bincount(group), np.bincount(group, weights=size == 1)
-    fetch = (kinds > 1) & (singles > 0) | hot
+    dealt = np.isin(ah[classes], frequent) | hot
+    fetch = ((kinds > 1) & (singles > 0))[group] | dealt
     repeated = np.flatnonzero(np.repeat(size > 1, rows))
-    needed = classes[fetch[group]]
+    needed = classes[fetch]
     index = pa.array(np.concatenate([repeated, needed]))
-    single = np.concatenate([np.zeros(len(repeated), bool), (size == 1)[fetch[group]]])
+    none = np.zeros(len(repeated), bool)
+    single, hot_ = np.concatenate([none, (size == 1)[fetch]]), np.concatenate([none, dealt[fetch]])
     need = np.arange(len(index)) >= len(repeated)
     own = t.select(SORTED.names[3:]).take(index).combine_chunks().columns
-    return pa.RecordBatch.from_arrays([pa.array(need), pa.array(single), pa.array(need & hot), *(c.combine_chunks() for c in own)], schema=SORTED)
+    return pa.RecordBatch.from_arrays([pa.array(need), pa.array(single), pa.array(hot_), *(c.combine_chunks() for c in own)], schema=SORTED)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], column: str, least: int) -> Iterator[pa.Table]:
@@ -220,7 +226,17 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str, least: int) ->
         yield pa.Table.from_batches(wait)
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def frequent_anchors(docs: DataFrame, length: int, least: int, k: int) -> list[int]:
+    """Anchors that stand often in a thousandth of the texts (chosen by hash), the MOST_FREQUENT at most.
+
+    They only decide how rows are dealt out: contexts of these anchors go by their own hash as well.
+    """
+    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)
+    seen = occurrences(some, length, least, k).groupBy("ah").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    return sorted(r.ah for r in seen.orderBy(F.desc("n"), "ah").limit(MOST_FREQUENT).collect())
+
+
+def sorted_out(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor and context hash. About MANY wait: of whole anchors, or of one anchor alone."""
     wait: list[pa.RecordBatch] = []
     hot = None  # the anchor that is too large
@@ -237,7 +253,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if ch[0] != ch[-1]:
                     end = int(np.flatnonzero(ch != ch[-1])[-1]) + 1
                 else:  # one context: all its rows are repeated, and the last one goes on to say so
-                    yield sort_out(t.slice(0, len(ah) - 1), False)
+                    yield sort_out(t.slice(0, len(ah) - 1), False, frequent)
                     last = t.slice(len(ah) - 1).set_column(t.column_names.index("n"), OCCURRENCES.field("n"), pa.array([2], pa.int32()))
                     wait = last.combine_chunks().to_batches()
                     continue
@@ -245,21 +261,21 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = int(np.flatnonzero(ah != ah[-1])[-1]) + 1
                 first = int(np.flatnonzero(ah != ah[0])[0]) if hot == ah[0] else 0
                 if first:
-                    yield sort_out(t.slice(0, first), True)
+                    yield sort_out(t.slice(0, first), True, frequent)
                 if end > first:
-                    yield sort_out(t.slice(first, end - first), False)
+                    yield sort_out(t.slice(first, end - first), False, frequent)
                 wait = t.slice(end).combine_chunks().to_batches()
                 continue
-            yield sort_out(t.slice(0, end), True)
+            yield sort_out(t.slice(0, end), True, frequent)
             wait = t.slice(end).combine_chunks().to_batches()
     if wait:
         t = pa.Table.from_batches(wait)
         ah = t.column("ah").to_numpy()
         first = int(np.count_nonzero(ah == hot)) if hot is not None else 0
         if first:
-            yield sort_out(t.slice(0, first), True)
+            yield sort_out(t.slice(0, first), True, frequent)
         if first < len(ah):
-            yield sort_out(t.slice(first), False)
+            yield sort_out(t.slice(first), False, frequent)
     release()
 
 
@@ -443,9 +459,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, keep_text: b
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     enough = own.where(F.octet_length("text") >= least)
     rows = occurrences(enough, length, least, k)
+    often = frequent_anchors(enough, length, least, k)
+    frequent, deal = np.array(often, np.int64), F.col("ah")
+    if often:
+        deal = F.when(F.col("ah").isin(often), F.xxhash64("ah", "ch")).otherwise(F.col("ah"))
     out = written(
-        rows.repartition(n, "ah").sortWithinPartitions("ah", "ch")
-        .mapInArrow(_sorted_out, f"need boolean, single boolean, hot boolean, ah long, key binary, {PLACE_SQL}")
+        rows.repartition(n, deal).sortWithinPartitions("ah", "ch")
+        .mapInArrow(lambda batches: sorted_out(batches, frequent), f"need boolean, single boolean, hot boolean, ah long, key binary, {PLACE_SQL}")
     )
     first = F.col("pos") + F.col("lo")
     whole = out.where("not need").select(
