@@ -112,7 +112,7 @@ def jaccard_components(docs, least_words, least):
     kinds = list(by_set)
     links += [
         (by_set[x][0], by_set[y][0]) for n, x in enumerate(kinds) for y in kinds[:n]
-        if x[0] == y[0] and len(x[1] & y[1]) >= least * len(x[1] | y[1]) - 1e-9
+        if x[0] and y[0] and len(x[1] & y[1]) >= least * len(x[1] | y[1]) - 1e-9
     ]
     low = classes(links, list(own))
     stays = {}
