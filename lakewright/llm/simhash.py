@@ -31,22 +31,22 @@ ONE = np.uint64(1)
 BYTE_BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 
 
-def hashes(w: list[bytes]) -> Iterator[np.ndarray]:
-    """XXH64 of the 3-word shingles of a word list, in chunks; fewer words are one shingle."""
-    if 0 < len(w) < SHINGLE:
+def hashes(w: list[bytes], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of `size` words of a word list, in chunks; fewer words are one shingle."""
+    if 0 < len(w) < size:
         w = [b" ".join(w)]
         yield np.array([xxhash.xxh64_intdigest(w[0], SEED)], np.uint64)
         return
-    for at in range(0, len(w) - SHINGLE + 1, CHUNK):
-        part = w[at : at + CHUNK + SHINGLE - 1]
-        made = [xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(part, part[1:], part[2:], strict=False)]
+    for at in range(0, len(w) - size + 1, CHUNK):
+        part = w[at : at + CHUNK + size - 1]
+        made = [xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in zip(*(part[k:] for k in range(size)), strict=False)]
         yield np.array(made, np.uint64)
 
 
-def fingerprint(text: bytes) -> int:
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     """64 bits; a bit is 1 if it is set in over half the shingles' hashes. No words: zero."""
     count, n = np.zeros(64, np.int64), 0
-    for h in hashes(text.lower().split()):
+    for h in hashes(text.lower().split(), size):
         n += len(h)
         columns = h.astype(">u8").view(np.uint8).reshape(-1, 8)
         for k in range(8):
@@ -54,14 +54,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row of docs (doc_id, text); fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key, fp) of each row of docs (doc_id, text); fp is the fingerprint as a signed long,
+    text_key a hash of the text."""
 
-    def run(ids: list, texts: list) -> list:
-        made = np.array([fingerprint(t or b"") for t in texts], np.uint64).view(np.int64)
-        return [ids, made.tolist()]
+    def run(ids: list, keys: list, texts: list) -> list:
+        made = np.array([fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)
+        return [ids, keys, made.tolist()]
 
-    return map_columns(docs, ["doc_id", "text"], run, "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())]))
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return map_columns(own, ["doc_id", "text_key", "text"], run, "doc_id long, text_key long, fp long", pa.schema([(c, pa.int64()) for c in ("doc_id", "text_key", "fp")]))
 
 
 def homes(fp: np.ndarray) -> np.ndarray:
@@ -180,17 +182,22 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def components_of(fps: DataFrame) -> DataFrame:
+    """(fp, component): of the distinct fingerprints that are linked to others."""
+    return components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, the smallest
-    doc_id that is reachable over fingerprints differing in two bits or fewer.
+    doc_id that is reachable over fingerprints differing in two bits or fewer. size: words of a shingle.
 
     Null and wordless texts have the fingerprint zero and are linked like any other. Rows with a null
     doc_id have a fingerprint but don't name a component (null where no other row is in it). Repeated rows
     repeat. An empty table gives an empty one; further columns are ignored.
     """
-    fps = written(fingerprints(docs))
+    fps = written(fingerprints(docs, size))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
+    found = components_of(fps)
     named = (
         classes.join(found, "fp")
         .groupBy("component").agg(F.min("least").alias("component_id"))
@@ -199,10 +206,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one of the smallest doc_id, with all its columns. Rows that share a
-    doc_id are one document; rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
+    """One row of each component, with all its columns: the one of the smallest doc_id (rows without one
+    come last), of several such the one of the smallest text hash. size: words of a shingle.
+
+    Rows that share both doc_id and text are one document, of which one row stays. Null and wordless texts
+    are copies of each other. An empty table gives an empty one.
+    """
+    fps = written(fingerprints(docs, size))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    classes = fps.groupBy("fp").agg(F.min(row).alias("least")).join(components_of(fps), "fp", "left")
+    first = classes.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("least"))
+    stay = first.select(F.col("least.doc_id").alias("__id"), F.col("least.text_key").alias("__at"))
+    own = docs.withColumn("__key", F.xxhash64("text"))
+    kept = own.join(stay, own.doc_id.eqNullSafe(F.col("__id")) & (own["__key"] == F.col("__at")), "left_semi")
+    if not fps.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__key"])
+    return kept.select(*docs.columns)

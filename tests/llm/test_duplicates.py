@@ -27,12 +27,12 @@ def test_components(spark):
     assert components(df.where("false")).count() == 0
 
 
-def slow_fingerprint(t):
+def slow_fingerprint(t, size=3):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     for s in "\t\n\x0b\x0c\r":
         w = w.replace(s, " ")
     w = [x for x in w.split(" ") if x]
-    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    s = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
     return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
 
@@ -54,9 +54,13 @@ def test_simhash(make):
     want = classes(near, fp)
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
     docs = make(ids)
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, 3)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
-    assert simhash.near_duplicates(docs.where("false")).count() == 0
+    assert simhash.near_duplicates(docs.where("false")).count() == 0 and simhash.one_of_each(docs.where("false")).count() == 0
+    # Rows that share an id, or have none.
+    odd = make([(1, base[0]), (1, base[1]), (1, base[1]), (2, base[0]), (None, base[1]), (None, base[2]), (None, base[2])])
+    left = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(odd).collect()), key=str)
+    assert left == sorted([(1, base[0]), (1, base[1]), (None, base[2])], key=str)
 
 
 def test_anchor_links_are_complete():
