@@ -55,8 +55,11 @@ class Vocabulary:
         self.segment = re.compile(self.cuts()).findall
         self.plain = [p.replace(MARK, " ") for p in self.names]
         self.plain[self.eos] = ""
-        #: Text of an id as written in decimal; bytes have none of their own.
-        self.text_of = {str(i): None if i in self.is_byte else x for i, x in enumerate(self.plain)}.__getitem__
+        # The bytes of all pieces one after another, and where each begins and how many it has.
+        pieces = [bytes((self.is_byte[i],)) if i in self.is_byte else x.encode() for i, x in enumerate(self.plain)]
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.array([len(x) for x in pieces])
+        self.begin = np.cumsum(self.size) - self.size
 
     def cuts(self) -> str:
         """Pattern of the segments that no merge leaves: see the module's text."""
@@ -136,13 +139,12 @@ class Vocabulary:
             out += self.plain[i].encode() if b is None else bytes((b,))
         return out.decode("utf-8", "replace")
 
-    def decode_document(self, ids: list[str]) -> str:
-        """Text of a document's ids, in decimal: the prefix mark and the end id have no text."""
-        try:
-            text = "".join(map(self.text_of, ids))
-        except TypeError:
-            text = self.decode(list(map(int, ids)))
-        return text[1:]  # of the end id alone, nothing
+    def decode_document(self, ids: np.ndarray) -> bytes:
+        """Text of a document's ids as UTF-8: the prefix mark and the end id have no text."""
+        size = self.size[ids]
+        before = np.cumsum(size) - size
+        at = np.repeat(self.begin[ids] - before, size) + np.arange(int(size.sum()))
+        return self.flat[at].tobytes()[1:]  # of the end id alone, nothing
 
     def check(self, segments: list[str], ids: list[list[int]]) -> None:
         """Compare with the library: a segment without a mark, or of the mark alone, is put behind a line feed."""
@@ -162,7 +164,7 @@ class Memo(dict):
     the older one, and what is used of that moves on.
     """
 
-    LIMIT, LONGEST, UNCHECKED = 100_000, 100, 20_000
+    LIMIT, LONGEST, UNCHECKED = 200_000, 200, 20_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -233,15 +235,15 @@ def encode(docs: DataFrame, model: str, keep_ids: bool = False) -> DataFrame:
         n, ids_sha, text_sha, ids, back = [], [], [], [], []
         for t in texts:
             coded = encode_text(memo, (t or b"").decode("utf-8", "replace"))
-            own = coded.split(" ")
+            own = np.fromstring(coded, np.int32, sep=" ")
             decoded = memo.v.decode_document(own)
             n.append(len(own))
             ids_sha.append(hashlib.sha256(coded.encode()).hexdigest())
-            text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
+            text_sha.append(hashlib.sha256(decoded).hexdigest())
             memo.settle(memo.UNCHECKED)
             if keep_ids:
-                ids.append(np.array(own, np.int32))
-                back.append(decoded)
+                ids.append(own)
+                back.append(decoded.decode("utf-8", "replace"))
         memo.settle()
         return [doc_ids, n, ids_sha, text_sha, *([ids, back] if keep_ids else [])]
 
