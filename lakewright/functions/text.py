@@ -65,6 +65,8 @@ def _edits(a: list, b: list) -> int:
 
 
 _CELL = re.compile(r"<(/?)(table|tr|td|th)\b([^>]*)>", re.I)
+#: Fixed values of HTML: the largest spans.
+_MOST = {"row": 65_534, "col": 1_000}
 _SPAN = re.compile(r"(row|col)span\s*=\s*[\"']?(\d+)", re.I)
 
 
@@ -117,7 +119,7 @@ def table_cells(html: str) -> list[tuple[int, int, int, int, int, str, bool]]:
             if not close:
                 t = stack[-1]
                 t["row"] = max(t["row"], 0)
-                span = {k.lower(): max(1, min(1000, int(v))) for k, v in _SPAN.findall(m[3])}
+                span = {k.lower(): max(1, min(_MOST[k.lower()], int(v))) for k, v in _SPAN.findall(m[3])}
                 t["cell"] = {"table": t, "rows": span.get("row", 1), "cols": span.get("col", 1), "parts": parts.copy()}
     while stack:
         end_cell()

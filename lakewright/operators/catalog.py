@@ -47,7 +47,7 @@ def load_catalog(spark: SparkSession, formats_path: str, routes_path: str) -> di
         "raw_edges": raw,
         "edges": expanded.drop("losses"),
         "edge_losses": expanded.select("catalog", "edge_ord", F.posexplode("losses").alias("pos", "l")).select("catalog", "edge_ord", "pos", "l.text", "l.if_source_has"),
-        "overrides": r.select("catalog", F.explode("overrides").alias("v")).select("catalog", "v.source", "v.target", F.explode("v.modes").alias("mode"), "v.chain", "v.reason"),
+        "overrides": r.select("catalog", F.explode("overrides").alias("v")).select("catalog", "v.source", "v.target", F.explode(F.coalesce("v.modes", F.array(*map(F.lit, MODES)))).alias("mode"), "v.chain", "v.reason"),
     }
 
 
@@ -77,12 +77,12 @@ def expand_pairs(pairs: Column, left: Column, right: Column) -> Column:
 
 
 def expand_edges(raw: DataFrame) -> DataFrame:
-    """One row for each (edge, source, target, mode); edge_ord counts (edge, source, target) in order within
-    a catalogue. Costs are exact decimals."""
+    """One row for each (edge, source, target, mode); edge_ord orders (edge, source, target) within a
+    catalogue: the edge's place in the upper, the pair's in the lower 32 bits. Costs are exact decimals."""
     keys = ["catalog"] if "catalog" in raw.columns else []
     pairs = raw.select("*", F.posexplode(expand_pairs(F.col("pairs"), F.col("from"), F.col("to"))).alias("pair_ord", "pair"))
     out = pairs.withColumns({
-        "edge_ord": (F.col("raw_ord") * 10_000 + F.col("pair_ord")).cast("long"), "src": F.col("pair")[0], "dst": F.col("pair")[1],
+        "edge_ord": F.shiftleft(F.col("raw_ord").cast("long"), 32) + F.col("pair_ord"), "src": F.col("pair")[0], "dst": F.col("pair")[1],
     })
     out = out.withColumn("losses", _losses(F.col("losses"), F.col("dst"))) if "losses" in raw.columns else out
     return out.select(
@@ -104,6 +104,9 @@ class Rule:
     `key` names the columns that identify a row in a violation. fk: `column` must occur in `other` of table
     `to`. complete_cross: every pair of the two `axes` (table, column) must occur as `columns`. range: a
     number between low and high, NaN and booleans rejected. row_expr: `expr` must be true.
+
+    Where tables hold several catalogues (column catalog), each is judged by itself: keys begin with its
+    name, and `to` and the axes count within it.
     """
 
     name: str
@@ -123,7 +126,12 @@ class Rule:
 
 def _violations(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
     df = tables[r.table]
-    key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in r.key)) if r.key else F.lit("")
+
+    def graph(*names: str) -> list[str]:
+        return ["catalog"] if all("catalog" in tables[t].columns for t in (r.table, *names)) else []
+
+    by = [*graph(), *r.key]
+    key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in by)) if by else F.lit("")
 
     def out(bad: DataFrame, detail: Column) -> DataFrame:
         return bad.select(F.lit(r.name).alias("rule"), key.alias("key"), detail.cast("string").alias("detail"))
@@ -132,19 +140,22 @@ def _violations(tables: dict[str, DataFrame], r: Rule) -> DataFrame:
     if r.kind == "not_null":
         return out(df.where(c.isNull()), F.lit(f"{r.column} is null"))
     if r.kind == "unique":
-        many = df.groupBy(*r.key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        many = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         return out(many, F.concat(F.col("_n").cast("string"), F.lit(" rows")))
     if r.kind == "in_set":
         return out(df.where(c.isNotNull() & ~c.isin(*r.values)), c)
     if r.kind == "fk":
-        to = tables[r.to].select(F.col(r.other).alias(r.column)).distinct()
-        return out(df.where(c.isNotNull()).join(to, r.column, "left_anti"), c)
+        g = graph(r.to)
+        to = tables[r.to].select(*g, F.col(r.other).alias(r.column)).distinct()
+        return out(df.where(c.isNotNull()).join(to, [*g, r.column], "left_anti"), c)
     if r.kind == "complete_cross":
         (t1, c1), (t2, c2) = r.axes
         a, b = r.columns
-        axis1, axis2 = tables[t1].select(F.col(c1).alias(a)).distinct(), tables[t2].select(F.col(c2).alias(b)).distinct()
-        missing = axis1.crossJoin(F.broadcast(axis2)).join(df.select(a, b).distinct(), [a, b], "left_anti")
-        return missing.select(F.lit(r.name).alias("rule"), F.concat_ws("|", a, b).alias("key"), F.lit("missing").alias("detail"))
+        g = graph(t1, t2)
+        axis1, axis2 = tables[t1].select(*g, F.col(c1).alias(a)).distinct(), tables[t2].select(*g, F.col(c2).alias(b)).distinct()
+        every = axis1.join(axis2, g) if g else axis1.crossJoin(axis2)  # every pair is what is asked for
+        missing = every.join(df.select(*g, a, b).distinct(), [*g, a, b], "left_anti")
+        return missing.select(F.lit(r.name).alias("rule"), F.concat_ws("|", *g, a, b).alias("key"), F.lit("missing").alias("detail"))
     if r.kind == "range":
         kind = dict(df.dtypes)[r.column]
         if kind == "boolean":
@@ -168,6 +179,7 @@ def catalog_rules() -> list[Rule]:
     """The rules of a catalogue as load_catalog gives it."""
     return [
         Rule("format needs a label", "formats", "not_null", ["format"], "label"),
+        Rule("format needs roles", "formats", "not_null", ["format"], "roles"),
         Rule("caps are complete", "caps", "complete_cross", axes=(("formats", "format"), ("features", "feature")), columns=("format", "feature")),
         Rule("caps name known features", "caps", "fk", ["format", "feature"], "feature", to="features", other="feature"),
         Rule("source caps name known features", "source_caps", "fk", ["format", "feature"], "feature", to="features", other="feature"),
@@ -176,7 +188,7 @@ def catalog_rules() -> list[Rule]:
         Rule("target modes are known", "formats", "row_expr", ["format"], expr="target_modes is null or forall(target_modes, m -> m in ('exact', 'editable'))"),
         Rule("a target has modes", "formats", "row_expr", ["format"], expr="not coalesce(array_contains(roles, 'target'), false) or coalesce(size(target_modes), 0) > 0"),
         Rule("normalised form is known", "formats", "fk", ["format"], "normalize_to", to="formats", other="format"),
-        Rule("an edge has an id", "raw_edges", "not_null", ["raw_ord"], "id"),
+        Rule("an edge has an id", "raw_edges", "row_expr", ["raw_ord"], expr="id <> ''"),
         Rule("edge ids are unique", "raw_edges", "unique", ["id"]),
         Rule("an edge has modes", "raw_edges", "row_expr", ["id"], expr="coalesce(size(modes), 0) > 0"),
         Rule("edge modes are known", "edges", "in_set", ["edge_id", "src", "dst"], "mode", MODES),

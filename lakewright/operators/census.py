@@ -73,12 +73,18 @@ def split_apply_merge(df: DataFrame, class_col: str, fns: dict[str, Callable[[Da
     return reduce(lambda a, b: a.unionByName(b), parts, rest)
 
 
+#: Ranges of characters that are broadcast at most; a font has a few thousand.
+MOST_RANGES = 100_000
+
+
 def coverage_gaps(df: DataFrame, id: str, text: str, ranges: DataFrame) -> DataFrame:
     """(id, character, code, n) of characters outside every range (lo, hi).
 
     Characters are counted by document once; only the distinct ones of the corpus, at most 1.1 million
-    code points, meet the ranges.
+    code points, meet the ranges. MOST_RANGES bounds these; more raise an error.
     """
+    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
+        raise ValueError(f"over {MOST_RANGES} ranges; join those that touch")
     chars = df.select(id, F.explode(F.split(text, "")).alias("character")).where("character <> ''")
     counted = chars.groupBy(id, "character").agg(F.count(F.lit(1)).alias("n"))
     distinct = counted.select("character").distinct().withColumn("code", F.ascii("character").cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def cheapest_paths(
     nodes: DataFrame,
     sources: DataFrame,
     targets: DataFrame,
-    max_hops: int = 7,
+    max_hops: int | None = None,
     keys: tuple[str, ...] = ("mode",),
 ) -> DataFrame:
     """The cheapest path of every (source, target) and key at once, on the smallest order RANK.
@@ -33,12 +35,14 @@ def cheapest_paths(
     edges: src, dst, edge_ord, cost (0 or more), final_only and the key columns. nodes: node, transit,
     normalize_to. sources, targets: one column node. A node may be left if it is the source, a transit
     node, or the source's normalised form; a final-only edge may only be the last one; no node comes twice.
-    Inner edges are followed in rounds from the labels that improved last; final-only edges make one join
-    at the end. Rows: source, target, keys, chain, edge_ords, cost, hops. Edges and labels are hash-joined,
-    so neither is broadcast or collected; there are at most |sources| x |reachable nodes| labels. Many
-    graphs run at once if nodes, sources and targets hold one of the keys too (such as catalog).
+    Edges are written once. Inner ones are followed in rounds from the labels that improved last, until none
+    does; final-only edges make one join at the end. Rows: source, target, keys, chain, edge_ords, cost,
+    hops. Edges and labels are joined by key, so neither is collected; there are at most |sources| x
+    |reachable nodes| labels. max_hops: where a path may have so many edges only, each number of hops keeps
+    a label of its own, as a dearer but shorter one may be the one to go on. Many graphs run at once if
+    nodes, sources and targets hold one of the keys too (such as catalog).
     """
-    k = list(keys)
+    k, edges = list(keys), cut(edges)
     graph = [c for c in k if c in nodes.columns]
     node = nodes.select(*graph, F.col("node"), F.coalesce("transit", F.lit(False)).alias("transit"))
     legacy = nodes.select(*graph, F.col("node").alias("source"), "normalize_to")
@@ -65,14 +69,16 @@ def cheapest_paths(
         )
 
     best = frontier = cut(start)
-    for _ in range(max_hops):
-        found = cut(_least(best.unionByName(leave(frontier, inner)), key))
-        old = best.select(*key, F.col("edge_ords").alias("_old"))
-        frontier = found.join(old, key, "left").where("not (edge_ords <=> _old)").drop("_old")
+    label = key if max_hops is None else [*key, "hops"]
+    for _ in count() if max_hops is None else range(max_hops):
+        found = cut(_least(best.unionByName(leave(frontier, inner)), label))
+        old = best.select(*label, F.col("edge_ords").alias("_old"))
+        frontier = found.join(old, label, "left").where("not (edge_ords <=> _old)").drop("_old")
         best = found
         if frontier.isEmpty():
             break
-    ends = best.where("hops > 0").unionByName(leave(best.where(F.col("hops") < max_hops), last))
+    short = best if max_hops is None else best.where(F.col("hops") < max_hops)
+    ends = best.where("hops > 0").unionByName(leave(short, last))
     goal = targets.select(*graph, "node").distinct()
     return _least(ends.join(goal, [*graph, "node"], "left_semi"), key).select(
         "source", F.col("node").alias("target"), *k, "chain", "edge_ords", "cost", "hops"
@@ -113,17 +119,22 @@ def effective_mode(mode: Column, target_modes: Column) -> Column:
 def plan_requests(requests: DataFrame, formats: DataFrame, routes: DataFrame, modes: tuple[str, ...], most_rows: int = 1_000_000) -> DataFrame:
     """Each request (source, target, mode, any further columns) with its route or the first reason against.
 
-    formats: format, roles, target_modes. routes: source, target, mode, cost, hops, chain. Routes are
-    broadcast only up to `most_rows` rows; beyond, they are joined by key.
+    formats: format, roles, target_modes. routes: source, target, mode, cost, hops, chain; they are written
+    once. Either table is broadcast only up to `most_rows` rows; beyond, it is joined by key.
     """
+    routes = cut(routes)
     g = [GRAPH] if all(GRAPH in df.columns for df in (requests, formats, routes)) else []
     src = formats.select(*g, F.col("format").alias("source"), F.col("roles").alias("_sr"))
     dst = formats.select(*g, F.col("format").alias("target"), F.col("roles").alias("_tr"), F.col("target_modes").alias("_tm"))
-    small = routes.limit(most_rows + 1).count() <= most_rows
-    hint = F.broadcast if small else (lambda x: x)
+
+    def fit(df: DataFrame) -> bool:
+        return df.limit(most_rows + 1).count() <= most_rows
+
+    hint = F.broadcast if fit(formats) else (lambda x: x)
+    hint_routes = F.broadcast if fit(routes) else (lambda x: x)
     r = routes.select(*g, "source", "target", F.col("mode").alias("effective_mode"), "cost", "hops", "chain")
     df = requests.join(hint(src), [*g, "source"], "left").join(hint(dst), [*g, "target"], "left")
-    df = df.withColumn("effective_mode", effective_mode(F.col("mode"), F.col("_tm"))).join(hint(r), [*g, "source", "target", "effective_mode"], "left")
+    df = df.withColumn("effective_mode", effective_mode(F.col("mode"), F.col("_tm"))).join(hint_routes(r), [*g, "source", "target", "effective_mode"], "left")
     reason = (
         F.when(~F.coalesce(F.col("mode").isin(*modes), F.lit(False)), "unknown mode")
         .when(~F.coalesce(F.array_contains("_sr", "source"), F.lit(False)), "not a source")

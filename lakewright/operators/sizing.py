@@ -20,7 +20,7 @@ def inches(size: Column, unit: Column) -> Column:
 def plan_sizes(specs: DataFrame, dpis: DataFrame) -> DataFrame:
     """specs (spec, size, unit) in every DPI: px (rounded once), error in px and in mm, and best: the DPI of
     least error, the smallest among equals. DPIs are a short list."""
-    j = specs.crossJoin(F.broadcast(dpis.select("dpi")))
+    j = specs.crossJoin(dpis.select("dpi"))  # every DPI is asked for; Spark broadcasts the list by its size
     exact = inches(F.col("size"), F.col("unit")) * F.col("dpi")
     j = j.withColumn("px", F.round(exact).cast("long")).withColumn("error_px", F.col("px") - exact).withColumn("error_mm", F.col("error_px") / F.col("dpi") * 25.4)
     best = j.groupBy("spec").agg(F.min_by("dpi", F.struct(F.round(F.abs("error_px"), 9), F.col("dpi"))).alias("best_dpi"))
@@ -86,6 +86,6 @@ def grid_capacity(papers: DataFrame, sizes: DataFrame, margin: float = 0.0, gap:
     def fit(whole: str, part: str) -> Column:
         return F.greatest(F.floor((F.col(whole) - 2 * margin + gap) / (F.col(part) + gap)), F.lit(0))
 
-    j = papers.crossJoin(F.broadcast(sizes)).withColumn("cols", fit("width", "w")).withColumn("rows", fit("height", "h"))
+    j = papers.crossJoin(sizes).withColumn("cols", fit("width", "w")).withColumn("rows", fit("height", "h"))
     j = j.withColumn("per_sheet", F.col("cols") * F.col("rows"))
     return j.withColumn("sheets", F.when(F.col("per_sheet") > 0, F.ceil(F.col("needed") / F.col("per_sheet"))))

@@ -178,3 +178,46 @@ def test_cheapest_paths_by_brute_force(spark):
     for s, t, m in itertools.product(names, names, "xy"):
         want = brute(edges, transit, normal, s, t, m, 7) if s != t else None
         assert got.get((s, t, m)) == (want and (want[0][0], want[0][3])), (s, t, m)
+
+
+def _paths(spark, edges, **more):
+    e = spark.createDataFrame([(i, a, b, "exact", c, f) for i, (a, b, c, f) in enumerate(edges)], "edge_ord long, src string, dst string, mode string, cost long, final_only boolean")
+    names = sorted({x for a, b, *_ in edges for x in (a, b)})
+    n = spark.createDataFrame([(x, True, None) for x in names], "node string, transit boolean, normalize_to string")
+    return {(r.source, r.target): (r.cost, r.hops, "".join(r.chain)) for r in paths.cheapest_paths(e, n, n, n, **more).collect()}
+
+
+def test_long_paths(spark):
+    chain = "abcdefghijk"
+    got = _paths(spark, [(x, y, 1, y == "k") for x, y in zip(chain, chain[1:], strict=False)])
+    assert got[("a", "k")] == (10, 10, chain)
+
+
+def test_limit_on_hops(spark):
+    edges = [("s", "a", 1, False), ("a", "b", 1, False), ("s", "b", 5, False), ("b", "t", 1, True)]
+    assert _paths(spark, edges)[("s", "t")] == (3, 3, "sabt")
+    assert _paths(spark, edges, max_hops=2)[("s", "t")] == (6, 2, "sbt")
+    assert ("s", "t") not in _paths(spark, edges, max_hops=1)
+
+
+def test_catalogues_beside_each_other(spark):
+    """Ids and names count within a catalogue; overrides without modes mean both."""
+    raw = spark.createDataFrame([("x", 0, "e1"), ("y", 0, "e1"), ("y", 1, ""), ("y", 2, None)], "catalog string, raw_ord int, id string")
+    ranks = spark.createDataFrame([("x", "f", "n1"), ("y", "g", "n1")], "catalog string, format string, normalize_to string")
+    names = spark.createDataFrame([("x", "n1")], "catalog string, format string")
+    found = catalog.check(
+        {"raw": raw, "formats": ranks, "known": names},
+        [
+            catalog.Rule("unique", "raw", "unique", ["id"]), catalog.Rule("id", "raw", "row_expr", ["raw_ord"], expr="id <> ''"),
+            catalog.Rule("known", "formats", "fk", ["format"], "normalize_to", to="known", other="format"),
+            catalog.Rule("cross", "formats", "complete_cross", axes=(("formats", "format"), ("known", "format")), columns=("format", "normalize_to")),
+        ],
+    )
+    assert sorted((r.rule, r.key) for r in found.collect()) == [("id", "y|1"), ("id", "y|2"), ("known", "y|g")]
+
+
+def test_pairs_of_many(spark):
+    raw = spark.createDataFrame([(0, "e", [str(i) for i in range(120)], [str(i) for i in range(120)], {"exact": 1.0}), (1, "f", ["a"], ["b"], {"exact": 1.0})], "raw_ord int, id string, `from` array<string>, `to` array<string>, modes map<string, double>")
+    raw = raw.selectExpr("*", "cast(null as array<array<string>>) pairs", "'g' engine", "false finalOnly", "'' summary")
+    rows = catalog.expand_edges(raw).orderBy("edge_ord").select("edge_ord", "edge_id").collect()
+    assert len({r.edge_ord for r in rows}) == 120 * 120 + 1 and rows[-1].edge_id == "f"
