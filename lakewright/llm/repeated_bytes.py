@@ -33,10 +33,12 @@ anchor to be equal if their 64-bit hashes are (with the anchor's, 128 bits), ste
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,7 +128,7 @@ def contexts(pieces: list[tuple[bytes, int, int]], length: int, least: int, k: i
 
 PLACE = [("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("end", pa.int32())]
 PLACE_SQL = "pos long, lo int, hi int, end int"
-OCCURRENCES = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("key", pa.binary()), *PLACE, ("n", pa.int32())])
+OCCURRENCES = pa.schema([("ah", pa.int64()), ("ch", pa.int64()), ("key", pa.binary()), *PLACE, ("n", pa.int32()), ("known", pa.bool_())])
 
 
 def once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
@@ -143,7 +145,8 @@ def once(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[int]]:
 
 
 def occurrences(docs: DataFrame, length: int, least: int, k: int) -> DataFrame:
-    """The contexts of docs (key, text); n: the rows of a batch that hold it in an equal text."""
+    """The contexts of docs (key, text). Contexts that a chunk of rows holds several times are known to be
+    repeated; one row of them has their number n and goes to the others of its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -156,7 +159,19 @@ def occurrences(docs: DataFrame, length: int, least: int, k: int) -> DataFrame:
 
                 def out() -> pa.RecordBatch:
                     rows = [(ah, ch, keys[o := owner[p]], at, lo, hi, end, many[o]) for p, ah, ch, at, lo, hi, end in contexts(wait, length, least, k)]
-                    cols = list(zip(*rows, strict=True)) or [[] for _ in OCCURRENCES]
+                    several = Counter()
+                    for x in rows:
+                        several[x[0], x[1]] += x[-1]
+                    seen, goes, known = set(), [], []
+                    for x in rows:
+                        c = x[0], x[1]
+                        n = several[c]
+                        if n > 1:
+                            known.append((*x, True))
+                        if n == 1 or c not in seen:
+                            goes.append((*x[:-1], n, False))
+                            seen.add(c)
+                    cols = list(zip(*goes, *known, strict=True)) or [[] for _ in OCCURRENCES]
                     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, OCCURRENCES, strict=True)], schema=OCCURRENCES)
 
                 for i, t in enumerate(texts):
@@ -172,7 +187,7 @@ def occurrences(docs: DataFrame, length: int, least: int, k: int) -> DataFrame:
                     yield out()
         release()
 
-    return docs.select("key", "text").mapInArrow(run, f"ah long, ch long, key binary, {PLACE_SQL}, n int")
+    return docs.select("key", "text").mapInArrow(run, f"ah long, ch long, key binary, {PLACE_SQL}, n int, known boolean")
 
 
 SORTED = pa.schema([("need", pa.bool_()), ("single", pa.bool_()), ("hot", pa.bool_()), ("ah", pa.int64()), ("key", pa.binary()), *PLACE])
@@ -232,15 +247,22 @@ def frequent_anchors(docs: DataFrame, length: int, least: int, k: int) -> list[i
     They only decide how rows are dealt out: contexts of these anchors go by their own hash as well.
     """
     some = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0)
-    seen = occurrences(some, length, least, k).groupBy("ah").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    seen = occurrences(some, length, least, k).where("not known").groupBy("ah").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     return sorted(r.ah for r in seen.orderBy(F.desc("n"), "ah").limit(MOST_FREQUENT).collect())
 
 
 def sorted_out(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor and context hash. About MANY wait: of whole anchors, or of one anchor alone."""
+    """Rows come sorted by anchor and context hash, but for those known to be repeated. About MANY wait: of
+    whole anchors, or of one anchor alone."""
     wait: list[pa.RecordBatch] = []
     hot = None  # the anchor that is too large
     for batch in batches:
+        known = batch.column("known")
+        if pc.any(known).as_py():
+            own = batch.filter(known)
+            no = pa.array(np.zeros(own.num_rows, bool))
+            yield pa.RecordBatch.from_arrays([no, no, no, *own.select(SORTED.names[3:]).columns], schema=SORTED)
+            batch = batch.filter(pc.invert(known))
         for at in range(0, batch.num_rows, MANY):
             wait.append(batch.slice(at, MANY))
             if sum(b.num_rows for b in wait) < MANY:
@@ -362,7 +384,8 @@ STRINGS = pa.schema([("known", pa.bool_()), ("a", pa.int64()), ("b", pa.int64())
 
 def strings(contexts_: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Every string of some contexts: its 128-bit hash (a, b), place, whether its context is unique. Equal
-    strings of a batch become one row (n: how many), and those of unique contexts are known to be repeated."""
+    strings of a batch become one row (n: how many), and those of unique contexts are known to be repeated;
+    they come as runs of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,11 +410,18 @@ def strings(contexts_: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                     run_of = np.cumsum(new) - 1
                     count = np.bincount(run_of) if len(a) else np.zeros(0, np.int64)
                     known = np.flatnonzero((count[run_of] > 1) & single[row])
-                    index = np.concatenate([known, np.flatnonzero(new)])
-                    start = pos[row[index]] + lo[row[index]] + offset[index]
+                    start = pos[row] + lo[row] + offset
+                    known = known[np.lexsort((start[known], row[known]))]
+                    begins = np.ones(len(known), bool)
+                    begins[1:] = (row[known[1:]] != row[known[:-1]]) | (start[known[1:]] != start[known[:-1]] + 1)
+                    from_ = np.flatnonzero(begins)
+                    to = np.append(from_[1:], len(known)) - 1
+                    index, nothing = np.flatnonzero(new), np.zeros(len(from_), np.int64)
+                    rows = np.concatenate([row[known[from_]], row[index]])
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.arange(len(index)) < len(known)), pa.array(a[index].view(np.int64)), pa.array(b[index].view(np.int64)), pa.array(single[row[index]]),
-                        pa.array(count[run_of[index]].astype(np.int32)), part.column("key").take(pa.array(row[index])), pa.array(np.full(len(index), size, np.int32)), pa.array(start), pa.array(start),
+                        pa.array(np.arange(len(rows)) < len(from_)), *(pa.array(np.concatenate([nothing, x[index].view(np.int64)])) for x in (a, b)), pa.array(single[rows]),
+                        pa.array(np.concatenate([nothing, count[run_of[index]]]).astype(np.int32)), part.column("key").take(pa.array(rows)), pa.array(np.full(len(rows), size, np.int32)),
+                        pa.array(np.concatenate([start[known[from_]], start[index]])), pa.array(np.concatenate([start[known[to]], start[index]])),
                     ], schema=STRINGS)
         release()
 
@@ -460,9 +490,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 32, keep_text: b
     enough = own.where(F.octet_length("text") >= least)
     rows = occurrences(enough, length, least, k)
     often = frequent_anchors(enough, length, least, k)
-    frequent, deal = np.array(often, np.int64), F.col("ah")
+    frequent, deal = np.array(often, np.int64), F.when(F.col("known"), F.xxhash64("key", "pos"))
     if often:
-        deal = F.when(F.col("ah").isin(often), F.xxhash64("ah", "ch")).otherwise(F.col("ah"))
+        deal = deal.when(F.col("ah").isin(often), F.xxhash64("ah", "ch"))
+    deal = deal.otherwise(F.col("ah"))
     out = written(
         rows.repartition(n, deal).sortWithinPartitions("ah", "ch")
         .mapInArrow(lambda batches: sorted_out(batches, frequent), f"need boolean, single boolean, hot boolean, ah long, key binary, {PLACE_SQL}")
