@@ -415,7 +415,7 @@ def strings(contexts_: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                     begins = np.ones(len(known), bool)
                     begins[1:] = (row[known[1:]] != row[known[:-1]]) | (start[known[1:]] != start[known[:-1]] + 1)
                     from_ = np.flatnonzero(begins)
-                    to = np.append(from_[1:], len(known)) - 1
+                    to = np.append(from_[1:], len(known))[: len(from_)] - 1
                     index, nothing = np.flatnonzero(new), np.zeros(len(from_), np.int64)
                     rows = np.concatenate([row[known[from_]], row[index]])
                     yield pa.RecordBatch.from_arrays([

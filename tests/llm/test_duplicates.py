@@ -280,12 +280,13 @@ def test_repeated_bytes_of_frequent_lines(make, monkeypatch):
     texts = [noise(rnd.randint(0, 300)) + line + noise(rnd.randint(200, 500)) for _ in range(120)]
     texts += [noise(200) + passage + noise(60) for _ in range(20)] + [noise(50) + other + noise(80) for _ in range(12)] + [texts[5]] * 40 + [texts[7] + "x", "y" + texts[9]]
     rnd.shuffle(texts)
+    texts += [noise(300) + line + noise(300) for _ in range(40)]
     want, shorter = (repeated_bytes.brute([t.encode() for t in texts], n) for n in (400, 256))
     for many, sample in ((16, 1_000), (20_000, 3), (16, 3)):
         monkeypatch.setattr(repeated_bytes, "MANY", many)
         monkeypatch.setattr(repeated_bytes, "SAMPLE", sample)
         got = {r.doc_id: r for r in repeated_bytes.remove_repeats(make(texts)).collect()}
-        for i, t in enumerate(texts):
+        for i, t in enumerate(texts):  # the last texts share nothing: no string of a batch may be known
             assert (got[i].n_removed, got[i].kept_sha256) == (len(t) - len(want[i]), hashlib.sha256(want[i]).hexdigest())
             assert got[i].n_repeated == len(t) - len(shorter[i])
 
