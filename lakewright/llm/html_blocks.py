@@ -4,8 +4,9 @@ Markup is stripped into lines, one for each block; what can't be article text (s
 adverts, comments, hidden parts) leaves empty lines, structure alone leaves none. The lengths of the lines
 are summed over a sliding window. The text surges where a window's sum rises above a threshold and dives
 where the sum falls to nothing; what stands between is kept whole, short lines too, and so is what shares
-a container with the longest range. Where a page names its article or its main part, only that part has
-lengths and any text is a surge.
+a container with the longest range. Where a page names its articles, the longest one stays and each other
+one in which the text surges (a teaser of a line doesn't); of these, and of a main part that is named, any
+text is a surge.
 """
 
 from __future__ import annotations
@@ -198,8 +199,11 @@ def extract(html: str, window: int = 3, threshold: int = 80) -> str:
     for x in lines:
         if x.scope[0]:
             best[x.scope[0]] = best.get(x.scope[0], 0) + x.length
-    if best and (most := max(best, key=lambda k: (best[k], -k))) and best[most]:
-        kept = [x for x in lines if x.scope[0] == most]
+    if best and any(best.values()):
+        most = max(best, key=lambda k: (best[k], -k))
+        lengths_of = {k: [x.length for x in lines if x.scope[0] == k] for k in best}
+        stay = {k for k in best if k == most or surges(lengths_of[k], window, threshold)}
+        kept = [x for x in lines if x.scope[0] in stay]
         found = surges([x.length for x in kept], max(window, len(kept)), 0)
     elif any(x.scope[1] and x.length for x in lines):
         kept = [x for x in lines if x.scope[1]]

@@ -2,9 +2,10 @@
 
 A payload becomes access units of 576 bytes. Each unit is one PES packet (private stream 1, with a
 presentation time) in four transport packets of 188 bytes; every 25th unit is a random-access point and
-comes after a programme association and a programme map table. The reader takes any such stream: it
-parses the tables, checks continuity counters, reassembles the elementary packets, and stores their
-times with the random-access points.
+comes after a programme association and a programme map table. The reader takes any stream of one programme:
+it parses the tables (each one's checksum is checked, the last version counts), leaves out packets that are
+sent twice, checks continuity counters, reads the clock, reassembles the packets of the first elementary
+stream, and stores their times with the random-access points.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def mux(payload: bytes) -> bytes:
 @dataclass
 class Stream:
     """What the reader finds: payload, times of the elementary packets, which of them are random-access
-    points, continuity errors by PID, and the programme's streams (PID, type)."""
+    points, continuity errors, the programme's streams (PID, type), packets, those sent twice, and the clock
+    (ticks of 27 MHz)."""
 
     payload: bytes
     pts: np.ndarray
@@ -121,6 +123,8 @@ class Stream:
     errors: int
     streams: list[tuple[int, int]]
     packets: int
+    twice: int
+    clock: np.ndarray
 
 
 def read_section(packet: np.ndarray) -> bytes:
@@ -134,24 +138,40 @@ def read_section(packet: np.ndarray) -> bytes:
     return raw[8 : end - 4]
 
 
+def last_table(packets: np.ndarray) -> bytes:
+    """Body of the last of some repeated tables; each version's checksum is checked."""
+    versions = dict.fromkeys(x.tobytes() for x in packets[:, 4:]) if len(packets) < 64 else {x.tobytes(): None for x in np.unique(packets[:, 4:], axis=0)}
+    for x in versions:
+        read_section(np.frombuffer(packets[0, :4].tobytes() + x, np.uint8))
+    return read_section(packets[-1])
+
+
 def demux(stream: bytes) -> Stream:
     """Read a single-programme stream: tables, continuity, elementary packets, times."""
     p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if not (p[:, 0] == SYNC).all():
         raise ValueError("a packet has no sync byte")
     pid = (p[:, 1].astype(np.int32) & 31) << 8 | p[:, 2]
-    pat = read_section(p[np.flatnonzero(pid == 0)[0]])
+    pat = last_table(p[pid == 0])
     pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
-    pmt = read_section(p[np.flatnonzero(pid == pmt_pid)[0]])
+    pmt = last_table(p[pid == pmt_pid])
     at, streams = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF), []
     while at < len(pmt):
         streams.append((int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF, pmt[at]))
         at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
-    errors = 0
+    errors = twice = 0
     for x in (0, pmt_pid, streams[0][0]):
-        counter = p[pid == x, 3] & 15
-        errors += int(np.count_nonzero(np.diff(counter) & 15 != 1))
-    own = p[pid == streams[0][0]]
+        own = p[pid == x]
+        own = own[own[:, 3] & 0x10 != 0]  # packets without a payload don't count on
+        again = np.zeros(len(own), bool)
+        again[1:] = (own[1:] == own[:-1]).all(axis=1)
+        again[2:] &= ~again[1:-1]  # twice, not more
+        own = own[~again]
+        twice += int(again.sum())
+        errors += int(np.count_nonzero(np.diff(own[:, 3] & 15) & 15 != 1))
+    timed = p[(p[:, 3] & 0x20 != 0) & (p[:, 4] > 0) & (p[:, 5] & 0x10 != 0), 6:12].astype(np.int64)
+    base = timed[:, 0] << 25 | timed[:, 1] << 17 | timed[:, 2] << 9 | timed[:, 3] << 1 | timed[:, 4] >> 7
+    clock = base * 300 + ((timed[:, 4] & 1) << 8 | timed[:, 5])
     adapted = own[:, 3] & 0x20 != 0
     offset = np.where(adapted, 5 + own[:, 4].astype(np.int64), 4)
     flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
@@ -167,14 +187,15 @@ def demux(stream: bytes) -> Stream:
     np.add.at(mark, starts, 1)
     np.add.at(mark, starts + head, -1)
     payload = data[np.cumsum(mark[:-1]) == 0].tobytes()
-    return Stream(payload, pts, flags[begins] & 0x40 != 0, errors, streams, len(p))
+    return Stream(payload, pts, flags[begins] & 0x40 != 0, errors, streams, len(p), twice, clock)
 
 
 def media(docs: DataFrame, keep_stream: bool = False) -> DataFrame:
     """For each row of docs (doc_id, text): the text's stream, read back, and its features.
 
-    Columns: those of the query op4 and, with keep_stream, the stream itself, the times (ticks of 90 kHz)
-    and the numbers of the random-access units. A null text counts as empty: one unit of padding. Equal
+    Columns: those of the query op4, among them the times of the elementary packets (pts, ticks of 90 kHz),
+    the numbers of the random-access ones and the clock's first and last value (ticks of 27 MHz); with
+    keep_stream also the stream itself. A null text counts as empty: one unit of padding. Equal
     texts give equal values; rows are independent, so repeated ids and rows repeat; an empty table gives
     an empty one; further columns are ignored. Texts of any length are one stream.
     """
@@ -190,18 +211,19 @@ def media(docs: DataFrame, keep_stream: bool = False) -> DataFrame:
             feature = (
                 f"units={len(s.pts)};packets={s.packets};streams={','.join(f'{a}:{b}' for a, b in s.streams)}"
                 f";pts={s.pts[0]}-{s.pts[-1]};random_access={int(s.random_access.sum())};errors={s.errors}"
-                f";bits_per_second={len(stored) * 8 * 90_000 // duration}"
+                f";clock={s.clock[0]}-{s.clock[-1]};twice={s.twice};bits_per_second={len(stored) * 8 * 90_000 // duration}"
             )
             row = (
                 i, len(text), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-32:]),
                 len(stored), hashlib.sha256(stored).hexdigest(), feature,
             )
-            out.append((*row, stored, s.pts.tolist(), np.flatnonzero(s.random_access).tolist()) if keep_stream else row)
+            row = (*row, s.pts.tolist(), np.flatnonzero(s.random_access).tolist())
+            out.append((*row, stored) if keep_stream else row)
         return list(zip(*out, strict=True))
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pts array<long>, random_access array<long>"
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64()))]
     if keep_stream:
-        schema += ", stream binary, pts array<long>, random_access array<long>"
-        fields += [("stream", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64()))]
+        schema += ", stream binary"
+        fields.append(("stream", pa.binary()))
     return map_columns(docs, ["doc_id", "text"], run, schema, pa.schema(fields))

@@ -96,6 +96,57 @@ def test_transport_stream(make):
     assert got[len(texts) - 1].media_sha256 == got[len(texts) - 2].media_sha256
 
 
+def slow_reader(stream):
+    """(payload, times, random-access units, clock) of a stream, packet by packet."""
+    payload, pts, points, clock, unit, pid_of = b"", [], [], [], -1, {}
+    for at in range(0, len(stream), 188):
+        x = stream[at : at + 188]
+        assert x[0] == 0x47
+        pid, start, at_ = (x[1] & 31) << 8 | x[2], x[1] & 0x40, 4
+        if pid == 0:
+            pid_of["pmt"] = (x[15] & 31) << 8 | x[16]
+        elif pid == pid_of["pmt"]:
+            pid_of["es"] = (x[18] & 31) << 8 | x[19]
+        elif pid == pid_of["es"]:
+            flags = 0
+            if x[3] & 0x20:
+                at_, flags = 5 + x[4], x[5] if x[4] else 0
+            if flags & 0x10:
+                n = int.from_bytes(x[6:12], "big")
+                clock.append((n >> 15) * 300 + (n & 511))
+            body = x[at_:]
+            if start:
+                unit += 1
+                assert body[:3] == b"\0\0\1"
+                t = body[9:14]
+                pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
+                body = body[9 + body[8] :]
+                if flags & 0x40:
+                    points.append(unit)
+            payload += body
+    return payload, pts, points, clock
+
+
+def test_streams_by_another_reader():
+    for n in (1, 26, 77):
+        text = random.Random(n).randbytes(n * 576)
+        stored = transport_stream.mux(text)
+        payload, pts, points, clock = slow_reader(stored)
+        s = transport_stream.demux(stored)
+        assert payload == text == s.payload and pts == s.pts.tolist() == [90_000 + 3_600 * i for i in range(n)]
+        assert points == [i for i, x in enumerate(s.random_access) if x] and clock == s.clock.tolist() and s.errors == s.twice == 0
+        double = stored[: 188 * 4] + stored[188 * 3 : 188 * 4] + stored[188 * 4 :]
+        d = transport_stream.demux(double)
+        assert (d.payload, d.errors, d.twice) == (text, 0, 1)
+
+
+def test_several_articles():
+    story = "<p>" + "some long text " * 12 + "</p>"
+    page = f"<body><nav>x</nav><article><h2>One</h2>{story}</article><article><h2>Two</h2>{story}</article><article><p>teaser</p></article></body>"
+    one = ("some long text " * 12).strip()
+    assert html_blocks.extract(page) == f"One\n{one}\nTwo\n{one}"
+
+
 def test_damaged_streams():
     s = bytearray(transport_stream.mux(b"q" * 5760))
     lost = bytes(s[: 188 * 6] + s[188 * 10 :])  # one unit's packets
