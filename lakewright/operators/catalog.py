@@ -29,9 +29,23 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, formats_path: str, routes_path: str) -> dict[str, DataFrame]:
-    """JSON documents (one or many; `catalog` is the name of a document's folder) as normalised tables:
-    features, formats, caps, source_caps, engines, raw_edges, edges, edge_losses, overrides."""
-    f, r = _read(spark, formats_path, FORMATS_SCHEMA), _read(spark, routes_path, ROUTES_SCHEMA)
+    """The tables of JSON documents in files, one or many; `catalog` is the name of a document's folder."""
+    return catalog_tables(_read(spark, formats_path, FORMATS_SCHEMA), _read(spark, routes_path, ROUTES_SCHEMA))
+
+
+def parse_catalogs(documents: DataFrame, catalog: str, formats: str, routes: str) -> dict[str, DataFrame]:
+    """The tables of JSON documents in text columns, a catalogue in each row, so that any number of them is
+    spread like any other table."""
+
+    def side(column: str, schema: str) -> DataFrame:
+        return documents.select(F.col(catalog).alias("catalog"), F.from_json(column, schema).alias("_d")).select("catalog", "_d.*")
+
+    return catalog_tables(side(formats, FORMATS_SCHEMA), side(routes, ROUTES_SCHEMA))
+
+
+def catalog_tables(f: DataFrame, r: DataFrame) -> dict[str, DataFrame]:
+    """Parsed documents (with `catalog`) as normalised tables: features, formats, caps, source_caps, engines,
+    raw_edges, edges, edge_losses, overrides."""
     formats = f.select("catalog", F.posexplode("formats").alias("ord", "format", "v"))
     raw = r.select("catalog", F.posexplode("edges").alias("raw_ord", "v")).select("catalog", "raw_ord", "v.*")
     expanded = expand_edges(raw)

@@ -21,6 +21,13 @@ def p2_scripts(spark: SparkSession, d: str) -> DataFrame:
     return census.script_census(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query(r"""SELECT doc_id, arg_min(script, (-n, script)) AS script, bool_or(script IN ('arabic', 'hebrew')) AS right_to_left FROM (
+ SELECT doc_id, unnest(['latin', 'greek', 'cyrillic', 'arabic', 'hebrew', 'devanagari', 'han']) AS script, unnest([len(regexp_extract_all(text, '\p{Latin}')), len(regexp_extract_all(text, '\p{Greek}')), len(regexp_extract_all(text, '\p{Cyrillic}')),
+  len(regexp_extract_all(text, '\p{Arabic}')), len(regexp_extract_all(text, '\p{Hebrew}')), len(regexp_extract_all(text, '\p{Devanagari}')), len(regexp_extract_all(text, '\p{Han}'))]) AS n FROM documents) WHERE n > 0 GROUP BY doc_id""")
+def p2_dominant(spark: SparkSession, d: str) -> DataFrame:
+    return census.dominant_script(census.script_census(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
 FEATURES = r"""f AS (SELECT page_id, unnest(['links', 'images', 'tables', 'headings', 'lists', 'notes', 'paragraphs', 'scripts']) AS feature, unnest([len(regexp_extract_all(html, '(?i)<a\s[^>]*href')), len(regexp_extract_all(html, '(?i)<img\b')),
  len(regexp_extract_all(html, '(?i)<table\b')), len(regexp_extract_all(html, '(?i)<h[1-6]\b')), len(regexp_extract_all(html, '(?i)<(?:ul|ol)\b')), len(regexp_extract_all(html, '(?i)<(?:aside|sup)\b')), len(regexp_extract_all(html, '(?i)<p\b')), len(regexp_extract_all(html, '(?i)<script\b'))]) AS n FROM pages)"""
 
@@ -151,6 +158,12 @@ def x10_names(spark: SparkSession, d: str) -> DataFrame:
     return reshape.unique_names(p, "name", ["page_id"])
 
 
+@query(r"""SELECT page_id, name, name || '_p' || CASE WHEN length(page_id::VARCHAR) < 3 THEN lpad(page_id::VARCHAR, 3, '0') ELSE page_id::VARCHAR END AS page_name FROM (SELECT page_id, regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1) AS name FROM pages)""")
+def x10_page_names(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"([^/?#]+)(?:[?#].*)?$", 1).alias("name"))
+    return reshape.page_names(p, "name", "page_id")
+
+
 @query("""SELECT * FROM (VALUES ('padded', 'string'), ('plain', 'long'), ('price', 'decimal'), ('name', 'string')) AS t("column", type), (SELECT count(*) AS n FROM part)""")
 def x11_types(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(

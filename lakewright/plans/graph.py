@@ -4,7 +4,7 @@ through; an edge into another region's first nation may only end a path."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, losses, paths, reports
@@ -61,6 +61,51 @@ def g1_explode_json(spark: SparkSession, d: str) -> DataFrame:
     return catalog.explode_json(table(spark, d, "events"), ["event_id"], "props")
 
 
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax) - 1 AS ord FROM lineitem)
+SELECT l_orderkey AS catalog, ord * 4294967296 AS edge_ord, 's' || l_suppkey AS src, 'p' || l_partkey AS dst, m AS mode, (CASE m WHEN 'exact' THEN l_quantity ELSE l_tax END)::DOUBLE AS cost, l_returnflag = 'R' AS final_only, 'part ' || l_partkey AS label,
+ 'all' || CASE WHEN l_linestatus = 'O' THEN ';one?segment' ELSE '' END AS losses FROM l, (SELECT unnest(['exact', 'editable']) AS m)""")
+def g1_load_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a catalogue of two JSON texts, read back as tables: its edges with their target's label
+    and losses."""
+    sup, part = F.concat(F.lit("s"), F.col("l_suppkey")), F.concat(F.lit("p"), F.col("l_partkey"))
+    lost = F.when(F.col("l_linestatus") == "O", F.concat(F.lit('{"*":["all"],"'), part, F.lit('":[{"text":"one","ifSourceHas":"segment"}]}'))).otherwise(F.lit('["all"]'))
+    edge = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("string").alias("id"), F.lit("truck").alias("engine"), F.array(sup).alias("from"), F.array(part).alias("to"),
+        "l_quantity", "l_tax", F.when(F.col("l_returnflag") == "R", True).alias("finalOnly"), lost.alias("losses"),
+    )
+    labels = F.array(F.struct(sup.alias("key"), F.struct(F.concat(F.lit("supplier "), F.col("l_suppkey")).alias("label"))), F.struct(part.alias("key"), F.struct(F.concat(F.lit("part "), F.col("l_partkey")).alias("label"))))
+    orders = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.array_distinct(F.flatten(F.collect_list(labels))).alias("formats"))
+
+    def document(e: Column) -> Column:
+        modes = F.create_map(F.lit("exact"), e["l_quantity"], F.lit("editable"), e["l_tax"])
+        return e.dropFields("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax").withField("modes", modes)
+
+    texts = orders.select(
+        "l_orderkey", F.to_json(F.struct(F.map_from_entries("formats").alias("formats"))).alias("f"),
+        F.to_json(F.struct(F.transform("edges", document).alias("edges"))).alias("r"),
+    )
+    t = catalog.parse_catalogs(texts, "l_orderkey", "f", "r")
+    said = F.concat_ws("?", "text", "if_source_has")
+    losses_ = t["edge_losses"].groupBy("catalog", "edge_ord").agg(F.array_sort(F.collect_set(F.struct("pos", said.alias("text")))).alias("l")).select("catalog", "edge_ord", F.array_join("l.text", ";").alias("losses"))
+    e = t["edges"].join(t["formats"].select("catalog", F.col("format").alias("dst"), "label"), ["catalog", "dst"]).join(losses_, ["catalog", "edge_ord"], "left")
+    return e.select("catalog", "edge_ord", "src", "dst", "mode", F.col("cost").cast("double").alias("cost"), "final_only", "label", "losses")
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN [[p_brand, p_type]] ELSE list_transform(string_split(p_type, ' '), lambda x: [p_brand, x]) END AS pairs FROM part),
+e AS (SELECT *, unnest(pairs) AS pair, unnest(range(len(pairs))) AS k FROM p)
+SELECT p_partkey * 4294967296 + k AS edge_ord, p_partkey::VARCHAR AS edge_id, pair[1] AS src, pair[2] AS dst, m AS mode, (CASE m WHEN 'exact' THEN p_size ELSE p_retailprice END)::DOUBLE AS cost, p_size > 40 AS final_only, p_name AS summary
+ FROM e, (SELECT unnest(['exact', 'editable']) AS m) WHERE m = 'exact' OR p_size % 2 = 0""")
+def g2_expand_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each part as an edge from its brand to the words of its type, or to the type by a given pair."""
+    p, size = table(spark, d, "part"), F.col("p_size")
+    raw = p.select(
+        F.col("p_partkey").alias("raw_ord"), F.col("p_partkey").cast("string").alias("id"), F.lit("press").alias("engine"), F.array("p_brand").alias("from"), F.split("p_type", " ").alias("to"),
+        F.when(size % 3 == 0, F.array(F.array("p_brand", "p_type"))).alias("pairs"), F.when(size > 40, True).alias("finalOnly"), F.col("p_name").alias("summary"),
+        F.map_filter(F.create_map(F.lit("exact"), size.cast("double"), F.lit("editable"), F.when(size % 2 == 0, F.col("p_retailprice"))), lambda _, v: v.isNotNull()).alias("modes"),
+    )
+    return catalog.expand_edges(raw).drop("engine").withColumn("cost", F.col("cost").cast("double"))
+
+
 @query("""SELECT a.n_regionkey::BIGINT AS region, a.n_nationkey::BIGINT AS src, b.n_nationkey::BIGINT AS dst,
  row_number() OVER (PARTITION BY a.n_regionkey ORDER BY a.n_nationkey, b.n_nationkey) - 1 AS pos
  FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey""")
@@ -211,6 +256,19 @@ def g12_grid(spark: SparkSession, d: str) -> DataFrame:
     return reports.pivot_grid(e, "source", "target", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], F.sum("n").cast("string"), "·")
 
 
+def with_engine(e: DataFrame) -> DataFrame:
+    o = F.col("edge_ord")
+    return e.withColumns({"edge_id": F.concat(F.lit("e"), o), "engine": F.when(o % 4 == 0, "an OCR engine").otherwise("press"), "summary": F.concat(F.lit("step "), o % 4)})
+
+
+@query(PATHS + ", c AS (SELECT source, node, 'e' || len(ords) || CASE WHEN list_bool_or(list_transform(ords, lambda x: x % 4 = 0)) THEN '*' ELSE '' END || CASE WHEN (source + node) % 6 = 0 THEN '!' ELSE '' END AS cell FROM best) SELECT source, "
+ + ", ".join(f"CASE WHEN source = {v} THEN '·' ELSE coalesce(max(CASE WHEN node = {v} THEN cell END), '') END AS \"{v}\"" for v in range(25)) + " FROM c GROUP BY source")
+def g12_route_grid(spark: SparkSession, d: str) -> DataFrame:
+    r, e = routes(spark, d)
+    r = r.withColumn("override_reason", F.when((F.col("source") + F.col("target")) % 6 == 0, "by hand"))
+    return reports.route_grid(r, with_engine(e), list(range(25)))
+
+
 def edges_by_region(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
@@ -248,6 +306,30 @@ def g16_snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return reports.snapshot_diff(new, o, ["k"])
 
 
+@query("""WITH n AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS s FROM orders),
+a AS (SELECT k % 1000 AS k, s FROM n), b AS (SELECT o_orderkey % 1000 AS k, o_orderstatus AS s FROM orders)
+SELECT *, 'new' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'old' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def g16_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Whole rows without a key that only one snapshot holds, repeats counted."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    new = o.select(F.when(F.col("k") % 13 == 0, F.col("k") + 100_000_000).otherwise(F.col("k")).alias("k"), F.when(F.col("k") % 7 == 0, "Z").otherwise(F.col("s")).alias("s"))
+    return reports.multiset_rows_diff(*(x.withColumn("k", F.col("k") % 1000) for x in (new, o)))
+
+
+@query(PATHS + CAPS + STEPS + """, way AS (SELECT source, target, string_agg('{"pos":' || pos || ',"edge_id":"e' || ord || '","engine":"' || CASE WHEN ord % 4 = 0 THEN 'an OCR engine' ELSE 'press' END
+  || '","src":' || ord // 1000 || ',"dst":' || ord % 1000 || ',"summary":"step ' || ord % 4 || '"}', ',' ORDER BY pos) AS j FROM steps GROUP BY ALL),
+gone AS (SELECT source, target, string_agg('{"feature":"' || feature || '","level":"' || level || '"}', ',' ORDER BY feature) AS j FROM lost GROUP BY ALL),
+tell AS (SELECT source, target, '"' || string_agg(text, '","' ORDER BY pos) || '"' AS j FROM texts GROUP BY ALL)
+SELECT b.source, b.node AS target, '{"source":' || b.source || ',"target":' || b.node || ',"mode":"exact","chain":[' || array_to_string(b.chain, ',') || '],"cost":' || b.cost || ',"steps":[' || way.j || ']'
+ || coalesce(',"potential_losses":[' || gone.j || ']', '') || coalesce(',"step_losses":[' || tell.j || ']', '') || '}' AS record
+ FROM best b JOIN way ON way.source = b.source AND way.target = b.node LEFT JOIN gone ON gone.source = b.source AND gone.target = b.node LEFT JOIN tell ON tell.source = b.source AND tell.target = b.node""")
+def g17_export_routes(spark: SparkSession, d: str) -> DataFrame:
+    r, e = routes(spark, d)
+    c = caps(spark, d)
+    r = r.withColumn("cost", F.col("cost").cast("long"))
+    return reports.export_routes(r, with_engine(e), losses.path_losses(r, c), losses.step_losses(r, edge_losses(e), c)).drop("mode")
+
+
 @query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"' || coalesce(',"lines":[' || l || ']', '') || '}' AS record FROM orders LEFT JOIN (
  SELECT l_orderkey, string_agg('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_suppkey":' || l_suppkey || '}', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def g17_nested_export(spark: SparkSession, d: str) -> DataFrame:

@@ -20,13 +20,14 @@ def m1_units(spark: SparkSession, d: str) -> DataFrame:
     return sizing.plan_sizes(specs, dpis).select("spec", "dpi", "px", "best")
 
 
-@query("""WITH l AS (SELECT l_partkey AS k, l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS id, l_quantity::BIGINT AS size, round(l_discount * 100)::BIGINT AS score FROM lineitem WHERE l_partkey % 4 <> 0 OR l_quantity > 30),
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber * 10000000 + l_partkey * 10 + l_suppkey % 10 AS id, l_quantity::BIGINT AS size, round(l_discount * 100)::BIGINT AS score FROM lineitem),
 c AS (SELECT *, CASE WHEN size BETWEEN 20 AND 30 THEN 0 WHEN size > 30 THEN 1 ELSE 2 END AS tier FROM l)
 SELECT k, id AS picked, size, CASE tier WHEN 0 THEN 'in band' WHEN 1 THEN 'smallest above' ELSE 'largest below' END AS reason FROM c
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY tier, CASE tier WHEN 0 THEN -score WHEN 1 THEN size ELSE -size END, id, size) = 1""")
 def m2_pick_in_band(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_partkey % 4 <> 0 or l_quantity > 30").select(
-        F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("id"),
+    """M2 by order, whose few lines make all three reasons occur."""
+    line = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("id"),
         F.col("l_quantity").cast("long").alias("size"), F.round(F.col("l_discount") * 100).cast("long").alias("score"),
     )
     return sizing.pick_in_band(line, ["k"], "id", "size", "score", 20, 30).drop("scale_to_fit")
@@ -37,7 +38,7 @@ c AS (SELECT *, CASE WHEN size BETWEEN 20 AND 30 THEN 0 WHEN size > 30 THEN 1 EL
 SELECT k, id AS picked, size, CASE tier WHEN 0 THEN 'in band' WHEN 1 THEN 'smallest above' ELSE 'largest below' END AS reason FROM c
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY tier, CASE tier WHEN 0 THEN -score WHEN 1 THEN size ELSE -size END, id, size) = 1""")
 def m2_pick_from_all(spark: SparkSession, d: str) -> DataFrame:
-    """M2 over every line; m2_pick_in_band leaves lines out so that all three reasons occur."""
+    """M2 by part, whose many lines nearly always hold one in the band."""
     line = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("k"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_suppkey") % 10).alias("id"),
         F.col("l_quantity").cast("long").alias("size"), F.round(F.col("l_discount") * 100).cast("long").alias("score"),

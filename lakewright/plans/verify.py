@@ -34,35 +34,46 @@ def v3_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
     return compare.multiset_diff(t, t.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "token")
 
 
-def neighbours(spark: SparkSession, d: str, n: int | None) -> DataFrame:
-    """Each document's tokens, at most n (the compared window), beside those of the next doc_id."""
-    if n is None:  # texts are smaller than their tokens on the way to the join
-        docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))
-        both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
-        return both.select("doc_id", *(F.filter(F.split(c, r"\s+"), lambda x: x != "").alias(c) for c in "ab"))
-    t = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, n)
-    docs = table(spark, d, "documents").select("doc_id", t.alias("a"))
-    return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
-
-
-@query(f"""WITH {TOKENS}, p AS (SELECT x.doc_id, x.t[1:40] AS a, y.t[1:40] AS b FROM toks x JOIN toks y ON y.doc_id = x.doc_id + 1), q AS (SELECT *, list_distinct(list_concat(a, b)) AS e FROM p)
-SELECT doc_id, levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(e, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(e, x))::INT)), ''))::BIGINT AS distance,
- greatest(len(a), len(b))::BIGINT AS longest FROM q""")
+@query(f"""WITH {TOKENS}, a AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL), b AS (SELECT doc_id - 1 AS doc_id, token, count(*) AS n FROM tokens GROUP BY ALL),
+diff AS (SELECT doc_id, token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS extra FROM a FULL JOIN b USING (doc_id, token) WHERE a.n IS DISTINCT FROM b.n),
+around AS (SELECT doc_id, pos, token, concat_ws(' ', lag(token, 2) OVER w, lag(token) OVER w, token, lead(token) OVER w, lead(token, 2) OVER w) AS context FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, token, pos, context, missing, extra FROM around JOIN diff USING (doc_id, token)""")
+def v3_context(spark: SparkSession, d: str) -> DataFrame:
+    """The places of differing tokens, with two tokens on either side."""
+    t = compare.tokens(table(spark, d, "documents"), "doc_id", "text")
+    diff = compare.multiset_diff(t, t.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "token")
+    return compare.with_context(t, diff, "doc_id").withColumn("pos", F.col("pos").cast("long"))
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's tokens beside those of the next doc_id."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("a"))  # smaller than the tokens on the way to the join
+    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return both.select("doc_id", *(F.filter(F.split(c, r"\s+"), lambda x: x != "").alias(c) for c in "ab"))
+
+
+@query(f"""WITH {TOKENS}, w AS (SELECT x.doc_id, x.t AS a, y.t AS b FROM toks x JOIN toks y ON y.doc_id = x.doc_id + 1),
+s AS (SELECT *, unnest(range(0, greatest(len(a), len(b), 1), 40)) AS k FROM w), p AS (SELECT doc_id, k, a[k + 1:k + 40] AS a, b[k + 1:k + 40] AS b FROM s), q AS (SELECT *, list_distinct(list_concat(a, b)) AS e FROM p)
+SELECT doc_id, sum(levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(e, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(e, x))::INT)), '')))::BIGINT AS distance,
+ sum(greatest(len(a), len(b)))::BIGINT AS longest FROM q GROUP BY doc_id""")
 def v4_token_similarity(spark: SparkSession, d: str) -> DataFrame:
-    out = compare.token_similarity(neighbours(spark, d, 40), "a", "b")  # the operator's feature: a compared window
-    return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"))
+    """V4 by paragraphs of 40 tokens at the same place, summed over the whole documents."""
+    start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("a"), F.size("b"), F.lit(1)) - 1, F.lit(40))).alias("at")
+    pieces = neighbours(spark, d).select("doc_id", start, "a", "b").select("doc_id", F.expr("slice(a, at + 1, 40)").alias("a"), F.expr("slice(b, at + 1, 40)").alias("b"))
+    out = compare.token_similarity(pieces, "a", "b")
+    return out.groupBy("doc_id").agg(F.sum("distance").cast("long").alias("distance"), F.sum(F.greatest(F.size("a"), F.size("b"))).cast("long").alias("longest"))
 
 
 @query()
 def v4_whole_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """V4 over every token of both documents; no SQL, as DuckDB's distance is over bytes."""
-    out = compare.token_similarity(neighbours(spark, d, None), "a", "b")
+    """V4 over every token of both documents at once; no SQL, as DuckDB's distance is over bytes."""
+    out = compare.token_similarity(neighbours(spark, d), "a", "b")
     return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"), "similarity")
 
 
 @query()
 def v5_order_score(spark: SparkSession, d: str) -> DataFrame:
-    return compare.order_score(neighbours(spark, d, None), "a", "b").select("doc_id", "lcs", "order_score")
+    return compare.order_score(neighbours(spark, d), "a", "b").select("doc_id", "lcs", "order_score")
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), b AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey % 10 <> 0 GROUP BY ALL)
