@@ -241,6 +241,20 @@ def test_large_buckets(make, monkeypatch):
         assert len(near) >= 297  # banding misses some of those of 12 changes
 
 
+def test_unlike_classes_of_large_buckets(make, monkeypatch):
+    """Lines that share half their words, so that most of a large bucket is unlike its leaders, each with a near copy."""
+    rnd = random.Random(21)
+    shared, docs = [f"w{i}" for i in range(70)], []
+    for i in range(150):
+        own = shared + [f"y{rnd.randrange(10**6)}" for _ in range(40)]
+        docs.append((2 * i, " ".join(own)))
+        own[rnd.randrange(72, 110)] = "z"
+        docs.append((2 * i + 1, " ".join(own)))
+    monkeypatch.setattr(paragraphs, "FEW", 4)
+    got = {r.doc_id: (r.n_linked, r.n_removed) for r in paragraphs.paragraph_duplicates(make(docs)).collect()}
+    assert got == {i: (1, i % 2) for i in range(300)}
+
+
 def test_repeated_bytes(make):
     rnd = random.Random(10)
     for length, k, alphabet in ((20, 8, "ab"), (30, 6, "abcdefgh"), (24, 8, "aé日")):
