@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    chat_windows,
     decontamination,
     html_blocks,
     licenses,
@@ -71,6 +72,13 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat_windows.digest(chat_windows.windows(turns))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +90,7 @@ QUERIES = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_paragraphs": op9_paragraphs,
     "op10_repeated_bytes": op10_repeated_bytes,
+    "op11_chat_windows": op11_chat_windows,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -96,4 +105,26 @@ covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i,
 items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS l FROM hit GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (r) LEFT JOIN items USING (r)""",
+    "op11_chat_windows": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, coalesce(floor(turn / 512.0)::BIGINT, -4611686018427387904) AS block, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')) + 4 AS n,
+  25 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*/?turn')) + len(regexp_extract_all(text, '<\\*/?turn')) AS chars,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role <> 'system', role, text) AS nth FROM c),
+own AS (SELECT *, role = 'system' AND nth = 1 AS sys FROM t),
+conv AS (SELECT conv_id, min(block) AS opens, coalesce(max(CASE WHEN sys THEN n END), 0) AS s, coalesce(max(CASE WHEN sys THEN chars END), 0) AS sc, bool_or(sys) AS has FROM own GROUP BY conv_id),
+r AS (SELECT conv_id, block, 2 AS kind, turn, role, text, n, chars, nth FROM own WHERE NOT sys UNION ALL SELECT conv_id, block + 1, 1, turn, role, text, n, chars, nth FROM own WHERE turn - block * 512 >= 448 AND NOT sys),
+p AS (SELECT r.*, opens, s, sc, has, greatest(2048 - 256 - s, 512) / 2.0 AS half,
+  sum(n) OVER (PARTITION BY r.conv_id, block ORDER BY kind, nth ROWS UNBOUNDED PRECEDING) - n - sum(CASE WHEN kind = 1 THEN n ELSE 0 END) OVER (PARTITION BY r.conv_id, block) AS pos
+  FROM r JOIN conv ON r.conv_id IS NOT DISTINCT FROM conv.conv_id),
+q AS (SELECT *, CASE WHEN kind = 1 THEN 0 ELSE floor(pos / half)::BIGINT END AS own_bucket, greatest(floor((pos + 256) / half)::BIGINT, CASE WHEN kind = 1 THEN -1 ELSE floor(pos / half)::BIGINT END) AS last FROM p),
+x AS (SELECT *, unnest(range(own_bucket, last + 1)) AS bucket FROM q),
+y AS (SELECT *, CASE WHEN kind = 1 OR bucket > own_bucket THEN 1 WHEN n > half THEN 3 ELSE 2 END AS k FROM x),
+z AS (SELECT *, max(CASE WHEN k = 3 THEN pos END) OVER g AS long_at, bool_or(k = 2) OVER g AS fresh FROM y WINDOW g AS (PARTITION BY conv_id, block, bucket)),
+w AS (SELECT conv_id, block, bucket, 0 AS part, sum(chars) + any_value(sc) AS chars, sum(n) + any_value(s) AS n FROM z WHERE fresh AND k < 3 GROUP BY conv_id, block, bucket
+  UNION ALL SELECT conv_id, block, bucket, 1, sum(chars) + any_value(sc), sum(n) + any_value(s) FROM z WHERE pos BETWEEN long_at - 256 AND long_at GROUP BY conv_id, block, bucket
+  UNION ALL SELECT conv_id, opens, 0, 0, sc, s FROM conv WHERE has AND NOT EXISTS (SELECT 1 FROM z WHERE z.conv_id IS NOT DISTINCT FROM conv.conv_id AND z.block = opens AND z.bucket = 0 AND z.k > 1)),
+f AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(*) AS n_windows, sum((n > 2048)::BIGINT)::BIGINT AS n_over_budget FROM w GROUP BY conv_id),
+h AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM own GROUP BY conv_id)
+SELECT h.*, formatted_chars, n_windows, n_over_budget FROM h JOIN f ON h.conv_id IS NOT DISTINCT FROM f.conv_id""",
 }
