@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     chat_windows,
     decontamination,
+    fill_in_middle,
     html_blocks,
     licenses,
     paragraphs,
@@ -17,7 +18,7 @@ from . import (
     toxicity,
     transport_stream,
 )
-from .common import table
+from .common import table, written
 from .training import remainder
 
 
@@ -79,6 +80,11 @@ def op11_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.digest(chat_windows.windows(turns))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = written(fill_in_middle.store(table(spark, sf_dir, "documents")))
+    return fill_in_middle.digests(kept).drop("n_frames")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +97,7 @@ QUERIES = {
     "op9_paragraphs": op9_paragraphs,
     "op10_repeated_bytes": op10_repeated_bytes,
     "op11_chat_windows": op11_chat_windows,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -127,4 +134,12 @@ f AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars, count(*) AS n_windo
 h AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256 FROM own GROUP BY conv_id)
 SELECT h.*, formatted_chars, n_windows, n_over_budget FROM h JOIN f ON h.conv_id IS NOT DISTINCT FROM f.conv_id""",
+    "op12_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+r AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256 FROM p""",
 }
