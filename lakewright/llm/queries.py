@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chat_windows,
+    collocations,
     decontamination,
     fill_in_middle,
     html_blocks,
@@ -85,6 +86,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(kept).drop("n_frames")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +103,7 @@ QUERIES = {
     "op10_repeated_bytes": op10_repeated_bytes,
     "op11_chat_windows": op11_chat_windows,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
@@ -142,4 +148,19 @@ p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
   sha256(CASE form WHEN 'plain' THEN text ELSE pre || mid || suf END) AS restored_sha256 FROM p""",
+    "op13_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, any_value(m) AS m, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, a, k.k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1 : k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1 :], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+j AS (SELECT lang, a, w, m, unnest(range(2, m)) AS k FROM c WHERE m > 2),
+q AS (SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS i FROM j),
+u AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, max(a) AS around FROM q GROUP BY 1, 2),
+d AS (SELECT b.* FROM b LEFT JOIN u USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM d QUALIFY rank <= 2000""",
 }
