@@ -7,10 +7,14 @@ phrase's count is the flow out of its nodes (the weights of all edges that begin
 for places where a piece ends before the edge is full.
 
 Only phrases with `least` occurrences matter, and all parts of such a phrase occur as often. So the graph
-leaves out words, and then pairs of words, that are rarer: two bitmaps of hashes tell which aren't (they may
-let rarer ones pass, which costs time and changes nothing, as each phrase is counted fully or not at all).
-They have 16 bits for each frequent word or pair and 16 MiB at most, whatever the corpus; that is all that
-is collected or broadcast.
+leaves out words, and then pairs of words, that are rarer: words and pairs are counted first, and two bitmaps
+of hashes tell which are frequent (they may let rarer ones pass, which costs time and changes nothing, as each
+phrase is counted fully or not at all). They have 16 bits for each frequent word or pair and 16 MiB at most,
+whatever the corpus; that is all that is collected or broadcast. As these passes count words and pairs, the
+graph's flow gives the phrases from three words on.
+
+Words of a pair are named by 64-bit hashes until pairs are counted (two of 10^8 frequent words share one with
+probability 0.0003); all other counts are by the words themselves.
 """
 
 from __future__ import annotations
@@ -58,21 +62,22 @@ class Words:
         head = self.lang.encode() + b"\0"
         return np.fromiter((xxhash.xxh64_intdigest(head + w) for w in self.of), np.uint64, len(self.of))
 
-    def pairs(self, words: Bitmap) -> np.ndarray:
-        """The hash of the pair that begins at each word; zero where none does or a word is rare."""
-        h = self.hashes()
+    def pairs(self, h: np.ndarray, words: Bitmap) -> np.ndarray:
+        """Where a pair begins of which no word is rare; h: the words' hashes."""
         known = words.has(h)[self.ids]
-        out = np.zeros(len(self.ids), np.uint64)
-        at = np.flatnonzero(self.more & known & np.append(known[1:], False))
-        x = h[self.ids[at]] * FACTORS[0] + h[self.ids[at + 1]] * FACTORS[1]
-        x = (x ^ (x >> np.uint64(32))) * FACTORS[0]
-        out[at] = (x ^ (x >> np.uint64(29))) | np.uint64(1)
-        return out
+        return np.flatnonzero(self.more & known & np.append(known[1:], False))
 
     def text(self, ids: list[int]) -> bytes:
         return b" ".join(map(self.of.__getitem__, ids))
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from those of their words."""
+    x = a * FACTORS[0] + b * FACTORS[1]
+    x = (x ^ (x >> np.uint64(32))) * FACTORS[0]
+    return x ^ (x >> np.uint64(29))
+
+
 class Bitmap:
     """A set of hashes by some of their bits."""
 
@@ -124,7 +129,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
 
 
 WORDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
-PAIRS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 PATHS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
@@ -139,8 +144,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paths(w: Words, links: np.ndarray, longest: int) -> tuple[list[bytes], list[int]]:
     """The compacted graph of some words, of which `links` tells whether each is followed: paths of `longest`
-    words or more, each standing for all its edges with one weight, and, shorter than that, the phrases before
-    an end, with their numbers."""
+    words or more, each standing for all its edges with one weight, and, shorter than that, the phrases of three
+    words or more before an end, with their numbers."""
     reach = np.ones(len(w.ids), np.int64)
     further = links
     for k in range(1, longest):
@@ -159,7 +164,7 @@ def paths(w: Words, links: np.ndarray, longest: int) -> tuple[list[bytes], list[
         gram[at] = of
         n = np.bincount(of[reach[at] == k] if k < longest else of, minlength=len(first))
         if k < longest:
-            for i in np.flatnonzero(n).tolist():
+            for i in np.flatnonzero(n).tolist() if k > 2 else ():  # pairs are counted before
                 phrases.append(w.text(w.ids[first[i] : first[i] + k].tolist()))
                 numbers.append(int(n[i]))
             continue
@@ -188,39 +193,54 @@ def paths(w: Words, links: np.ndarray, longest: int) -> tuple[list[bytes], list[
     return phrases, numbers
 
 
-def graph(rows: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
-    """(words: lang, word, n; those of `least` or more, and each lang's sum where word is null) and (edges:
-    lang, phrase, n; of `longest` words, or shorter before an end) of rows (lang, text), both written."""
+def _pair_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy().view(np.uint64) for c in ("a", "b"))
+        yield pa.RecordBatch.from_arrays([pa.array(joined(a, b).view(np.int64))], ["h"])
+
+
+def graph(rows: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (lang, text), all written: words (lang, word, n; those of `least` or more, and each lang's sum
+    where word is null), pairs (lang, phrase, n; of `least` or more) and edges (lang, phrase, n; of `longest`
+    words, or from three words on before an end)."""
     spark = rows.sparkSession
     words = written(rows.mapInArrow(_word_counts, "lang string, word string, h long, n long").groupBy("lang", "word", "h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("word").isNull()))
     known = spark.sparkContext.broadcast(bitmap(words.where("word is not null")))
 
     def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in chunks(batches):
-            h = w.pairs(Bitmap(known.value))
-            h, n = np.unique(h[h != 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=PAIRS)
-
-    pairs = written(rows.mapInArrow(pair_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    linked = spark.sparkContext.broadcast(bitmap(pairs))
+            h = w.hashes()
+            at = w.pairs(h, Bitmap(known.value))
+            of, n = np.unique(w.ids[at] * len(w.of) + w.ids[at + 1], return_counts=True)
+            a, b = (h[x].view(np.int64) for x in np.divmod(of, max(1, len(w.of))))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], schema=PAIRS)
+
+    counted = written(rows.mapInArrow(pair_counts, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    linked = spark.sparkContext.broadcast(bitmap(counted.mapInArrow(_pair_hashes, "h long")))
+    named = words.where("word is not null")
+    pairs = counted.join(named.select(F.col("h").alias("a"), "lang", F.col("word").alias("first")), "a").join(named.select(F.col("h").alias("b"), F.col("word").alias("second")), "b")
+    pairs = written(pairs.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), "n"))
 
     def compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in chunks(batches):
-            h = w.pairs(Bitmap(known.value))
-            phrases, n = paths(w, (h != 0) & Bitmap(linked.value).has(h), longest)
+            h = w.hashes()
+            at = w.pairs(h, Bitmap(known.value))
+            links = np.zeros(len(w.ids), bool)
+            links[at] = Bitmap(linked.value).has(joined(h[w.ids[at]], h[w.ids[at + 1]]))
+            phrases, n = paths(w, links, longest)
             yield pa.RecordBatch.from_arrays([pa.array([w.lang] * len(n), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], schema=PATHS)
 
     own = rows.mapInArrow(compacted, "lang string, phrase string, n long").withColumn("w", F.split("phrase", " "))
     window = lambda i: F.array_join(F.slice(F.col("w"), i, longest), " ")
     each = F.when(F.size("w") <= longest, F.array("phrase")).otherwise(F.transform(F.sequence(F.lit(1), F.size("w") - longest + 1), window))
     edges = own.select("lang", "n", F.explode(each).alias("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return words, written(edges)
+    return words, pairs, written(edges)
 
 
 def flow(edges: DataFrame) -> DataFrame:
-    """(lang, phrase, n): the occurrences of all phrases of two words or more with which edges begin."""
+    """(lang, phrase, n): the occurrences of all phrases of three words or more with which edges begin."""
     w = F.split("phrase", " ")
-    begins = F.transform(F.sequence(F.lit(2), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), " "))
+    begins = F.transform(F.sequence(F.lit(3), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), " "))
     return edges.select("lang", "n", F.explode(begins).alias("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
@@ -229,7 +249,7 @@ SCORE = "({a} * {n} * 1000BD) div ({l} * {r})".format(**{c: f"cast({c} as decima
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int | None = 2000) -> DataFrame:
-    """Of docs (lang, text), for each lang: the phrases of two to `longest` words that occur `least` times or
+    """Of docs (lang, text), for each lang: the phrases of two to `longest` (three or more) words that occur `least` times or
     more, by score; `most` of them, or all (None). Columns: lang, rank (from 1), phrase, a (its occurrences),
     l and r (those of the parts of its lowest-scoring cut), n (all words of the lang), score.
 
@@ -238,8 +258,8 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     as `und`, null and empty texts have no words, equal rows count each; an empty table gives an empty one;
     further columns are ignored.
     """
-    words, edges = graph(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), least, longest)
-    own = written(flow(edges).where(F.col("n") >= least))
+    words, pairs, edges = graph(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), least, longest)
+    own = written(pairs.unionByName(flow(edges).where(F.col("n") >= least)))
     known = own.unionByName(words.where("word is not null").select("lang", F.col("word").alias("phrase"), "n"))
     w = F.split("phrase", " ")
     part = lambda a, b: F.array_join(F.slice(w, a, b), " ")

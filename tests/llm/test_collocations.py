@@ -72,7 +72,7 @@ def test_paths_stand_for_all_edges():
             m = 1
             while m < 4 and links[i + m - 1]:
                 m += 1
-            if m > 1:
+            if m > 2:
                 want[tuple(w.of[x] for x in w.ids[i : i + m])] += 1
         assert got == want
         assert len(phrases) <= len(want)
