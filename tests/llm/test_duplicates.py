@@ -312,3 +312,51 @@ def test_paragraphs_of_rows_without_id(make):
     got = {r.doc_id: r for r in paragraphs.paragraph_duplicates(make(texts)).collect()}
     assert {i: r.n_linked for i, r in got.items()} == {None: 2, 1: 1, 2: 1, 3: 1, 4: 0}
     assert {i: r.n_removed for i, r in got.items()} == {None: 0, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_template_with_own_fields(make, monkeypatch):
+    """Lines of a template of which any two are unlike: buckets are dealt out anew until none is large, and few
+    classes are dealt more than once; near copies among them are found."""
+    monkeypatch.setattr(paragraphs, "MANY", 40)
+    rnd = random.Random(23)
+
+    def line():
+        w = [f"t{k}" for k in range(200)]
+        for k in rnd.sample(range(200), 6):
+            w[k] = f"f{rnd.randrange(10**9)}"
+        return w
+
+    docs = [(i, " ".join(line())) for i in range(300)]
+    for i in range(0, 40, 2):
+        w = docs[i][1].split()
+        w[rnd.randrange(200)] = "changed"
+        docs.append((1000 + i, " ".join(w)))
+    dealt = []
+    again = paragraphs.dealt_again
+    monkeypatch.setattr(paragraphs, "dealt_again", lambda names, sets, rows: dealt.append((rows, names.count())) or again(names, sets, rows))
+    got = {r.doc_id: r.n_linked for r in paragraphs.paragraph_duplicates(make(docs)).collect()}
+    linked = {i for i, n in got.items() if n}
+    assert linked <= {i for i in range(0, 40, 2)} | {1000 + i for i in range(0, 40, 2)} and len(linked) >= 38
+    assert [r for r, _ in dealt] == list(range(10, 10 + 5 * len(dealt), 5)) and 1 <= len(dealt) <= 3 and dealt[0][1] <= 320
+
+
+def test_sketches_of_a_bucket():
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 16, 17, 60, 1, 9]
+    bucket = np.repeat(np.arange(len(sizes)) * 7 - 9, sizes)
+    k = rng.integers(-(2**63), 2**63, (len(bucket), 4), dtype=np.int64)
+    for x in range(1, len(k), 2):  # near the one before, by up to 80 bits
+        flips = np.packbits(rng.permutation(256) < rng.integers(0, 80)).view(np.int64)
+        k[x] = k[x - 1] ^ flips
+    name = rng.permutation(len(bucket))
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name), pa.array(k.tolist(), pa.list_(pa.int64()))], ["bucket", "name", "k"])
+    want = {
+        (min(name[x], name[y]), max(name[x], name[y])) for x in range(len(k)) for y in range(x)
+        if bucket[x] == bucket[y] and np.bitwise_count(k[x] ^ k[y]).sum() <= 256 - paragraphs.AGREE
+    }
+    assert len(want) > 10
+    for size in (1, 5, 200):
+        made = [r for b in paragraphs.near(iter([whole.slice(at, size) for at in range(0, len(k), size)])) for r in b.to_pylist()]
+        assert {(r["a"], r["b"]) for r in made} == want and len(made) == len(want)
