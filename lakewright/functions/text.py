@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,6 +30,30 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _lcs(a: list, b: list) -> int:
+    """Bit vectors take len(a) * len(b) / 64 steps, piles a few for each pair of equal tokens: the lesser is done."""
+    many, other = Counter(a), Counter(b)
+    equal = sum(n * other[x] for x, n in many.items())
+    return _lcs_piles(a, b) if equal * (1 + len(a).bit_length()) < len(a) * len(b) // 64 else _lcs_bits(a, b)
+
+
+def _lcs_piles(a: list, b: list) -> int:
+    """Longest chain of pairs of equal tokens: the places in `a` of each token of `b`, from the last to the
+    first, go on the first pile whose top isn't before them. Memory is linear, whatever the number of pairs."""
+    places: dict = {}
+    for i in range(len(a) - 1, -1, -1):
+        places.setdefault(a[i], []).append(i)
+    tops: list[int] = []
+    for y in b:
+        for i in places.get(y, ()):
+            k = bisect_left(tops, i)
+            if k == len(tops):
+                tops.append(i)
+            else:
+                tops[k] = i
+    return len(tops)
+
+
+def _lcs_bits(a: list, b: list) -> int:
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -64,6 +90,56 @@ def _edits(a: list, b: list) -> int:
     return d
 
 
+@F.pandas_udf(IntegerType())
+def aligned_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two token arrays along their anchors: see `_aligned`."""
+    return pd.Series([None if x is None or y is None else _aligned(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+#: Tokens of an anchor.
+GRAM = 5
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of the runs of GRAM tokens that each side holds once, in an order that both have: the longest
+    such chain."""
+    def once(x: list) -> dict:
+        found: dict = {}
+        for i, g in enumerate(zip(*(x[k:] for k in range(GRAM)), strict=False)):
+            found[g] = -1 if g in found else i
+        return found
+
+    own = once(b)
+    pairs = [(i, j) for g, i in once(a).items() if i >= 0 and (j := own.get(g, -1)) >= 0]
+    tops: list[int] = []
+    at, before = [], [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):  # sorted by i already
+        k = bisect_left(tops, j)
+        tops[k : k + 1], at[k : k + 1] = [j], [n]
+        before[n] = at[k - 1] if k else -1
+    chain, n = [], at[-1] if at else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def _aligned(a: list, b: list) -> int:
+    """Edit distance of what lies between anchors, added up: the cost of a real series of edits, so never
+    less than the distance, and the same wherever the cheapest edits keep the anchors. Texts without anchors
+    are compared as a whole. Works on the stretches alone, so long versions of one text take linear time."""
+    if a == b:
+        return 0
+    total = x = y = 0
+    for i, j in [*_anchors(a, b), (len(a), len(b))]:
+        if i < x or j < y:  # within the anchor before, at another distance
+            continue
+        p, q = a[x:i], b[y:j]
+        total += 0 if p == q else _edits(p, q)
+        x, y = i + min(GRAM, len(a) - i), j + min(GRAM, len(b) - j)
+    return total
+
+
 _CELL = re.compile(r"<(/?)(table|tr|td|th)\b([^>]*)>", re.I)
 #: Fixed values of HTML: the largest spans.
 _MOST = {"row": 65_534, "col": 1_000}

@@ -207,6 +207,7 @@ def catalog_rules() -> list[Rule]:
         Rule("an edge has modes", "raw_edges", "row_expr", ["id"], expr="coalesce(size(modes), 0) > 0"),
         Rule("edge modes are known", "edges", "in_set", ["edge_id", "src", "dst"], "mode", MODES),
         Rule("costs aren't negative", "edges", "range", ["edge_id", "src", "dst", "mode"], "cost", low=0.0),
+        Rule("an edge has an engine", "raw_edges", "not_null", ["id"], "engine"),
         Rule("engines are known", "raw_edges", "fk", ["id"], "engine", to="engines", other="engine"),
         Rule("edge sources are known", "edges", "fk", ["edge_id"], "src", to="formats", other="format"),
         Rule("edge targets are known", "edges", "fk", ["edge_id"], "dst", to="formats", other="format"),

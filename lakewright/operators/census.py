@@ -73,23 +73,26 @@ def split_apply_merge(df: DataFrame, class_col: str, fns: dict[str, Callable[[Da
     return reduce(lambda a, b: a.unionByName(b), parts, rest)
 
 
-#: Ranges of characters that are broadcast at most; a font has a few thousand.
-MOST_RANGES = 100_000
+#: Code points of a bin, and the last one.
+BIN, LAST = 256, 0x10FFFF
 
 
 def coverage_gaps(df: DataFrame, id: str, text: str, ranges: DataFrame) -> DataFrame:
     """(id, character, code, n) of characters outside every range (lo, hi).
 
-    Characters are counted by document once; only the distinct ones of the corpus, at most 1.1 million
-    code points, meet the ranges. MOST_RANGES bounds these; more raise an error.
+    Characters are counted by document once; only the distinct ones of the corpus meet the ranges, of which
+    there may be any number: both are dealt out by bins of code points, in which equal parts of ranges are one.
+    Ranges of which hi is under lo, or an end is null, hold nothing.
     """
-    if ranges.limit(MOST_RANGES + 1).count() > MOST_RANGES:
-        raise ValueError(f"over {MOST_RANGES} ranges; join those that touch")
     chars = df.select(id, F.explode(F.split(text, "")).alias("character")).where("character <> ''")
     counted = chars.groupBy(id, "character").agg(F.count(F.lit(1)).alias("n"))
-    distinct = counted.select("character").distinct().withColumn("code", F.ascii("character").cast("long"))
-    gaps = distinct.join(F.broadcast(ranges.select("lo", "hi")), (F.col("code") >= F.col("lo")) & (F.col("code") <= F.col("hi")), "left_anti")
-    return counted.join(gaps, "character").select(id, "character", "code", "n")
+    distinct = counted.select("character").distinct().withColumn("code", F.ascii("character").cast("long")).withColumn("bin", F.shiftright("code", 8))
+    own = ranges.select(F.greatest("lo", F.lit(0)).cast("long").alias("lo"), F.least("hi", F.lit(LAST)).cast("long").alias("hi"), (F.col("lo") <= F.col("hi")).alias("ok")).where("ok and lo <= hi")
+    parts = own.withColumn("bin", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))))
+    begin = F.col("bin") * BIN
+    parts = parts.select("bin", F.greatest("lo", begin).alias("lo"), F.least("hi", begin + BIN - 1).alias("hi")).distinct()
+    gaps = distinct.join(parts.withColumnRenamed("bin", "of"), (F.col("bin") == F.col("of")) & (F.col("code") >= F.col("lo")) & (F.col("code") <= F.col("hi")), "left_anti")
+    return counted.join(gaps.drop("bin"), "character").select(id, "character", "code", "n")
 
 
 def urls(pages: DataFrame, id: str, html: str) -> DataFrame:

@@ -45,19 +45,35 @@ def edge_rollup(edges: DataFrame, edge_losses: DataFrame) -> DataFrame:
     return own.join(losses, "edge_id", "left").withColumn("losses", F.coalesce("losses", F.lit("")))
 
 
-def snapshot_diff(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+def snapshot_diff(new: DataFrame, old: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
     """keys and change (added, removed, changed) of the rows that differ; no rows: the snapshot is fresh.
 
-    All columns are compared null-safely by one full join on the keys; equal rows under one key count.
+    Rows under one key are compared as multisets, nulls equal nulls: equal rows cancel out, and of the rest as
+    many as both sides have under the key are changed, the others added or removed. First the rows of both
+    sides are digested by bucket of the keys (count, sum and xor of hashes); only buckets that differ are
+    compared, so equal snapshots cost two scans and no shuffle of rows.
     """
     rest = sorted(c for c in new.columns if c not in keys)
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.struct(*rest).alias(name), F.lit(True).alias(f"{name}_is"))
-
-    joined = side(new, "_n").join(side(old, "_o"), keys, "full")
-    change = F.when(F.col("_o_is").isNull(), "added").when(F.col("_n_is").isNull(), "removed").when(~F.col("_n").eqNullSafe(F.col("_o")), "changed")
-    return joined.select(*keys, change.alias("change")).where("change is not null")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket")
+    hashed = F.xxhash64(*keys, *rest)
+
+    def digest(df: DataFrame, sign: int) -> DataFrame:
+        own = df.select(bucket, hashed.alias("_h")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_h").cast("decimal(38,0)")).alias("s"), F.bit_xor("_h").alias("x"))
+        return own.select("_bucket", (sign * F.col("n")).alias("n"), (sign * F.col("s")).alias("s"), "x")
+
+    both = digest(new, 1).unionByName(digest(old, -1)).groupBy("_bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"))
+    differ = both.where("n <> 0 or s <> 0 or x <> 0").select("_bucket")  # `buckets` rows at most
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        own = df.withColumn("_bucket", bucket).join(F.broadcast(differ), "_bucket", "left_semi")
+        return own.select(*keys, F.struct(F.lit(0), *rest).alias("_row"), F.lit(sign).alias("_sign"))
+
+    left = side(new, 1).unionByName(side(old, -1)).groupBy(*keys, "_row").agg(F.sum("_sign").alias("_left")).where("_left <> 0")
+    sums = left.groupBy(*keys).agg(F.sum(F.greatest("_left", F.lit(0))).alias("_n"), F.sum(F.greatest(-F.col("_left"), F.lit(0))).alias("_o"))
+    each = lambda change, n: F.array_repeat(F.lit(change), n.cast("int"))
+    same = F.least("_n", "_o")
+    changes = F.concat(each("changed", same), each("added", F.col("_n") - same), each("removed", F.col("_o") - same))
+    return sums.select(*keys, F.explode(changes).alias("change"))
 
 
 def multiset_rows_diff(new: DataFrame, old: DataFrame) -> DataFrame:

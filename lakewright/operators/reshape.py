@@ -117,7 +117,7 @@ def merge_outlines(df: DataFrame, key: str, source: str, order: str, title: str,
     return top.unionByName(own)
 
 
-def unique_names(df: DataFrame, name: str, order: list[str], rounds: int = 50) -> DataFrame:
+def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """df with new_name and renamed: the second of a name becomes `name (1).ext` and so on, in order.
 
     A made name that an existing one already has takes the next free number; rounds repeat until no name
@@ -132,7 +132,7 @@ def unique_names(df: DataFrame, name: str, order: list[str], rounds: int = 50) -
 
     from ..functions.lineage import cut
 
-    for _ in range(rounds):
+    while True:  # each round the names that clash get higher numbers, so it ends
         first = F.row_number().over(W.partitionBy("new_name").orderBy(F.desc("_fixed"), F.col("_n"), *order))
         out = cut(out.withColumn("new_name", made()).withColumn("_rank", first))
         if out.where("_rank > 1").isEmpty():
@@ -140,7 +140,6 @@ def unique_names(df: DataFrame, name: str, order: list[str], rounds: int = 50) -
         top = out.groupBy(name).agg(F.max("_n").alias("_top"))
         late = F.sum(F.when(F.col("_rank") > 1, 1).otherwise(0)).over(W.partitionBy(name).orderBy("_n").rowsBetween(W.unboundedPreceding, 0))
         out = out.withColumn("_late", late).join(top, name).withColumn("_n", F.when(F.col("_rank") > 1, F.col("_top") + F.col("_late")).otherwise(F.col("_n"))).drop("_late", "_top", "_rank", "new_name")
-    raise RuntimeError(f"names still clash after {rounds} rounds")
 
 
 def page_names(df: DataFrame, name: str, page: str, width: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import edit_distance
 from ..operators import compare, reports
 from ..sources.files import table
 from .registry import query
@@ -56,14 +57,21 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT *, unnest(range(0, greatest(len(a), len(b), 1), 40)) AS k FROM w), p AS (SELECT doc_id, k, a[k + 1:k + 40] AS a, b[k + 1:k + 40] AS b FROM s), q AS (SELECT *, list_distinct(list_concat(a, b)) AS e FROM p)
 SELECT doc_id, sum(levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(e, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(e, x))::INT)), '')))::BIGINT AS distance,
  sum(greatest(len(a), len(b)))::BIGINT AS longest FROM q GROUP BY doc_id""")
-def v4_token_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """V4 by paragraphs of 40 tokens at the same place, summed over the whole documents."""
+def v4_slice_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of slices of 40 tokens at the same place, summed: more than V4's wherever a token is inserted."""
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.size("a"), F.size("b"), F.lit(1)) - 1, F.lit(40))).alias("at")
     pieces = neighbours(spark, d).select("doc_id", start, "a", "b").select("doc_id", F.expr("slice(a, at + 1, 40)").alias("a"), F.expr("slice(b, at + 1, 40)").alias("b"))
-    out = compare.token_similarity(pieces, "a", "b")
+    out = pieces.withColumn("distance", edit_distance("a", "b"))
     return out.groupBy("doc_id").agg(F.sum("distance").cast("long").alias("distance"), F.sum(F.greatest(F.size("a"), F.size("b"))).cast("long").alias("longest"))
 
 
+@query()
+def v4_token_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """V4 of whole documents, aligned at their anchors; tests hold it against the distance of all tokens."""
+    out = compare.aligned_similarity(neighbours(spark, d), "a", "b")
+    return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"), "similarity")
+
+
 @query()
 def v4_whole_similarity(spark: SparkSession, d: str) -> DataFrame:
     """V4 over every token of both documents at once; no SQL, as DuckDB's distance is over bytes."""

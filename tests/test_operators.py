@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakewright.functions.text import _lcs, table_cells
-from lakewright.operators import census, compare, jobs, reshape, sizing
+from lakewright.functions.text import _aligned, _edits, _lcs, _lcs_bits, _lcs_piles, table_cells
+from lakewright.operators import catalog, census, compare, jobs, reports, reshape, sizing
 from lakewright.sources.files import binary_files
 
 
@@ -160,3 +160,96 @@ def test_jobs(spark):
     done = plan.where("file = 'f1' or step = 1")
     assert jobs.first_unfinished(plan, done, ["batch", "file", "step"], "batch", "file", "step").first().file == "f2"
     assert jobs.assert_none(plan, plan.where("false"), "file").first().passes
+
+
+def edited(rnd, text, changes):
+    out = list(text)
+    for _ in range(changes):
+        k = rnd.randrange(len(out) + 1)
+        kind = rnd.random()
+        if kind < 0.4:
+            out.insert(k, f"n{rnd.random()}")
+        elif kind < 0.7 and k < len(out):
+            out[k] = f"n{rnd.random()}"
+        elif k < len(out):
+            del out[k : k + rnd.choice([1, 1, 1, 30])]
+    return out
+
+
+def test_aligned_distance():
+    """Never under the distance; equal to it for nearly all edited texts, and for texts without anchors."""
+    rnd = random.Random(31)
+    equal = 0
+    for trial in range(300):
+        vocab = [f"w{i}" for i in range(rnd.choice([3, 30, 3000]))]
+        a = [rnd.choice(vocab) for _ in range(rnd.choice([0, 1, 4, 60, 300]))]
+        b = edited(rnd, a, rnd.randint(0, 12)) if trial % 3 else [rnd.choice(vocab) for _ in range(rnd.randint(0, 90))]
+        got, want = _aligned(a, b), _edits(a, b)
+        assert got >= want and (got == 0) == (a == b) and got <= max(len(a), len(b)) + abs(len(a) - len(b))
+        equal += got == want
+    assert equal >= 0.95 * 300
+
+
+def test_aligned_similarity_of_documents(spark, data):
+    from lakewright.plans import verify
+
+    got = {r.doc_id: (r.distance, r.longest) for r in verify.v4_token_similarity(spark, data).collect()}
+    want = {r.doc_id: (r.distance, r.longest) for r in verify.v4_whole_similarity(spark, data).collect()}
+    assert set(got) == set(want) and len(got) > 100
+    assert all(got[i][0] >= want[i][0] and got[i][1] == want[i][1] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.95 * len(got)
+    odd = spark.createDataFrame([(1, [], []), (2, None, ["x"]), (3, ["x"], [])], "id int, a array<string>, b array<string>")
+    assert {r.id: (r.distance, r.similarity) for r in compare.aligned_similarity(odd, "a", "b").collect()} == {1: (0, 1.0), 2: (None, None), 3: (1, 0.0)}
+
+
+def test_long_versions_take_linear_time():
+    rnd = random.Random(5)
+    a = [f"w{i}" for i in range(300_000)]
+    b = edited(rnd, a, 400)
+    d = _aligned(a, b)
+    assert 300 < d < 8000
+    assert _lcs(a, b) == _lcs_piles(a, b) >= len(a) - d
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=25), st.lists(st.sampled_from("abcdefg"), max_size=25))
+def test_piles_equal_bits(a, b):
+    assert _lcs_piles(a, b) == _lcs_bits(a, b) == _lcs(a, b)
+
+
+def test_snapshot_with_repeated_keys(spark):
+    rows = [(1, "x"), (1, "y"), (2, "z"), (2, "z"), (None, "n"), (3, None)]
+    a = spark.createDataFrame(rows, "k int, v string")
+    for buckets in (1, 4096):
+        assert reports.snapshot_diff(a, a, ["k"], buckets).count() == 0
+        assert reports.snapshot_diff(a.repartition(3), a.orderBy("v"), ["k"], buckets).count() == 0
+        b = spark.createDataFrame([(1, "x"), (1, "q"), (2, "z"), (None, "n"), (3, "now"), (3, "w"), (4, None)], "k int, v string")
+        got = sorted(((r.k, r.change) for r in reports.snapshot_diff(a, b, ["k"], buckets).collect()), key=str)
+        assert got == [(1, "changed"), (2, "added"), (3, "changed"), (3, "removed"), (4, "removed")]
+    only = reports.snapshot_diff(a.select("k"), a.select("k").distinct(), ["k"]).collect()
+    assert sorted(r.k for r in only) == [1, 2] and {r.change for r in only} == {"added"}
+    assert reports.snapshot_diff(a.where("false"), a, ["k"]).groupBy("change").count().collect()[0]["count"] == 6
+
+
+def test_an_edge_needs_an_engine(spark):
+    rules = [r for r in catalog.catalog_rules() if r.table == "raw_edges" and r.column == "engine"]
+    edges = spark.createDataFrame([("a", "e1"), ("b", None), ("c", "none")], "id string, engine string")
+    found = catalog.check({"raw_edges": edges, "engines": spark.createDataFrame([("e1",)], "engine string")}, rules).collect()
+    assert sorted((r.rule, r.key) for r in found) == [("an edge has an engine", "b"), ("engines are known", "c")]
+
+
+def test_gaps_of_a_million_ranges(spark):
+    docs = spark.createDataFrame([(1, "azé😀" + chr(0x10FFFF)), (2, None), (3, "")], "id int, t string")
+    many = spark.range(1_000_000).select((F.col("id") * 2 + 1).alias("lo"), (F.col("id") * 2 + 1).alias("hi"))  # odd code points
+    got = {(r.id, r.character, r.n) for r in census.coverage_gaps(docs, "id", "t", many).collect()}
+    assert got == {(1, c, 1) for c in "azé😀" + chr(0x10FFFF) if ord(c) % 2 == 0}
+    odd = spark.createDataFrame([(None, 5), (200, 100), (-5, 97), (0x1F600, 0x7FFFFFFF)], "lo long, hi long")
+    assert {r.character for r in census.coverage_gaps(docs, "id", "t", odd).collect()} == {"z", "é"}
+
+
+def test_names_that_clash_again_and_again(spark):
+    """More chains of made names than there were rounds."""
+    rows = [(0, "a.txt"), (1, "a.txt"), *((k + 1, f"a ({k}).txt") for k in range(1, 60))]
+    df = spark.createDataFrame([*rows, (100, "a.txt")], "i int, name string")
+    got = [r.new_name for r in reshape.unique_names(df, "name", ["i"]).collect()]
+    assert len(set(got)) == len(got) == 62
