@@ -9,7 +9,7 @@ for places where a piece ends before the edge is full.
 Only phrases with `least` occurrences matter, and all parts of such a phrase occur as often. So the graph
 leaves out words, and then pairs of words, that are rarer: words and pairs are counted first, and two bitmaps
 of hashes tell which are frequent (they may let rarer ones pass, which costs time and changes nothing, as each
-phrase is counted fully or not at all). They have 16 bits for each frequent word or pair and 16 MiB at most,
+phrase is counted fully or not at all). They have 128 bits for each frequent word or pair and 16 MiB at most,
 whatever the corpus; that is all that is collected or broadcast. As these passes count words and pairs, the
 graph's flow gives the phrases from three words on.
 
@@ -37,7 +37,7 @@ PIECES = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
 #: Bytes of text that are words at a time; a longer piece comes alone.
 CHUNK = 6 << 20
 #: Bits of a bitmap for each hash, and the least and most bits.
-BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+BITS, LEAST_BITS, MOST_BITS = 128, 1 << 20, 1 << 27
 SPARK_BITS = 1 << 15  # of one row of Spark's bitmap functions
 #: Factors of the first and second word's hash (any odd 64-bit numbers do).
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
