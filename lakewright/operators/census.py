@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Script -> Java character class; RTL scripts.
+from ..functions.markup import feature_rows
+
+#: Script -> character class; RTL scripts.
 SCRIPTS = {
     "latin": r"\p{IsLatin}", "greek": r"\p{IsGreek}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}",
     "hebrew": r"\p{IsHebrew}", "devanagari": r"\p{IsDevanagari}", "han": r"\p{IsHan}", "digits": r"[0-9]",
 }
 RTL = ("arabic", "hebrew")
-#: Feature -> pattern of its opening tag.
+#: Feature -> its tags, and the attribute that a tag must have.
 FEATURES = {
-    "links": r"(?i)<a\s[^>]*href", "images": r"(?i)<img\b", "tables": r"(?i)<table\b", "headings": r"(?i)<h[1-6]\b",
-    "lists": r"(?i)<(?:ul|ol)\b", "notes": r"(?i)<(?:aside|sup)\b", "paragraphs": r"(?i)<p\b", "scripts": r"(?i)<script\b",
+    "links": (("a",), "href"), "images": (("img",), None), "tables": (("table",), None), "headings": (("h1", "h2", "h3", "h4", "h5", "h6"), None),
+    "lists": (("ul", "ol"), None), "notes": (("aside", "sup"), None), "paragraphs": (("p",), None), "scripts": (("script",), None),
 }
+#: The last code point.
+LAST = 0x10FFFF
 #: Magic bytes in hex -> type.
 SIGNATURES = {
     "25504446": "pdf", "504B0304": "zip", "89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "47494638": "gif",
@@ -39,11 +46,44 @@ def sniff(files: DataFrame, content: str = "content", claimed: str | None = None
     return out.withColumn("mismatch", ~F.col("type").eqNullSafe(F.col(claimed))) if claimed else out
 
 
+def code_classes(patterns: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted begins of ranges of code points, the class of each range, and which patterns (rows: classes)
+    hold for a class. A pattern is for one character; any number of patterns may hold for it."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, LAST + 1))))  # surrogates are no characters
+    place = np.concatenate([np.arange(0xD800), np.arange(0xE000, LAST + 1)])
+    held = np.zeros((LAST + 1, len(patterns)), bool)
+    for k, p in enumerate(patterns):
+        for m in regex.finditer(rf"(?:{p})+", every):
+            held[place[m.start() : m.end()], k] = True
+    begins = np.concatenate([[0], 1 + np.flatnonzero((held[1:] != held[:-1]).any(1))])
+    members, kind = np.unique(held[begins], axis=0, return_inverse=True)
+    return begins, kind.ravel().astype(np.uint8), members
+
+
 def script_census(df: DataFrame, id: str, text: str, scripts: dict[str, str] = SCRIPTS) -> DataFrame:
-    """(id, script, n) with n > 0."""
-    cols = ", ".join(f"'{s}', `{s}`" for s in scripts)
-    counted = df.select(id, *(F.regexp_count(text, F.lit(p)).cast("long").alias(s) for s, p in scripts.items()))
-    return counted.selectExpr(id, f"stack({len(scripts)}, {cols}) as (script, n)").where("n > 0")
+    """(id, script, n) with n > 0: characters of each class, a pattern for one character.
+
+    Each text is read once: its code points are looked up in one table (some hundred ranges, sent with the
+    function), and classes are counted for all texts of a slice together. Null texts have no characters.
+    """
+    begins, kind, members = code_classes(tuple(scripts.values()))
+    names, schema = list(scripts), df.select(id).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_code = np.repeat(kind, np.diff(np.append(begins, LAST + 1)))
+        for batch in batches:
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))  # about 4 MB of text at a time
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                found = np.bincount(row * len(members) + by_code[codes], minlength=len(texts) * len(members)).reshape(len(texts), -1)
+                n = found @ members.astype(np.int64)
+                i, k = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array([names[x] for x in k], pa.string()), pa.array(n[i, k], pa.int64())], [id, "script", "n"])
+
+    return df.select(id, text).mapInArrow(run, schema.add("script", "string").add("n", "long"))
 
 
 def dominant_script(census: DataFrame, id: str) -> DataFrame:
@@ -52,9 +92,10 @@ def dominant_script(census: DataFrame, id: str) -> DataFrame:
         F.min_by("script", F.struct(-F.col("n"), F.col("script"))).alias("script"), F.bool_or(F.col("script").isin(*RTL)).alias("right_to_left"))
 
 
-def feature_census(pages: DataFrame, id: str, html: str, features: dict[str, str] = FEATURES) -> DataFrame:
-    """(id, feature, n) with n > 0."""
-    return script_census(pages, id, html, features).withColumnRenamed("script", "feature")
+def feature_census(pages: DataFrame, id: str, html: str, features: dict[str, tuple[tuple[str, ...], str | None]] = FEATURES) -> DataFrame:
+    """(id, feature, n) with n > 0: start tags, not what looks like one in comments, scripts and attributes."""
+    own = pages.select(F.col(id).alias("_id"), F.col(html).alias("_html"))
+    return own.lateralJoin(feature_rows(features)(F.col("_html").outer())).select(F.col("_id").alias(id), "feature", "n")
 
 
 def classify_units(df: DataFrame, rules: list[tuple[str, Column]], otherwise: str) -> DataFrame:
@@ -73,8 +114,8 @@ def split_apply_merge(df: DataFrame, class_col: str, fns: dict[str, Callable[[Da
     return reduce(lambda a, b: a.unionByName(b), parts, rest)
 
 
-#: Code points of a bin, and the last one.
-BIN, LAST = 256, 0x10FFFF
+#: Code points of a bin.
+BIN = 256
 
 
 def coverage_gaps(df: DataFrame, id: str, text: str, ranges: DataFrame) -> DataFrame:

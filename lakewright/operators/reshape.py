@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.markup import element_rows, page_text
 from ..functions.text import table_cells
 
 
@@ -26,34 +27,24 @@ def html_tables(pages: DataFrame, id: str, html: str) -> DataFrame:
     return own.mapInPandas(run, f"{id} {kind}, table int, row int, col int, rowspan int, colspan int, text string, filled boolean")
 
 
-#: The named character references that text of markup needs most.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&amp;": "&"}
-
-
-def unescaped(text: Column) -> Column:
-    """Character references of REFERENCES decoded, the ampersand last."""
-    for k, v in REFERENCES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
-
-
-def strip_tags(html: Column) -> Column:
-    """Text of markup: scripts, styles and comments dropped, tags to spaces, references decoded, white space collapsed."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    t = unescaped(F.regexp_replace(t, r"<[^>]*>", " "))
-    return F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
+def element_tree(pages: DataFrame, id: str, html: str, tags: list[str] | None = None) -> DataFrame:
+    """(id, ord, parent, depth, tag, attributes, text) of the elements of some tags (None: all), nested ones
+    too, in page order: see `elements`. Null and empty pages have none."""
+    own = pages.select(F.col(id).alias("_id"), F.col(html).alias("_html"))
+    rows = own.lateralJoin(element_rows(tags)(F.col("_html").outer()))
+    return rows.select(F.col("_id").alias(id), "ord", "parent", "depth", "tag", "attributes", "text")
 
 
 def html_elements(pages: DataFrame, id: str, html: str, tag: str, attribute: str | None = None) -> DataFrame:
-    """(id, ord, attribute, text) of the elements of a tag, in order."""
-    found = F.posexplode(F.regexp_extract_all(html, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}>)"), 1)).alias("ord", "_e")
-    a = F.regexp_extract("_e", rf'(?i)^<{tag}\b[^>]*\b{attribute}="([^"]*)"', 1) if attribute else F.lit("")
-    return pages.select(id, found).select(id, "ord", a.alias("attribute"), strip_tags(F.col("_e")).alias("text"))
+    """(id, ord, attribute, text) of the elements of a tag, in order; an attribute that isn't there is empty."""
+    a = F.coalesce(F.try_element_at("attributes", F.lit(attribute.lower())), F.lit("")) if attribute else F.lit("")
+    return element_tree(pages, id, html, [tag]).select(id, "ord", a.alias("attribute"), "text")
 
 
 def html_text(pages: DataFrame, id: str, html: str) -> DataFrame:
-    """(id, text) in reading order."""
-    return pages.select(id, strip_tags(F.col(html)).alias("text"))
+    """(id, text) in reading order: scripts, styles and comments left out, tags as spaces, all references
+    decoded, white space collapsed. A null page stays null."""
+    return pages.select(id, page_text(F.col(html)).alias("text"))
 
 
 def lines(df: DataFrame, id: str, text: str, sep: str | None = None) -> DataFrame:
