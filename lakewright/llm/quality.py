@@ -137,6 +137,22 @@ def aggregated(x: np.ndarray, sizes: np.ndarray, length: np.ndarray, m: Model) -
     return np.log(share / (1 - share))
 
 
+def few_lines(sampled: DataFrame, most: int) -> DataFrame:
+    """The rows of a sample, in the order of its hash, with `most` lines or fewer in all; a doc_id whose rows
+    have more than is left is passed over. The driver gets two numbers for each doc_id of the sample."""
+    n = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    sizes = sampled.groupBy("doc_id").agg(F.sum(n).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    kept = []
+    for r in sizes:
+        if r.n <= most:
+            kept.append((r.doc_id,))
+            most -= r.n
+    if len(kept) == len(sizes):
+        return sampled
+    chosen = sampled.sparkSession.createDataFrame(kept, "doc_id long")
+    return sampled.join(F.broadcast(chosen), "doc_id")  # as many numbers as the sample has
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,11 +160,13 @@ def fit(
     label: str = "quality",
     most_rows: int = 6_000,
     longest: int = 60_000,
+    most_lines: int = 500_000,
     steps: int = 150,
     rate: float = 0.1,
     ridge: float = 1e-4,
 ) -> Model:
-    """Learn from at most `most_rows` labelled rows of at most `longest` bytes where `learn` holds."""
+    """Learn from at most `most_rows` labelled rows of at most `longest` bytes where `learn` holds, which have
+    `most_lines` lines or fewer in all."""
 
     def lines(labels_: list, texts: list) -> list:
         made = [line_features(t) for t in texts]
@@ -158,7 +176,7 @@ def fit(
         ]
 
     features = map_columns(
-        sample(docs, labels, label, learn, most_rows, longest), ["label", "text"], lines, "y int, n int, x binary, length binary",
+        few_lines(sample(docs, labels, label, learn, most_rows, longest), most_lines), ["label", "text"], lines, "y int, n int, x binary, length binary",
         pa.schema([("y", pa.int32()), ("n", pa.int32()), ("x", pa.binary()), ("length", pa.binary())]),
     )
     rows = features.collect()

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakewright.llm import quality, toxicity
 from lakewright.llm.training import remainder
@@ -82,3 +83,16 @@ def test_held_out(spark, make, tables, kind, n, least):
     if kind == "quality":
         kept = quality.accepted(odd, model)
         assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.3}
+
+
+def test_lines_that_teach_are_bounded(spark):
+    rows = [(i, "a\nb\nc") for i in range(6)] + [(6, "x\n" * 50), (7, "one"), (7, "two\nthree")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    all_of_it = quality.few_lines(df, 10**6)
+    assert all_of_it.count() == len(rows)
+    own = [r.text for r in quality.few_lines(df, 12).collect()]
+    assert 0 < sum(t.count("\n") + 1 for t in own) <= 12 and "x\n" * 50 not in own
+    assert quality.few_lines(df, 0).isEmpty() and quality.few_lines(df.where("false"), 5).isEmpty()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    m = quality.fit(df, labels, F.lit(True), most_lines=12, steps=3)
+    assert quality.score(df, m).count() == len(rows)
