@@ -1,19 +1,24 @@
-"""Cutting lineage in iterative jobs."""
+"""Cutting lineage in iterative jobs, and the folder that a cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on this machine
+    alone, as in tests."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on
-    this machine alone, as in tests."""
+    """Checkpoint into the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-        if not found and not (master == "local" or master.startswith("local[")):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-shared-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.markup import element_rows, page_text
+from ..functions.prefix import sum_before
 from ..functions.text import table_cells
 
 
@@ -88,8 +89,8 @@ def to_blocks(df: DataFrame, group: str, order: list[str], cols: list[str], sep:
 
 def labelled_blocks(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """(group, block, label, rows): the group's rows in order cut into blocks of n, labelled first-last."""
-    rn = F.row_number().over(W.partitionBy(group).orderBy(order))
-    b = df.select(group, order, F.floor((rn - 1) / n).cast("int").alias("block"))
+    numbered = sum_before(df.select(group, order), [group], [order], F.lit(1), "_n")
+    b = numbered.select(group, order, F.floor(F.col("_n") / n).cast("int").alias("block"))
     label = F.concat_ws("-", F.min(order).cast("string"), F.max(order).cast("string"))
     return b.groupBy(group, "block").agg(label.alias("label"), F.count(F.lit(1)).alias("rows"))
 

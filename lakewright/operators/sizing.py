@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.prefix import sum_before
+
 #: Units in an inch.
 PER_INCH = {"in": 1.0, "cm": 2.54, "mm": 25.4}
 
@@ -60,15 +62,10 @@ def check_bands(measures: DataFrame, specs: DataFrame, most_rows: int = 100_000)
 
 
 def numbered(df: DataFrame, group: str, order: list[str], count: Column) -> DataFrame:
-    """df with _start: the running sum of `count` over groups in order, then over rows within a group.
-
-    Two phases: the groups' sums first, so no window holds all rows. The list of groups is windowed alone,
-    so groups are coarse (a batch, a day), a few thousand at most.
-    """
-    sums = df.groupBy(group).agg(F.sum(count).alias("_sum"))
-    before = sums.withColumn("_before", F.sum("_sum").over(W.orderBy(group)) - F.col("_sum")).drop("_sum")
-    own = F.sum(count).over(W.partitionBy(group).orderBy(*order)) - count
-    return df.join(before, group).withColumn("_start", (F.col("_before") + own).cast("long")).drop("_before")
+    """df with _start: the running sum of `count` over groups in order, then over rows within a group; there
+    may be any number of groups, of any size."""
+    out = sum_before(df, [], [group, *order], count, "_start")
+    return out.withColumn("_start", F.col("_start").cast("long"))
 
 
 def place_on_grid(items: DataFrame, group: str, order: list[str], copies: str, rows: int, cols: int) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..functions.text import edit_distance
 from ..operators import compare, reports
-from ..sources.files import table
+from ..sources.files import table, write_records
 from .registry import query
 
 SPACE = r"[ \t\r\n\f\x0B]"
@@ -170,8 +173,23 @@ def v13_hash_match(spark: SparkSession, d: str) -> DataFrame:
     return compare.match_by_hash(a, b, ["doc_id"], "text")
 
 
-@query(OUTCOMES + """ SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"label":"' || label || '","checks":[' || string_agg('{"check":"' || "check" || '","ok":' || ok || ',"outcome":"' || outcome || '"}', ',' ORDER BY "check") || ']}' AS record
+REPORTS = (OUTCOMES + """ SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"label":"' || label || '","checks":[' || string_agg('{"check":"' || "check" || '","ok":' || ok || ',"outcome":"' || outcome || '"}', ',' ORDER BY "check") || ']}' AS record
 FROM oc JOIN lb USING (o_orderkey) GROUP BY o_orderkey, label""")
+
+
+@query(REPORTS)
 def v14_report(spark: SparkSession, d: str) -> DataFrame:
     checks = outcomes(spark, d)
     return reports.export_reports(checks, compare.label_jobs(checks, ["o_orderkey"]), "o_orderkey")
+
+
+@query(f"SELECT r.o_orderkey, s.label, r.record FROM ({REPORTS}) r JOIN ({OUTCOMES} SELECT o_orderkey, label FROM lb) s USING (o_orderkey)")
+def v14_report_files(spark: SparkSession, d: str) -> DataFrame:
+    """The reports written as JSON lines under their label, and read again."""
+    checks = outcomes(spark, d)
+    labels = compare.label_jobs(checks, ["o_orderkey"])
+    own = reports.export_reports(checks, labels, "o_orderkey").join(labels.select("o_orderkey", "label"), "o_orderkey")
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    write_records(own, path, ["label"], "report")
+    record = F.col("value")
+    return spark.read.schema("value string, label string").text(path).select(F.get_json_object(record, "$.o_orderkey").cast("long").alias("o_orderkey"), "label", record.alias("record"))
