@@ -9,8 +9,8 @@ for places where a piece ends before the edge is full.
 Only phrases with `least` occurrences matter, and all parts of such a phrase occur as often. So the graph
 leaves out words, and then pairs of words, that are rarer: words and pairs are counted first, and two bitmaps
 of hashes tell which are frequent (they may let rarer ones pass, which costs time and changes nothing, as each
-phrase is counted fully or not at all). They have 128 bits for each frequent word or pair and 16 MiB at most,
-whatever the corpus; that is all that is collected or broadcast. As these passes count words and pairs, the
+phrase is counted fully or not at all). They are Bloom filters of three places a hash, have 128 bits for each
+frequent word or pair and 16 MiB at most, whatever the corpus; that is all that is collected or broadcast. As these passes count words and pairs, the
 graph's flow gives the phrases from three words on.
 
 Words of a pair are named by 64-bit hashes until pairs are counted (two of 10^8 frequent words share one with
@@ -38,6 +38,7 @@ PIECES = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else b for b in range(256))
 CHUNK = 6 << 20
 #: Bits of a bitmap for each hash, and the least and most bits.
 BITS, LEAST_BITS, MOST_BITS = 128, 1 << 20, 1 << 27
+PLACES = 3  # of a hash in a bitmap
 SPARK_BITS = 1 << 15  # of one row of Spark's bitmap functions
 #: Factors of the first and second word's hash (any odd 64-bit numbers do).
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,8 +87,11 @@ class Bitmap:
         self.mask = np.uint64(8 * len(bits) - 1)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = (h >> np.uint64(1)) & self.mask
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        at, step, out = (h >> np.uint64(1)) & self.mask, (h >> np.uint64(33)) | np.uint64(1), np.ones(len(h), bool)
+        for _ in range(PLACES):
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = (at + step) & self.mask
+        return out
 
 
 def bitmap(hashes: DataFrame) -> bytes:
@@ -96,8 +100,10 @@ def bitmap(hashes: DataFrame) -> bytes:
     count = hashes.count()
     while size < min(MOST_BITS, BITS * count):
         size *= 2
-    at = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit(size - 1)) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    first, step = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 33).bitwiseOR(F.lit(1))
+    places = hashes.select(F.explode(F.array(*((first + step * k).bitwiseAND(F.lit(size - 1)) for k in range(PLACES)))).alias("place"))
+    at = F.col("place") + 1
+    rows = places.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = bytearray(size // 8)
     for k, bits in rows.toLocalIterator():
         out[(k - 1) * SPARK_BITS // 8 : k * SPARK_BITS // 8] = bits

@@ -88,3 +88,12 @@ def test_chunks_end_between_pieces(monkeypatch):
     for w in collocations.chunks([batch.set_column(0, "lang", pa.array(["en", "de", "und"]))]):
         got.update((w.lang, w.of[i]) for i in w.ids.tolist())
     assert got == Counter({("en", b"one"): 40, ("en", b"two"): 40, ("en", b"three"): 40, ("en", b"x" * 300): 1, ("en", b"four"): 1, ("de", b"vier"): 1})
+
+
+def test_bitmap_holds_every_hash_and_few_others(spark):
+    rng = np.random.default_rng(5)
+    own, other = (rng.integers(0, 1 << 64, 20_000, dtype=np.uint64) for _ in range(2))
+    df = spark.createDataFrame([(int(x),) for x in own.view(np.int64)], "h long")
+    found = collocations.Bitmap(collocations.bitmap(df))
+    assert found.has(own).all() and found.has(other).sum() <= 20
+    assert not collocations.Bitmap(collocations.bitmap(df.where("false"))).has(own).any()
