@@ -19,10 +19,27 @@ def inches(size: Column, unit: Column) -> Column:
     return out
 
 
-def plan_sizes(specs: DataFrame, dpis: DataFrame) -> DataFrame:
+def product(left: DataFrame, right: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """Every row of left beside every row of right. A right side of up to `most_rows` rows is broadcast; a larger
+    one is dealt into blocks of half as many on average, each row of left is repeated for each block, and both
+    are joined by the block and a part of left, so a task holds a block of right at a time. Blocks and parts go by
+    the rows' own values, so a task that is run again deals them out alike; equal rows share a block."""
+    n = right.limit(most_rows + 1).count()
+    if n <= most_rows:
+        return left.crossJoin(F.broadcast(right))
+    blocks = -(-right.count() * 2 // max(1, most_rows))
+    parts = max(1, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    dealt = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    every = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))
+    every = every.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return every.join(dealt, ["_block", "_part"]).drop("_block", "_part")
+
+
+def plan_sizes(specs: DataFrame, dpis: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """specs (spec, size, unit) in every DPI: px (rounded once), error in px and in mm, and best: the DPI of
-    least error, the smallest among equals. DPIs are a short list."""
-    j = specs.crossJoin(dpis.select("dpi"))  # every DPI is asked for; Spark broadcasts the list by its size
+    least error, the smallest among equals. DPIs are broadcast up to `most_rows` rows."""
+    j = product(specs, dpis.select("dpi"), most_rows)
     exact = inches(F.col("size"), F.col("unit")) * F.col("dpi")
     j = j.withColumn("px", F.round(exact).cast("long")).withColumn("error_px", F.col("px") - exact).withColumn("error_mm", F.col("error_px") / F.col("dpi") * 25.4)
     best = j.groupBy("spec").agg(F.min_by("dpi", F.struct(F.round(F.abs("error_px"), 9), F.col("dpi"))).alias("best_dpi"))
@@ -76,13 +93,13 @@ def place_on_grid(items: DataFrame, group: str, order: list[str], copies: str, r
     return each.withColumns({"sheet": F.floor(at / per), "row": F.floor(at % per / cols), "col": at % cols}).drop("_start")
 
 
-def grid_capacity(papers: DataFrame, sizes: DataFrame, margin: float = 0.0, gap: float = 0.0) -> DataFrame:
+def grid_capacity(papers: DataFrame, sizes: DataFrame, margin: float = 0.0, gap: float = 0.0, most_rows: int = 100_000) -> DataFrame:
     """papers (paper, width, height) x sizes (item, w, h, needed): columns, rows, per sheet, sheets needed
-    (null if none fits)."""
+    (null if none fits). Sizes are broadcast up to `most_rows` rows."""
 
     def fit(whole: str, part: str) -> Column:
         return F.greatest(F.floor((F.col(whole) - 2 * margin + gap) / (F.col(part) + gap)), F.lit(0))
 
-    j = papers.crossJoin(sizes).withColumn("cols", fit("width", "w")).withColumn("rows", fit("height", "h"))
+    j = product(papers, sizes, most_rows).withColumn("cols", fit("width", "w")).withColumn("rows", fit("height", "h"))
     j = j.withColumn("per_sheet", F.col("cols") * F.col("rows"))
     return j.withColumn("sheets", F.when(F.col("per_sheet") > 0, F.ceil(F.col("needed") / F.col("per_sheet"))))

@@ -82,8 +82,16 @@ def v4_whole_similarity(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.col("distance").cast("long").alias("distance"), F.greatest(F.size("a"), F.size("b")).cast("long").alias("longest"), "similarity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOKENS}, w AS (SELECT x.doc_id, x.t AS a, y.t AS b FROM toks x JOIN toks y ON y.doc_id = x.doc_id + 1),
+ta AS (SELECT doc_id, unnest(a) AS t, generate_subscripts(a, 1) AS i FROM w), tb AS (SELECT doc_id, t, list(j ORDER BY j) AS js FROM (SELECT doc_id, unnest(b) AS t, generate_subscripts(b, 1) AS j FROM w) GROUP BY doc_id, t),
+m AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS step, js FROM ta JOIN tb USING (doc_id, t)),
+r AS (SELECT doc_id, 0::BIGINT AS step, [0::BIGINT] AS ends FROM w
+ UNION ALL SELECT r.doc_id, m.step, list_filter(list_transform(list_append(ends, NULL), lambda e, k: CASE WHEN k = 1 THEN 0 ELSE least(e, list_min(list_filter(js, lambda j: j > ends[k - 1]))) END), lambda e: e IS NOT NULL)
+ FROM r JOIN m ON m.doc_id = r.doc_id AND m.step = r.step + 1),
+l AS (SELECT doc_id, max(len(ends)) - 1 AS lcs FROM r GROUP BY doc_id)
+SELECT doc_id, lcs::BIGINT AS lcs, CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0::DOUBLE ELSE lcs::DOUBLE / greatest(len(a), len(b)) END AS order_score FROM l JOIN w USING (doc_id)""")
 def v5_order_score(spark: SparkSession, d: str) -> DataFrame:
+    """V5 of neighbours. The SQL keeps, for each length, the least place where a common subsequence of it ends."""
     return compare.order_score(neighbours(spark, d), "a", "b").select("doc_id", "lcs", "order_score")
 
 

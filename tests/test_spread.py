@@ -94,3 +94,21 @@ def test_record_files(spark, tmp_path):
     assert files.write_records(mk([("a", '{"x":9}')]), path, ["day"], "r4") == 1
     assert held(path)[1] == lines
     assert files.write_records(mk([]), path, ["day"], "r5") == 0 and files.write_records(mk([]), str(tmp_path / "none"), ["day"], "r") == 0
+
+
+def test_product_with_and_without_broadcast(spark):
+    left = spark.createDataFrame([(i % 7, None if i % 3 else "x") for i in range(50)], "k long, v string")
+    right = spark.createDataFrame([(i % 5, float(i)) for i in range(40)], "r long, w double")
+    want = sorted((a.k, a.v or "", b.r, b.w) for a in left.collect() for b in right.collect())
+    for most in (1000, 40, 39, 3, 1):
+        made = sizing.product(left, right, most)
+        assert made.columns == ["k", "v", "r", "w"]
+        assert sorted((r.k, r.v or "", r.r, r.w) for r in made.collect()) == want
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert ("NestedLoop" in plan) == (most >= 40) and "Cartesian" not in plan
+    for a, b in ((left.where("false"), right), (left, right.where("false"))):
+        assert sizing.product(a, b).isEmpty() and sizing.product(a, b, 0).isEmpty()
+    papers = spark.createDataFrame([(i, 100 + i, 200.0) for i in range(20)], "paper long, width long, height double")
+    sizes = spark.createDataFrame([(i, 10.0 + i, 9.0, 5) for i in range(20)], "item long, w double, h double, needed long")
+    one, two = (sorted(map(tuple, sizing.grid_capacity(papers, sizes, 1, 2, most).collect())) for most in (100, 4))
+    assert one == two and len(one) == 400
