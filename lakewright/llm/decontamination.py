@@ -5,9 +5,11 @@ every window, written as its words between single spaces; a document is normalis
 scanned once. The words that a hit covers are mapped back to offsets of the original text.
 
 The automaton is rebuilt in each Python worker from broadcast windows. Their size has a bound: items are
-dealt to blocks of about BLOCK_BYTES of text by a hash of their id, each block is one scan of the
-documents, and the findings are united by row: rows are numbered and written once, and runs of hit words
-are merged by their places. A usual benchmark is one block.
+dealt to blocks of about BLOCK_BYTES of text by a hash of their id. A usual benchmark is one block. A larger
+one is written once by block, and a Bloom filter of its windows' hashes (16 MiB at most) tells in one scan of
+all texts which may hold a window; each block's automaton then scans those alone, one block being in the
+driver and the workers at a time. Rows are numbered, findings united by row, and runs of hit words merged by
+their places. The filter only saves work: what it lets pass wrongly the automata find clean.
 """
 
 from __future__ import annotations
@@ -15,18 +17,25 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .collocations import Bitmap, bitmap
 from .common import WORD_BYTES, held, keep_rows, map_columns, words, written
 
 #: Benchmark text of one automaton; 256 KiB make about 45,000 windows and 100 MB.
 BLOCK_BYTES = 1 << 18
+#: Factor of the windows' hashes (any odd 64-bit number does).
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def windows(item: bytes | None, size: int) -> list[bytes]:
@@ -109,19 +118,75 @@ def offsets(found: list[dict]) -> list[dict]:
     return [{"start": x["start"], "end": x["end"]} for x in found]
 
 
-def blocks(bench: DataFrame, size: int) -> list[Block]:
-    """Broadcast windows, one list for each block of items."""
-    spark = bench.sparkSession
+def grams(w: list[bytes], most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, hashes of each k consecutive words) for k from 1 to `most`, as far as there are so many words."""
+    own = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    made = own
+    for k in range(1, min(most, len(w)) + 1):
+        if k > 1:
+            made = made[:-1] * FACTOR + own[k - 1 :]
+        yield k, (made ^ (made >> np.uint64(32))) * FACTOR
+
+
+@dataclass
+class Blocks:
+    """A benchmark of several blocks: its items, written once by block, and what their windows hash to."""
+
+    items: DataFrame
+    count: int
+    size: int
+    known: Broadcast
+    lengths: list[int]
+
+    def __iter__(self) -> Iterator[Block]:
+        """Each block in turn; its windows leave the driver and the workers when the next one is asked for."""
+        for b in range(self.count):
+            block = shared(self.items.where(F.col("block") == b), self.size)
+            yield block
+            block[1].destroy()
+
+    def near(self) -> Callable[[bytes], bool]:
+        """Tells whether a text may hold a window; never false if it does."""
+        known, lengths = self.known, frozenset(self.lengths)
+
+        def test(text: bytes) -> bool:
+            found = Bitmap(known.value)
+            return any(k in lengths and bool(found.has(h).any()) for k, h in grams(words(text), max(lengths, default=0)))
+
+        return test
+
+
+def shared(items: DataFrame, size: int) -> Block:
+    """The broadcast windows of some items (item_id, text)."""
+    own = defaultdict(set)
+    for row in items.toLocalIterator():
+        for x in windows((row.text or "").encode(), size):
+            own[x].add(row.item_id)
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast([(k, sorted(v)) for k, v in own.items()])
+
+
+def blocks(bench: DataFrame, size: int) -> Block | Blocks:
+    """One block where the benchmark is small enough, else several."""
     items = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n, out = -(-total // BLOCK_BYTES) or 1, []
-    for b in range(n):
-        own = defaultdict(set)
-        for row in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toLocalIterator():
-            for x in windows((row.text or "").encode(), size):
-                own[x].add(row.item_id)
-        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(k, sorted(v)) for k, v in own.items()])))
-    return out
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES) or 1
+    if n == 1:
+        return shared(items, size)
+    items = written(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n))).repartition("block"))
+
+    def hashes(texts: list) -> list:
+        k, h = [], []
+        for t in texts:
+            w = words(t or b"")
+            for n_words, found in grams(w, size):
+                if n_words == min(size, len(w)):
+                    k += [n_words] * len(found)
+                    h += found.view(np.int64).tolist()
+        return [k, h]
+
+    made = written(map_columns(items, ["text"], hashes, "k int, h long", pa.schema([("k", pa.int32()), ("h", pa.int64())])).distinct())
+    lengths = sorted(r.k for r in made.select("k").distinct().collect())
+    known = bench.sparkSession.sparkContext.broadcast(bitmap(made.select("h")))
+    return Blocks(items, n, size, known, lengths)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
@@ -133,11 +198,11 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFram
     however large the benchmark. An empty benchmark hits nothing. Further columns are ignored.
     """
     own = blocks(bench, size)
-    if len(own) > 1:
+    if isinstance(own, Blocks):
         return united(docs, own)
 
     def run(ids: list, texts: list) -> list:
-        found, out = automaton(own[0]), ([], [], [], [], [])
+        found, out = automaton(own), ([], [], [], [], [])
         for i, t in zip(ids, texts, strict=True):
             n, hit, items = scan(t or b"", found)
             row = (i, n, int(hit.sum()) if hit is not None else 0, sorted(items), offsets(runs(t, hit)) if items else [])
@@ -152,53 +217,64 @@ def clean(docs: DataFrame, bench: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs that hold no window of bench, with all their columns. What is hit is defined as in
     contamination(): null and empty texts stay, repeated rows and ids are judged each by its own text.
 
-    Each block is a pass over what the former ones left, which is written in between, so that a worker
-    holds one automaton at a time.
+    Of several blocks, each is a pass over what the former ones left of the rows that may hold a window at all.
     """
 
-    def without(block: Block) -> DataFrame:
-        return keep_rows(docs, "text", lambda texts: [scan(t or b"", automaton(block))[1] is None for t in texts])
+    def without(df: DataFrame, block: Block) -> DataFrame:
+        return keep_rows(df, "text", lambda texts: [scan(t or b"", automaton(block))[1] is None for t in texts])
 
     own = blocks(bench, size)
-    for block in own[:-1]:
-        docs = written(without(block))
-    return without(own[-1])
+    if not isinstance(own, Blocks):
+        return without(docs, own)
+    near = own.near()
+    far = keep_rows(docs, "text", lambda texts: [not near(t or b"") for t in texts])
+    left = keep_rows(docs, "text", lambda texts: [near(t or b"") for t in texts])
+    for block in own:
+        left = written(without(left, block))
+    return far.unionByName(left)
 
 
-def united(docs: DataFrame, own: list[Block]) -> DataFrame:
+def united(docs: DataFrame, own: Blocks) -> DataFrame:
     """The findings of several blocks, one row for each row of docs: words hit by more than one of them
-    count once. The first block's scan returns every row, the others those that they hit."""
-    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
-
-    def over(block: Block, every: bool) -> DataFrame:
-        def run(numbers: list, ids: list, texts: list) -> list:
-            found, out = automaton(block), ([], [], [], [], [])
-            for r, i, t in zip(numbers, ids, texts, strict=True):
-                n, hit, items = scan(t or b"", found)
-                if every or items:
-                    for column, v in zip(out, (r, i, n, sorted(items), runs(t, hit) if items else []), strict=True):
+    count once. Only texts that may hold a window are scanned by the blocks."""
+    near = own.near()
+
+    def first(numbers: list, ids: list, texts: list) -> list:
+        return [numbers, ids, [len(words(t or b"")) for t in texts], [t if t and near(t) else None for t in texts]]
+
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = written(map_columns(
+        rows, ["row", "doc_id", "text"], first, "row long, doc_id long, n_words long, text string",
+        pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())]),
+    ))
+
+    def over(block: Block) -> DataFrame:
+        def run(numbers: list, texts: list) -> list:
+            found, out = automaton(block), ([], [], [])
+            for r, t in zip(numbers, texts, strict=True):
+                _, hit, items = scan(t, found)
+                if items:
+                    for column, v in zip(out, (r, sorted(items), runs(t, hit)), strict=True):
                         column.append(v)
             return list(out)
 
         return map_columns(
-            rows, ["row", "doc_id", "text"], run, f"row long, doc_id long, n_words long, items array<string>, runs {RUNS}",
-            pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([(c, pa.int32()) for c in RUN])))]),
+            rows.where("text is not null"), ["row", "text"], run, f"row long, items array<string>, runs {RUNS}",
+            pa.schema([("row", pa.int64()), ("items", pa.list_(pa.string())), ("runs", pa.list_(pa.struct([(c, pa.int32()) for c in RUN])))]),
         )
 
-    found = over(own[0], True)
-    for block in own[1:]:
-        found = found.unionByName(over(block, False))
+    found = reduce(DataFrame.unionByName, [written(over(block)) for block in own])
     found = found.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.flatten(F.collect_list("runs")).alias("runs"),
     )
 
     def unite(ids: list, n: list, items: list, found_: list) -> list:
-        one = [merged(x) for x in found_]
-        return [ids, n, [sum(x["after"] - x["first"] for x in r) for r in one], items, [offsets(r) for r in one]]
+        one = [merged(x or []) for x in found_]
+        return [ids, n, [sum(x["after"] - x["first"] for x in r) for r in one], [x or [] for x in items], [offsets(r) for r in one]]
 
-    return map_columns(found, ["doc_id", "n_words", "items", "runs"], unite, FOUND, FOUND_ARROW)
+    every = rows.select("row", "doc_id", "n_words").join(found, "row", "left")
+    return map_columns(every, ["doc_id", "n_words", "items", "runs"], unite, FOUND, FOUND_ARROW)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -61,8 +61,29 @@ def test_large_benchmark_keeps_rows(spark, make, monkeypatch):
 
     whole = found()
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 200)
-    assert len(decontamination.blocks(bench, 10)) > 3 and len(whole) == 8
+    own = decontamination.blocks(bench, 10)
+    assert own.count > 3 and own.lengths == [10] and len(whole) == 8
+    assert [own.near()(t) for t in (b"other text", b"", f"A b {items['7']}".encode())] == [False, False, True]
     assert found() == whole
+    left = [r.text for r in decontamination.clean(docs, bench).collect()]
+    assert sorted(map(str, left)) == ["None", "clean", "other text"]
+
+
+def test_large_benchmark_by_brute_force(spark, make, monkeypatch):
+    """Blocks, short items and overlaps of items of several blocks against every place."""
+    rnd = random.Random(8)
+    words_ = [f"w{i}" for i in range(6)]
+    items = {f"i{k}": " ".join(rnd.choices(words_, k=rnd.choice((0, 1, 3, 4, 5, 8)))) or None for k in range(40)}
+    items["i1"] = items["i0"]
+    texts = [" ".join(rnd.choices([*words_, "x", "y", "z"], k=rnd.randint(0, 60))) for _ in range(80)] + [None, "", "x y"]
+    bench, docs = spark.createDataFrame(list(items.items()), "item_id string, text string"), make(texts)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
+    assert decontamination.blocks(bench, 4).count > 5
+    got = {r.doc_id: r for r in decontamination.contamination(docs, bench, 4).collect()}
+    want = {i: decontamination.brute(t, items, 4) for i, t in enumerate(texts)}
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
+    left = decontamination.clean(docs, bench, 4)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, w in want.items() if not w[1]}
 
 
 def test_licenses(make):
