@@ -5,8 +5,8 @@ adverts, comments, hidden parts) leaves empty lines, structure alone leaves none
 are summed over a sliding window. The text surges where a window's sum rises above a threshold and dives
 where the sum falls to nothing; what stands between is kept whole, short lines too, and so is what shares
 a container with the longest range. Where a page names its articles, the longest one stays and each other
-one in which the text surges (a teaser of a line doesn't); of these, and of a main part that is named, any
-text is a surge.
+one in which the text surges, stands in two lines or more that aren't links, or ends a sentence (a teaser of
+a title doesn't); of these, and of a main part that is named, any text is a surge.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ NEVER = frozenset(
 )
 BESIDE = frozenset("header footer masthead top bottom widget meta tools".split())
 OWN = frozenset("article content post entry story main body text".split())
+#: Words that may stand beside one of NEVER in a name; another one makes the name a subject's, as in comments-on-law.
+PARTS = frozenset(
+    "area author bar block box button buttons col container count facebook form group head heading icon icons inner item items leaderboard left link links list outer overlay page panel posts primary rail rectangle right row secondary section site slot sticky thread title twitter unit wrap wrapper".split()
+)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,6 +57,14 @@ class Line:
     node: int
 
 
+IN_NAMES = NEVER | BESIDE | OWN | PARTS
+
+
+def words_of(name: str) -> set[str]:
+    """The words of a class or id, without numbers."""
+    return set(re.findall("[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+
+
 def excluded(name: str, attrs: str, in_scope: bool) -> bool:
     """Whether an element can't hold article text."""
     if name in NO_TEXT or name == "header" and not in_scope:
@@ -66,8 +78,9 @@ def excluded(name: str, attrs: str, in_scope: bool) -> bool:
         return True
     if name in ("body", "html", "article", "main") and not re.search("comment", own.get("class", "") + own.get("id", ""), re.I):
         return False
-    said = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{own.get('class', '')} {own.get('id', '')}").lower()))
-    return bool(said & NEVER or said & BESIDE and not said & OWN)
+    names = [words_of(x) for x in f"{own.get('class', '')} {own.get('id', '')}".split()]
+    said = set().union(*names)
+    return any(x & NEVER and x <= IN_NAMES for x in names) or bool(said & BESIDE and not said & OWN)
 
 
 @dataclass
@@ -191,6 +204,12 @@ def surges(lengths: list[int], window: int, threshold: int) -> list[tuple[int, i
     return out
 
 
+def own_text(lines: list[Line], window: int, threshold: int) -> bool:
+    """Whether an article is one beside the page's longest."""
+    said = [x.text for x in lines if x.length and 2 * x.linked <= x.length]
+    return len(said) > 1 or any(t.endswith((".", "!", "?", "\u3002")) for t in said) or bool(surges([x.length for x in lines], window, threshold))
+
+
 def extract(html: str, window: int = 3, threshold: int = 80) -> str:
     """The main text of a page, one line for each block."""
     stripper = Stripper()
@@ -201,8 +220,11 @@ def extract(html: str, window: int = 3, threshold: int = 80) -> str:
             best[x.scope[0]] = best.get(x.scope[0], 0) + x.length
     if best and any(best.values()):
         most = max(best, key=lambda k: (best[k], -k))
-        lengths_of = {k: [x.length for x in lines if x.scope[0] == k] for k in best}
-        stay = {k for k in best if k == most or surges(lengths_of[k], window, threshold)}
+        of: dict[int, list[Line]] = {k: [] for k in best}
+        for x in lines:
+            if x.scope[0]:
+                of[x.scope[0]].append(x)
+        stay = {k for k in best if k == most or own_text(of[k], window, threshold)}
         kept = [x for x in lines if x.scope[0] in stay]
         found = surges([x.length for x in kept], max(window, len(kept)), 0)
     elif any(x.scope[1] and x.length for x in lines):

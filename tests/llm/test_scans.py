@@ -104,6 +104,45 @@ def test_licenses(make):
     assert gpl.labels == "gpl" and gpl.base_labels == "" and 0.9 < gpl.score < 1 and gpl.spans[0].first == 0
 
 
+def test_license_chains_by_brute_force():
+    """Matching statistics, chains and labels against every substring and every chain of matches."""
+    rnd = random.Random(12)
+    w = "abcdefgh"
+    templates = {k: " ".join(rnd.choices(w, k=n)) for k, n in (("x", 14), ("y", 9), ("z", 18))}
+    sc = licenses.Scanner({"a b": "p"}, templates)
+    known = [["a", "b"], *(t.split() for t in templates.values())]
+    pieces = {tuple(t[i:j]) for t in known for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    some = 0
+    for _ in range(200):
+        own = list(templates.values())
+        text = " ".join(x for _ in range(4) for x in rnd.choice([rnd.choice(own).split()[rnd.randint(0, 8) :][: rnd.randint(2, 9)], rnd.choices(w + "q", k=3)]))
+        ids = text.split()
+        longest = [max((n for n in range(1, i + 2) if tuple(ids[i + 1 - n : i + 1]) in pieces), default=0) for i in range(len(ids))]
+        if "q" not in ids:
+            assert [n for *_, n in sc.statistics([sc.vocab.get(x, -1) for x in ids], 0)] == longest
+        ends = [i for i, n in enumerate(longest) if n >= 3 and (i + 1 == len(ids) or longest[i + 1] <= n)]
+        want = {}
+        for t, words in enumerate(known[1:], 1):
+            matches = []
+            for i in ends:
+                n = longest[i]
+                places = [p for p in range(n - 1, len(words)) if words[p - n + 1 : p + 1] == ids[i - n + 1 : i + 1]]
+                if places:
+                    matches.append((i - n + 1, i, places[0] - n + 1, places[0]))
+
+            def best(k, matches=matches, size=len(words)):
+                a, b, ta, _ = matches[k]
+                return b - a + 1 + max([0, *(best(j) for j, (_, e, _, te) in enumerate(matches) if e < a and te < ta and a - e <= 2 * size)])
+
+            top = max([0, *map(best, range(len(matches)))])
+            if top and top >= 0.5 * len(words):
+                want[t] = top / len(words)
+        got = {t: share for t, (share, *_) in sc.scan(text.encode(), 3, 0.5)[2].items()}
+        assert got == want, text
+        some += len(want)
+    assert some > 50
+
+
 def test_transport_stream(make):
     texts = [*ODD, "a" * 576, "b" * 577, "x" * (576 * 60), "same", "same"]
     got = by_id(transport_stream.media(make(texts), keep_stream=True))
@@ -168,6 +207,17 @@ def test_several_articles():
     assert html_blocks.extract(page) == f"One\n{one}\nTwo\n{one}"
 
 
+def test_short_articles_and_names_of_subjects_stay():
+    story = "<p>" + "some long text " * 12 + "</p>"
+    one = ("some long text " * 12).strip()
+    page = f"<body><article>{story}</article><article><p>Rain fell on the town all night, and nobody slept well.</p></article><article><h3>Two</h3><p>lines</p></article><article><a href=x>Read</a><p><a href=y>more.</a></p></article></body>"
+    assert html_blocks.extract(page) == f"{one}\nRain fell on the town all night, and nobody slept well.\nTwo\nlines"
+    for kept in ("comments-on-law", "share-prices", "adLaws intro", "x2"):
+        assert html_blocks.extract(f"<article>{story}<div class='{kept}'><p>said</p></div></article>") == f"{one}\nsaid"
+    for gone in ("comments", "comment-list", "ad-slot-2", "post-comments wide", "shareButtons", "story ad", "newsletter-signup"):
+        assert html_blocks.extract(f"<article>{story}<div class='{gone}'><p>said</p></div></article>") == one
+
+
 def test_damaged_streams():
     s = bytearray(transport_stream.mux(b"q" * 5760))
     lost = bytes(s[: 188 * 6] + s[188 * 10 :])  # one unit's packets
