@@ -59,12 +59,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def scored_stems(train: DataFrame, prior: float, least_z: float, least_docs: int, most: int) -> dict[bytes, float]:
-    """Scores of the stems that stand out in toxic documents; texts that are equal count once."""
+    """Scores of the stems that stand out in toxic documents; texts that are equal count once, and a stem of
+    every document tells nothing."""
     train = train.dropDuplicates(["text"])
     n = dict(train.groupBy("label").count().collect())
     n1, n0 = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     counts = train.mapInPandas(_counts, "stem binary, toxic long, other long").groupBy("stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"toxic >= {least_docs}")
+        F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where(f"toxic >= {least_docs} and toxic + other < {n1 + n0}")
     share = (F.col("toxic") + F.col("other")) / max(1, n1 + n0)
     y1, y0 = F.col("toxic") + prior * share, F.col("other") + prior * share
     delta = F.log(y1 / (n1 + prior - y1)) - F.log(y0 / (n0 + prior - y0))

@@ -96,3 +96,48 @@ def test_lines_that_teach_are_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
     m = quality.fit(df, labels, F.lit(True), most_lines=12, steps=3)
     assert quality.score(df, m).count() == len(rows)
+
+
+def test_toxic_model_by_brute_force(spark):
+    """Stems, cost, lambda, K and the score of a document from their definitions."""
+    rnd = random.Random(6)
+    calm, bad = [f"calm{i}word" for i in range(40)] + ["a", "of", "the"], ["vileness", "vilest", "hatefully", "hater", "ugh"]
+    rows = []
+    for i in range(120):
+        toxic = i % 3 == 0
+        w = ["every"] + rnd.choices(calm, k=30) + (rnd.choices(bad, k=4) if toxic else rnd.choices(bad, k=1) if i % 10 == 1 else [])
+        rnd.shuffle(w)
+        rows.append((i, " ".join(w), int(toxic)))
+    rows.append((120, rows[0][1], 1))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    m = toxicity.fit(docs, labels, F.lit(True), prior=5.0, least_z=2.0, least_docs=3)
+    held = {text: ({x[:n] for x in text.split() for n in toxicity.STEMS if len(x) >= n} | {x for x in text.split() if len(x) < 4}, y) for _, text, y in rows}
+    n1 = sum(y for _, y in held.values())
+    n0, want = len(held) - n1, {}
+    for stem in {s for own, _ in held.values() for s in own}:
+        t, o = (sum(stem in own and y == k for own, y in held.values()) for k in (1, 0))
+        if t + o == len(held):
+            continue
+        share = (t + o) / len(held)
+        a, b = t + 5.0 * share, o + 5.0 * share
+        delta = np.log(a / (n1 + 5.0 - a)) - np.log(b / (n0 + 5.0 - b))
+        if t >= 3 and delta > 0 and delta / np.sqrt(1 / a + 1 / b) >= 2.0:
+            want[stem.encode()] = delta
+    assert want and m.stem.keys() == want.keys() and all(np.isclose(m.stem[s], v) for s, v in want.items())
+
+    def value(x):
+        return max([want[s] for s in want if x == s or len(s) >= 4 and x.startswith(s)], default=-m.cost)
+
+    clean = [[value(x.encode()) for x in text.split()] for _, text, y in rows if not y]
+    every = np.array([v for t in clean for v in t])
+    assert every.mean() < 0 and (every > 0).any() and np.isclose(np.exp(m.rate * every).mean(), 1, atol=1e-6)
+    tops = [max([sum(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)] + [0.0]) for t in clean]
+    assert np.isclose(m.k, (len(clean) + 1) / (sum(len(t) * np.exp(-m.rate * s) for t, s in zip(clean, tops, strict=True)) + 1))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, m).collect()}
+    for i, text, _ in rows:
+        found = brute_segments([value(x.encode()) for x in text.split()])
+        evidence = [(m.rate * s - np.log(m.k * len(text.split())), b - a + 1) for a, b, s in found]
+        strong = [(e, c) for e, c in evidence if e > 0]
+        x = [min(max(e for e, _ in evidence), 40.0) / 10, np.log1p(sum(e for e, _ in strong)), sum(c for _, c in strong) / len(text.split())] if found else [0.0] * 3
+        assert np.isclose(got[i], 1 / (1 + np.exp(-np.dot([*x, 1.0], m.weights))), atol=1e-6)
