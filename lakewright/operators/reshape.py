@@ -109,13 +109,15 @@ def merge_outlines(df: DataFrame, key: str, source: str, order: str, title: str,
     return top.unionByName(own)
 
 
-def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+def unique_names(df: DataFrame, name: str, order: list[str], stem: Column | None = None, ext: Column | None = None) -> DataFrame:
     """df with new_name and renamed: the second of a name becomes `name (1).ext` and so on, in order.
 
-    A made name that an existing one already has takes the next free number; rounds repeat until no name
+    `stem` and `ext` say what stands before and after the number, by default the name up to its last dot and
+    the rest. A made name that an existing one already has takes the next free number; rounds repeat until no name
     comes twice. Names are hash-partitioned, so the work follows the most frequent name.
     """
-    stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
+    stem = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1) if stem is None else stem
+    ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2) if ext is None else ext
     rn = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
     out = df.withColumn("_n", rn).withColumn("_fixed", F.col("_n") == 0)
 
