@@ -28,24 +28,25 @@ def html_tables(pages: DataFrame, id: str, html: str) -> DataFrame:
     return own.mapInPandas(run, f"{id} {kind}, table int, row int, col int, rowspan int, colspan int, text string, filled boolean")
 
 
-def element_tree(pages: DataFrame, id: str, html: str, tags: list[str] | None = None) -> DataFrame:
+def element_tree(pages: DataFrame, id: str, html: str, tags: list[str] | None = None, closed: bool = False) -> DataFrame:
     """(id, ord, parent, depth, tag, attributes, text) of the elements of some tags (None: all), nested ones
-    too, in page order: see `elements`. Null and empty pages have none."""
+    too, in page order: see `elements`. Null and empty pages have none. For `closed` see `html_text`."""
     own = pages.select(F.col(id).alias("_id"), F.col(html).alias("_html"))
-    rows = own.lateralJoin(element_rows(tags)(F.col("_html").outer()))
+    rows = own.lateralJoin(element_rows(tags, closed)(F.col("_html").outer()))
     return rows.select(F.col("_id").alias(id), "ord", "parent", "depth", "tag", "attributes", "text")
 
 
-def html_elements(pages: DataFrame, id: str, html: str, tag: str, attribute: str | None = None) -> DataFrame:
+def html_elements(pages: DataFrame, id: str, html: str, tag: str, attribute: str | None = None, closed: bool = False) -> DataFrame:
     """(id, ord, attribute, text) of the elements of a tag, in order; an attribute that isn't there is empty."""
     a = F.coalesce(F.try_element_at("attributes", F.lit(attribute.lower())), F.lit("")) if attribute else F.lit("")
-    return element_tree(pages, id, html, [tag]).select(id, "ord", a.alias("attribute"), "text")
+    return element_tree(pages, id, html, [tag], closed).select(id, "ord", a.alias("attribute"), "text")
 
 
-def html_text(pages: DataFrame, id: str, html: str) -> DataFrame:
+def html_text(pages: DataFrame, id: str, html: str, closed: bool = False) -> DataFrame:
     """(id, text) in reading order: scripts, styles and comments left out, tags as spaces, all references
-    decoded, white space collapsed. A null page stays null."""
-    return pages.select(id, page_text(F.col(html)).alias("text"))
+    decoded, white space collapsed. A null page stays null. With `closed`, a reference without its semicolon
+    (`&amp` where a text was cut) stays as it stands instead of being read as HTML does."""
+    return pages.select(id, page_text(F.col(html), closed).alias("text"))
 
 
 def lines(df: DataFrame, id: str, text: str, sep: str | None = None) -> DataFrame:

@@ -32,3 +32,21 @@ def test_names_that_end_twice(same):
     urls = ["http://a/5", "http://a/6.html", "http://b/6.html", "http://b/6.html?x=1", "http://c/5#y", "http://a/x.htmly", "http://b/x.htmly", "http://a/", "http://b/"]
     got = same("x10_names", {"pages": ([(k, u, "") for k, u in enumerate(urls)], PAGES)})
     assert {r[2] for r in got} >= {"6.html.html", "6 (1).html", "6 (2).html", "5.html", "5 (1).html"}
+
+
+CUT = [
+    (1, "http://A.com/1", "<h1>a&amp;&amp</h1><p>b&amp; &quot c &lt;&gt;</p>"), (2, "http://b.com/2", "<a href=\"u\">x &amp;am</a> &copy; &copy &amp;lt; &am &a;"),
+    (3, "http://c.com/3", "<h1>q&quot</h1><h1>&nbsp;r&amp</h1><a>&amp</a>&middot;&#39;&#39 &apos;&bogus;"), (4, "http://d.com/4", ""),
+]
+
+
+@pytest.mark.parametrize("name", ["x3_text", "x2_elements"])
+def test_references_that_were_cut(same, name):
+    assert "&amp" in repr(same(name, {"pages": (CUT, PAGES)}))
+
+
+def test_closed_references():
+    from lakewright.functions.markup import decoded
+
+    assert decoded("&eacute;&eacute &#233;&#233 &#xa0;&nbsp;&ampx;&amp;lt;", closed=True) == "é&eacute é&#233   &ampx;&lt;"
+    assert decoded("&amp&lt") == "&<"
