@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +52,84 @@ def with_context(toks: DataFrame, diff: DataFrame, id: str, n: int = 2) -> DataF
     return toks.withColumn("context", F.array_join(F.collect_list("token").over(w), " ")).join(diff, [id, "token"])
 
 
+#: What Java's \s is.
+_SPACES = re.compile(r"[ \t\n\x0B\f\r]+")
+#: Rows of a batch that Python hands back.
+BATCH = 10_000
+
+
+def _split(text: str | None) -> list[str]:
+    return [t for t in _SPACES.split(text or "") if t]
+
+
+def _counted(own: list[str | None], other: list[str | None], null: bool) -> Iterator[tuple[str, int, int]]:
+    """(token, missing, extra) of an id's texts on both sides; rows without an id are nobody's other side."""
+    x, y = (Counter(t for text in side for t in _split(text)) for side in (own, other))
+    if null:
+        yield from ((t, n, 0) for t, n in x.items())
+        yield from ((t, 0, n) for t, n in y.items())
+        return
+    for t, n in x.items():
+        m = y.get(t, 0)  # a Counter's [] is slow where there is none
+        if n != m:
+            yield (t, n - m, 0) if n > m else (t, 0, m - n)
+    yield from ((t, 0, n) for t, n in y.items() if t not in x)
+
+
+def _placed(own: list[str | None], other: list[str | None], null: bool, n: int) -> Iterator[tuple[str, int, str, int, int]]:
+    """(token, pos, context, missing, extra) of the places of an id's differing tokens."""
+    diff = {} if null else {t: (m, e) for t, m, e in _counted(own, other, null)}
+    for toks in map(_split, own) if diff else ():
+        line, begins = " ".join(toks), list(accumulate((len(t) + 1 for t in toks), initial=0))
+        ends = begins[n + 1 :] + begins[-1:] * n  # an end is the next begin less the space
+        for i, (t, begin, end) in enumerate(zip(toks, [0] * n + begins, ends)):  # noqa: B905  begins go on
+            if t in diff:
+                yield t, i, line[begin : end - 1], *diff[t]
+
+
+def texts_diff(a: DataFrame, b: DataFrame, id: str, text: str, context: int | None = None) -> DataFrame:
+    """`multiset_diff` of the tokens of a's and b's texts; with a context, `with_context` of a's places.
+
+    The texts go to their id's task once and are counted there one id after the other, so that neither tokens
+    nor contexts are shuffled or sorted.
+    """
+    head = a.select(id).schema.add("token", "string")
+    schema = (head if context is None else head.add("pos", "long").add("context", "string")).add("missing", "long").add("extra", "long")
+    types = [pa.string(), *([] if context is None else [pa.int64(), pa.string()]), pa.int64(), pa.int64()]
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Scalar, list[str | None], list[str | None]]]:
+        at, found = None, ([], [])
+        for batch in batches:
+            for k, t, side in zip(*batch.columns, strict=True):
+                if at is None or k.as_py() != at.as_py():
+                    if at is not None:
+                        yield at, *found
+                    at, found = k, ([], [])
+                found[side.as_py()].append(t.as_py())
+        if at is not None:
+            yield at, *found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, keys, rows = pa.null(), [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), *map(pa.array, zip(*rows, strict=True), types)], names=schema.names)
+
+        for at, own, other in ids(batches):
+            kind, k = at.type, at.as_py()
+            for row in _counted(own, other, k is None) if context is None else _placed(own, other, k is None, context):
+                keys.append(k)
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield made()
+                    keys, rows = [], []
+        if rows:
+            yield made()
+
+    both = [df.select(id, F.col(text).alias("_text"), F.lit(n).alias("_side")) for n, df in enumerate((a, b))]
+    return both[0].unionByName(both[1]).repartition(id).sortWithinPartitions(id).mapInArrow(run, schema)
+
+
 #: Up to so many tokens of a pair take the built-in edit distance.
 SHORT = 80
 

@@ -44,9 +44,8 @@ around AS (SELECT doc_id, pos, token, concat_ws(' ', lag(token, 2) OVER w, lag(t
 SELECT doc_id, token, pos, context, missing, extra FROM around JOIN diff USING (doc_id, token)""")
 def v3_context(spark: SparkSession, d: str) -> DataFrame:
     """The places of differing tokens, with two tokens on either side."""
-    t = compare.tokens(table(spark, d, "documents"), "doc_id", "text")
-    diff = compare.multiset_diff(t, t.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "token")
-    return compare.with_context(t, diff, "doc_id").withColumn("pos", F.col("pos").cast("long"))
+    docs = table(spark, d, "documents")
+    return compare.texts_diff(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "text", context=2)
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:

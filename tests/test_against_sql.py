@@ -54,3 +54,23 @@ def test_closed_references():
 
 def test_titles_that_were_cut(same):
     assert "&amp" in repr(same("x9_outline", {"pages": (CUT, PAGES)}))
+
+
+DOCS = [(1, "a b a\tc  d"), (2, "a b\nb"), (3, None), (4, ""), (5, "x y z x y z x"), (6, "z y x"), (8, "q"), (10, " é\r\n日本 é "), (11, "é 日本\fé k"), (13, "a"), (None, "a a n"), (None, "n")]
+
+
+@pytest.mark.parametrize("name", ["v3_context", "v3_multiset_diff"])
+def test_differences_of_texts(same, name):
+    assert len(same(name, {"documents": (DOCS, "doc_id long, text string")})) > 12
+
+
+def test_differences_of_repeated_ids(same):
+    rows = [*DOCS, (1, "a c"), (2, "b b d"), (2, "b b d"), (5, None)]
+    same("v3_multiset_diff", {"documents": (rows, "doc_id long, text string")})
+
+
+def test_differences_shuffle_no_tokens(spark, data):
+    """Tokens and contexts stay in the task that counts them: texts alone go through an exchange."""
+    for name in ("v3_context", "v3_multiset_diff"):
+        plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Generate" not in plan
