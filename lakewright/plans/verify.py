@@ -34,8 +34,8 @@ def v2_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TOKENS}, a AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL), b AS (SELECT doc_id - 1 AS doc_id, token, count(*) AS n FROM tokens GROUP BY ALL)
 SELECT doc_id, token, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS missing, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS extra FROM a FULL JOIN b USING (doc_id, token) WHERE a.n IS DISTINCT FROM b.n""")
 def v3_multiset_diff(spark: SparkSession, d: str) -> DataFrame:
-    t = compare.tokens(table(spark, d, "documents"), "doc_id", "text")
-    return compare.multiset_diff(t, t.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "token")
+    docs = table(spark, d, "documents")
+    return compare.texts_diff(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), "doc_id", "text")
 
 
 @query(f"""WITH {TOKENS}, a AS (SELECT doc_id, token, count(*) AS n FROM tokens GROUP BY ALL), b AS (SELECT doc_id - 1 AS doc_id, token, count(*) AS n FROM tokens GROUP BY ALL),
