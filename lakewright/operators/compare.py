@@ -219,18 +219,20 @@ def all_at_least(df: DataFrame, keys: list[str], member: str, value: str, limit:
 
 def classify_checks(checks: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
     """checks (keys, check, ok) with outcome: pass, expected (a predicted loss: keys, check) or fail."""
-    e = expected.select(*keys, "check").distinct().withColumn("_e", F.lit(True))
-    out = F.when(F.col("ok"), "pass").when(F.col("_e"), "expected").otherwise("fail")
-    return checks.join(e, [*keys, "check"], "left").withColumn("outcome", out).drop("_e")
+    e = expected.groupBy(*keys).agg(F.collect_set("check").alias("_e"))  # by the keys alone: checks stay where they are
+    out = F.when(F.col("ok"), "pass").when(F.array_contains("_e", F.col("check")), "expected").otherwise("fail")
+    return checks.join(e, keys, "left").withColumn("outcome", out).drop("_e")
 
 
 def label_jobs(checks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, label: Needs review if a check fails, Perfect if all pass, else Converted with expected changes."""
-    return checks.groupBy(*keys).agg(
-        F.when(F.bool_or(F.col("outcome") == "fail"), "Needs review")
-        .when(F.bool_and(F.col("outcome") == "pass"), "Perfect")
-        .otherwise("Converted with expected changes").alias("label")
-    )
+    return checks.groupBy(*keys).agg(job_label())
+
+
+def job_label() -> Column:
+    """The label of a group of checks, as an aggregate: see `label_jobs`."""
+    label = F.when(F.bool_or(F.col("outcome") == "fail"), "Needs review").when(F.bool_and(F.col("outcome") == "pass"), "Perfect")
+    return label.otherwise("Converted with expected changes").alias("label")
 
 
 def match_by_hash(a: DataFrame, b: DataFrame, keys: list[str], content: str) -> DataFrame:

@@ -103,6 +103,14 @@ def export_reports(checks: DataFrame, labels: DataFrame, job: str = "job") -> Da
     return nested(labels, checks, [job], ["check"], "checks").select(job, F.to_json(F.struct(job, "label", "checks")).alias("record"))
 
 
+def labelled_reports(checks: DataFrame, job: str, label: Column) -> DataFrame:
+    """job, label and record of `export_reports`, where the label is an aggregate of the job's checks: checks
+    are read and grouped once, and nothing is joined."""
+    rest = [c for c in checks.columns if c not in (job, "check")]
+    one = checks.groupBy(job).agg(label.alias("label"), F.array_sort(F.collect_list(F.struct("check", *rest))).alias("checks"))
+    return one.select(job, "label", F.to_json(F.struct(job, "label", "checks")).alias("record"))
+
+
 def results_rollup(results: DataFrame, dims: tuple[str, str], status: str, statuses: tuple[str, ...]) -> DataFrame:
     """Counts by status of every pair of dimensions, with subtotals and the total (level: 0 pair, 1 first
     dimension, 3 all)."""

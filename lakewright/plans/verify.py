@@ -147,9 +147,17 @@ def v10_all_at_least(spark: SparkSession, d: str) -> DataFrame:
     return compare.all_at_least(line, ["l_orderkey"], "line", "c", 2)
 
 
+#: Orders of a task.
+SHARE = 50_000
+
+
 def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are dealt out once, SHARE to a task: keys in a row compress so well that Spark, which goes by
+    compressed sizes, would give a task as many as there are."""
     o = table(spark, d, "orders")
-    b = altered(o).select("o_orderkey", F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"))
+    n = max(1, -(-o.count() // SHARE))
+    o = o.select("o_orderkey", "o_custkey", "o_orderstatus").repartition(n, "o_orderkey")
+    b = altered(o).select("o_orderkey", F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s")).repartition(n, "o_orderkey")
     j = o.join(b, "o_orderkey")
     ok = F.explode(F.create_map(F.lit("customer"), F.col("o_custkey") == F.col("c"), F.lit("status"), F.col("o_orderstatus") == F.col("s"))).alias("check", "ok")
     checks = j.select("o_orderkey", ok)
@@ -186,16 +194,13 @@ FROM oc JOIN lb USING (o_orderkey) GROUP BY o_orderkey, label""")
 
 @query(REPORTS)
 def v14_report(spark: SparkSession, d: str) -> DataFrame:
-    checks = outcomes(spark, d)
-    return reports.export_reports(checks, compare.label_jobs(checks, ["o_orderkey"]), "o_orderkey")
+    return reports.labelled_reports(outcomes(spark, d), "o_orderkey", compare.job_label()).drop("label")
 
 
 @query(f"SELECT r.o_orderkey, s.label, r.record FROM ({REPORTS}) r JOIN ({OUTCOMES} SELECT o_orderkey, label FROM lb) s USING (o_orderkey)")
 def v14_report_files(spark: SparkSession, d: str) -> DataFrame:
     """The reports written as JSON lines under their label, and read again."""
-    checks = outcomes(spark, d)
-    labels = compare.label_jobs(checks, ["o_orderkey"])
-    own = reports.export_reports(checks, labels, "o_orderkey").join(labels.select("o_orderkey", "label"), "o_orderkey")
+    own = reports.labelled_reports(outcomes(spark, d), "o_orderkey", compare.job_label())
     path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
     write_records(own, path, ["label"], "report")
     record = F.col("value")
