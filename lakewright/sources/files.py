@@ -25,6 +25,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, streaming: bool = Fa
     return reader.schema(schema).json(path)
 
 
+#: Bytes of a file that `write_records` aims at.
+FILE_BYTES = 64 << 20
 #: Folder of a sink's log; readers of the sink pass over names that begin so.
 LOG = "_log"
 
@@ -48,13 +50,15 @@ def write_records(df: DataFrame, path: str, partitions: list[str], run: str, rec
     and xor of their hashes), before and after it is written: one whose last entry is done with the same
     digest is left as it is, so a repeated run leaves the same files, and a run that died is done again.
     Null records are left out, null partition values have a folder of their own. One run writes at a time.
-    A large partition is cut into several files and small ones are gathered, by Spark's rebalancing.
+    A large partition is cut into files of about FILE_BYTES by a hash of its records, and small ones are gathered
+    in one task, so that a task holds a few files' records whatever the size of the whole (Spark's rebalancing
+    goes by compressed sizes, of which a task may hold twenty times as much).
     """
     spark = df.sparkSession
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*partitions).schema)
     own = cut(df.select(*partitions, record).where(F.col(record).isNotNull()))
     h = F.xxhash64(record)
-    digests = own.groupBy(*partitions).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor(h).alias("xor"))
+    digests = own.groupBy(*partitions).agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor(h).alias("xor"), F.sum(F.octet_length(record) + 1).alias("_bytes"))
     log = _logged(spark, path, columns)
     last = log.groupBy(*partitions).agg(F.max_by(F.struct("n", "sum", "xor", "done"), F.struct("number", "done")).alias("_last"))
     last = last.select(*(F.col(p).alias(f"_of_{i}") for i, p in enumerate(partitions)), "_last")
@@ -62,18 +66,19 @@ def write_records(df: DataFrame, path: str, partitions: list[str], run: str, rec
     for i, p in enumerate(partitions):
         same &= F.col(p).eqNullSafe(F.col(f"_of_{i}"))
     new = cut(digests.join(last, same, "left_anti"))
-    count = new.count()
+    count, size = new.agg(F.count(F.lit(1)), F.sum("_bytes")).first()
     if not count:
         return 0
     number = (log.agg(F.max("number")).first()[0] or 0) + 1
 
     def note(done: bool) -> None:
-        entries = new.withColumns({"run": F.lit(run), "number": F.lit(number), "done": F.lit(done)})
+        entries = new.drop("_bytes").withColumns({"run": F.lit(run), "number": F.lit(number), "done": F.lit(done)})
         entries.write.mode("append").option("ignoreNullFields", False).json(f"{path}/{LOG}")
 
-    keys = new.select(*(F.col(p).alias(f"_of_{i}") for i, p in enumerate(partitions)))
+    keys = new.select(*(F.col(p).alias(f"_of_{i}") for i, p in enumerate(partitions)), F.ceil(F.col("_bytes") / FILE_BYTES).alias("_files"))
     held = [F.col(p).eqNullSafe(F.col(f"_of_{i}")) for i, p in enumerate(partitions)]
-    rows = own.join(keys, held, "left_semi").hint("rebalance", *partitions)
+    tasks, file = -(-size // FILE_BYTES), F.pmod(h, F.col("_files"))
+    rows = own.join(keys, held).withColumn("_file", file).repartition(tasks, *partitions, "_file").select(*partitions, record)
     note(False)
     rows.write.partitionBy(*partitions).option("partitionOverwriteMode", "dynamic").mode("overwrite").text(path)
     note(True)

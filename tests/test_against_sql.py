@@ -74,3 +74,20 @@ def test_differences_shuffle_no_tokens(spark, data):
     for name in ("v3_context", "v3_multiset_diff"):
         plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["v14_report", "v14_report_files"])
+def test_reports_of_a_share_for_a_task(spark, same, monkeypatch, name):
+    """Orders are dealt out by their number, and reports are grouped and labelled where their checks are made."""
+    import lakewright.sources.files as files
+
+    monkeypatch.setattr(verify, "SHARE", 7)
+    monkeypatch.setattr(files, "FILE_BYTES", 2_000)
+    orders = [(k, k % 5, "OFP"[k % 3]) for k in range(1, 100)]
+    assert len(same(name, {"orders": (orders, "o_orderkey long, o_custkey long, o_orderstatus string")})) > 80
+
+
+def test_a_task_holds_a_share_of_the_reports(spark, data, monkeypatch):
+    monkeypatch.setattr(verify, "SHARE", 100)
+    n = -(-spark.read.parquet(f"{data}/orders.parquet").count() // 100)
+    assert n > 1 and registry.QUERIES["v14_report"](spark, data).rdd.getNumPartitions() == n
