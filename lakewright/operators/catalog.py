@@ -45,7 +45,7 @@ def parse_catalogs(documents: DataFrame, catalog: str, formats: str, routes: str
 
 def catalog_tables(f: DataFrame, r: DataFrame) -> dict[str, DataFrame]:
     """Parsed documents (with `catalog`) as normalised tables: features, formats, caps, source_caps, engines,
-    raw_edges, edges, edge_losses, overrides."""
+    raw_edges, edges, expanded (edges, each with its list of losses), edge_losses, overrides."""
     formats = f.select("catalog", F.posexplode("formats").alias("ord", "format", "v"))
     raw = r.select("catalog", F.posexplode("edges").alias("raw_ord", "v")).select("catalog", "raw_ord", "v.*")
     expanded = expand_edges(raw)
@@ -60,6 +60,7 @@ def catalog_tables(f: DataFrame, r: DataFrame) -> dict[str, DataFrame]:
         "engines": r.select("catalog", F.explode("engines").alias("engine", "v")).select("catalog", "engine", "v.label", "v.detail"),
         "raw_edges": raw,
         "edges": expanded.drop("losses"),
+        "expanded": expanded,
         "edge_losses": expanded.select("catalog", "edge_ord", F.posexplode("losses").alias("pos", "l")).select("catalog", "edge_ord", "pos", "l.text", "l.if_source_has"),
         "overrides": r.select("catalog", F.explode("overrides").alias("v")).select("catalog", "v.source", "v.target", F.explode(F.coalesce("v.modes", F.array(*map(F.lit, MODES)))).alias("mode"), "v.chain", "v.reason"),
     }
@@ -67,15 +68,13 @@ def catalog_tables(f: DataFrame, r: DataFrame) -> dict[str, DataFrame]:
 
 def _losses(raw: Column, dst: Column) -> Column:
     """Losses of an expanded edge: a list, or by target with '*' first; an item is a text or an object."""
-    one = "array<variant>"
-    v = F.try_parse_json(raw)
-    listed = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", one))
-    keyed = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.from_json(raw, "map<string, string>"))
+    listed = F.when(raw.startswith("["), F.from_json(raw, "array<string>"))
+    keyed = F.when(raw.startswith("{"), F.from_json(raw, "map<string, string>"))
     items = F.concat(
         F.coalesce(F.from_json(keyed["*"], "array<string>"), F.array().cast("array<string>")),
         F.coalesce(F.from_json(keyed[dst], "array<string>"), F.array().cast("array<string>")),
     )
-    texts = F.coalesce(F.when(listed.isNotNull(), F.from_json(raw, "array<string>")), items)
+    texts = F.coalesce(listed, items)
     return F.transform(
         texts,
         lambda x: F.struct(

@@ -85,9 +85,9 @@ def g1_load_catalog(spark: SparkSession, d: str) -> DataFrame:
         F.to_json(F.struct(F.transform("edges", document).alias("edges"))).alias("r"),
     )
     t = catalog.parse_catalogs(texts, "l_orderkey", "f", "r")
-    said = F.concat_ws("?", "text", "if_source_has")
-    losses_ = t["edge_losses"].groupBy("catalog", "edge_ord").agg(F.array_sort(F.collect_set(F.struct("pos", said.alias("text")))).alias("l")).select("catalog", "edge_ord", F.array_join("l.text", ";").alias("losses"))
-    e = t["edges"].join(t["formats"].select("catalog", F.col("format").alias("dst"), "label"), ["catalog", "dst"]).join(losses_, ["catalog", "edge_ord"], "left")
+    said = F.transform("losses", lambda x: F.concat_ws("?", x["text"], x["if_source_has"]))
+    e = t["expanded"].withColumn("losses", F.when(F.size("losses") > 0, F.array_join(said, ";")))  # each edge has its losses, so they need no join
+    e = e.join(t["formats"].select("catalog", F.col("format").alias("dst"), "label"), ["catalog", "dst"])
     return e.select("catalog", "edge_ord", "src", "dst", "mode", F.col("cost").cast("double").alias("cost"), "final_only", "label", "losses")
 
 

@@ -91,3 +91,10 @@ def test_a_task_holds_a_share_of_the_reports(spark, data, monkeypatch):
     monkeypatch.setattr(verify, "SHARE", 100)
     n = -(-spark.read.parquet(f"{data}/orders.parquet").count() // 100)
     assert n > 1 and registry.QUERIES["v14_report"](spark, data).rdd.getNumPartitions() == n
+
+
+def test_catalogues_are_read_once_for_edges_and_losses(spark, data):
+    from lakewright.plans import graph  # noqa: F401
+
+    plan = registry.QUERIES["g1_load_catalog"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # formats and routes
