@@ -98,3 +98,13 @@ def test_catalogues_are_read_once_for_edges_and_losses(spark, data):
 
     plan = registry.QUERIES["g1_load_catalog"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 2  # formats and routes
+
+
+def test_token_arrays_one_pair_at_a_time():
+    import pyarrow as pa
+
+    from lakewright.functions import text
+
+    a, b = pa.array([["z"], ["a", "b"], None, [], ["x", None]]).slice(1), pa.array([["z"], ["b", "c"], ["x"], [], [None]]).slice(1)
+    assert text._each(text._lcs, a, b).to_pylist() == [1, None, 0, 1]
+    assert text._each(text._edits, a, b).to_pylist() == [2, None, 0, 1]
