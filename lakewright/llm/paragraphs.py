@@ -30,6 +30,13 @@ of less similar classes shrink with every hash, faster than the bands grow in nu
 similarity s to what they were all made from go on until n * s**rows is MANY, by (n / MANY)**e bands each,
 e = log(0.8) / log(s). Rows of a frequent
 band are thinned to one where they are made, so no task gets a whole bucket.
+
+Bands and leaders miss some links. So each line's smallest shingles by hash, a fifth and one, are its prefix: two
+lines of similarity 0.8 share a shingle of their prefixes, whatever the order (prefix filtering, exact). Prefixes
+of FEW classes or fewer are checked pair by pair along with the bands. Classes of more frequent ones that the
+links so far leave in several components get prefixes by a second order, frequent shingles last, and pairs of
+different components that share one there are checked if sizes and positions allow 0.8; a frequent shingle's
+classes are compared by blocks of BLOCK. So components are those of all links.
 """
 
 from __future__ import annotations
@@ -58,6 +65,10 @@ AGAIN_ROWS, STEP = 10, 5
 SKETCH, AGREE = 256, 211
 #: Words on either side of a cut; classes of a bucket that are checked pair by pair; see `cuts`.
 REACH, FEW = 8, 16
+#: Classes of a frequent shingle that are compared with all others of it at a time.
+BLOCK = 1024
+#: Frequent shingles that are sent to all tasks with their counts.
+MOST = 1 << 20
 RUN = 16
 #: Words that are hashed at once; a single longer text comes alone.
 CHUNK = 200_000
@@ -173,6 +184,29 @@ class Units:
                 out = mixed(out + np.minimum.reduceat(v, bounds)[::2])
             yield out.view(np.int64)
 
+    def prefixes(self, least: float) -> tuple[np.ndarray, pa.Array]:
+        """Of each line, the number of its distinct shingles and the smallest ones, as many as two lines of
+        similarity `least` share one of."""
+        lines = int(self.line.sum())
+        count = np.maximum(self.size[:lines] - SHINGLE + 1, 0)
+        owner = np.repeat(np.arange(lines), count)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        own = shingles(self.h)[np.repeat(self.start[:lines], count) + within]
+        order = np.lexsort((own, owner))
+        owner, own = owner[order], own[order]
+        once = _starts(owner, own) if len(own) else np.zeros(0, np.int64)
+        owner, own = owner[once], own[once]
+        n = np.bincount(owner, minlength=lines)
+        place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+        long = np.minimum(n, prefix_length(n, least))
+        ends = np.concatenate([[0], np.cumsum(long)])
+        return n, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[place < long[owner]].view(np.int64)))
+
+
+def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
+    """How many first shingles of a set of n, in any order, hold one of each set of similarity `least` to it."""
+    return n - np.ceil(least * n - 1e-6).astype(np.int64) + 1
+
 
 def chunks(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[tuple[pa.RecordBatch, Units]]:
     """Rows (columns ending with the text) and their paragraphs, some CHUNK words at a time."""
@@ -189,18 +223,22 @@ def chunks(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[tupl
     release()
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.bool_()), ("first", pa.int32()), ("size", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64())])
-FOUND_SQL = "doc_id long, text_key long, line boolean, first int, size int, n1 long, n2 long"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.bool_()), ("first", pa.int32()), ("size", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("shingles", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+FOUND_SQL = "doc_id long, text_key long, line boolean, first int, size int, n1 long, n2 long, shingles int, prefix array<long>"
 
 
-def paragraphs(docs: DataFrame, least_words: int) -> DataFrame:
-    """The paragraphs of each row of docs (doc_id, text_key, text), by name (n1, n2)."""
+def paragraphs(docs: DataFrame, least_words: int, least: float = 0.8) -> DataFrame:
+    """The paragraphs of each row of docs (doc_id, text_key, text), by name (n1, n2); of lines also the number
+    of their shingles and their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, u in chunks(batches, least_words):
             row = pa.array(u.text)
+            n, prefix = u.prefixes(least)
+            rest = len(u.text) - len(n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(row), batch.column(1).take(row), pa.array(u.line), pa.array(u.first.astype(np.int32)), pa.array(u.size.astype(np.int32)), *map(pa.array, u.names()),
+                pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(rest, pa.int32())]), pa.concat_arrays([prefix, pa.nulls(rest, prefix.type)]),
             ], schema=FOUND)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, FOUND_SQL)
@@ -468,22 +506,76 @@ def led(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         rows += STEP
 
 
+def sharing(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of rows (token, name, component, shingles, place, blocks) that share a token and, by their
+    sizes and places, may be similar; those of one component aren't made. A token's rows meet in so many blocks."""
+    own = rows.withColumn("block", F.expr("cast(pmod(xxhash64(name), blocks) as int)"))
+    other = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("name").alias("b"), F.col("component").alias("c"), F.col("shingles").alias("n"), F.col("place").alias("at"))
+    both = least / (1 + least) * (F.col("shingles") + F.col("n")) - 1e-6
+    return own.join(other, ["token", "block"]).where(
+        (F.col("name") < F.col("b")) & (F.col("component") != F.col("c")) & (F.least(F.col("shingles") - F.col("place"), F.col("n") - F.col("at")) >= both)
+        & (F.least("shingles", "n") >= least * F.greatest("shingles", "n") - 1e-6)
+    ).select(F.col("name").alias("a"), "b").distinct()
+
+
+def by_rarity(sets: DataFrame, counted: DataFrame, least: float) -> DataFrame:
+    """(token, name, component, shingles, place): the prefixes of sets (name, component, own) by a second order:
+    first what isn't among the MOST frequent shingles of counted (token, many), then those, rarest first."""
+    known = counted.orderBy(F.desc("many"), "token").limit(MOST).toArrow()
+    token, many = (known.column(c).to_numpy() for c in ("token", "many"))
+    order = np.argsort(token)
+    sent = sets.sparkSession.sparkContext.broadcast((token[order], many[order]))
+
+    def prefix(own: np.ndarray) -> list:
+        token, many = sent.value
+        at = np.minimum(np.searchsorted(token, own), len(token) - 1)
+        rank = np.lexsort((own, np.where(token[at] == own, many[at], 0)))
+        return own[rank[: int(prefix_length(np.array(len(own)), least))]].tolist()
+
+    def run(names: list, components_: list, own: list) -> list:
+        sets_ = [np.frombuffer(x, np.int64) for x in own]
+        return [names, components_, [len(x) for x in sets_], list(map(prefix, sets_))]
+
+    schema = pa.schema([("name", pa.int64()), ("component", pa.int64()), ("shingles", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+    each = map_columns(sets, ["name", "component", "own"], run, "name long, component long, shingles int, tokens array<long>", schema)
+    return each.select("name", "component", "shingles", F.posexplode("tokens").alias("place", "token"))
+
+
+def missed(frequent: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between classes with a shingle in common in frequent (token, name, many) that `links` leaves apart."""
+    groups = components(links).withColumnRenamed("node", "name")
+    members = frequent.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    apart = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    open_ = members.join(apart, "token", "left_semi").select("name", "component").distinct()
+    rows = written(by_rarity(sets.join(open_, "name"), frequent.select("token", "many").distinct(), least))
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = rows.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "token")
+    return verified(written(sharing(rows, least)), sets, least)
+
+
 def repeats(docs: DataFrame, least_words: int = 20, least_similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(all paragraphs, repeated ones) of docs (doc_id, text_key, text).
 
     All: doc_id, text_key, line, first, size, n1, n2. Repeated: the same and stays (struct: doc_id,
     text_key, first; the paragraph that stays of its component) and removed (it isn't that one).
     """
-    found = written(paragraphs(docs, least_words))
+    found = written(paragraphs(docs, least_words, least_similarity))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bands = banded(docs, least_words)
     rows = written(
         bands.repartition(n, F.when(F.col("stays"), F.xxhash64("band", "name")).otherwise(F.col("band")))
         .sortWithinPartitions("stays", "band", "name").mapInArrow(candidates, "bucket long, a long, b long").distinct()
     )
-    pairs = rows.where("bucket is null").select("a", "b")
+    lines = found.where("line").groupBy(F.col("n1").alias("name")).agg(F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix"))
+    found = found.drop("shingles", "prefix")
+    tokens = written(lines.select("name", "shingles", F.posexplode("prefix").alias("place", "token")))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = written(tokens.join(shared, "token").withColumn("component", F.col("name")).withColumn("blocks", F.lit(1)))
+    frequent = shared.where(F.col("many") > FEW).select("token", "name", "many")
+    pairs = rows.where("bucket is null").select("a", "b").unionByName(sharing(shared.where(F.col("many") <= FEW), least_similarity))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     members = rows.where("bucket is not null").select("bucket", F.col("a").alias("name"))
-    names = rows.select(F.explode(F.array("a", "b")).alias("n1")).where("n1 is not null").distinct()
+    names = pairs.select(F.explode(F.array("a", "b")).alias("n1")).unionByName(members.select(F.col("name").alias("n1"))).unionByName(frequent.select(F.col("name").alias("n1"))).distinct()
     at = F.struct("doc_id", "text_key", "first")
     classes = found.groupBy("n1", "n2").agg(
         F.count(F.lit(1)).alias("n"), F.min(at).alias("stays"), F.min(F.struct("doc_id", "text_key", "first", "size")).alias("place"),
@@ -496,6 +588,9 @@ def repeats(docs: DataFrame, least_words: int = 20, least_similarity: float = 0.
     if not members.isEmpty():
         members = members.join(sets.select("name"), "name", "left_semi")
         links = links.unionByName(led(members, sets, least_similarity))
+    if not frequent.isEmpty():
+        links = written(links)
+        links = links.unionByName(missed(frequent, links, sets, least_similarity))
     groups = components(links).withColumnRenamed("node", "n1")
     known = known.join(groups, "n1", "left").where("n > 1 or component is not null")
     whole = F.struct(F.coalesce("component", "n1").alias("n1"), F.when(F.col("component").isNull(), F.col("n2")).alias("n2"))

@@ -360,3 +360,36 @@ def test_sketches_of_a_bucket():
     for size in (1, 5, 200):
         made = [r for b in paragraphs.near(iter([whole.slice(at, size) for at in range(0, len(k), size)])) for r in b.to_pylist()]
         assert {(r["a"], r["b"]) for r in made} == want and len(made) == len(want)
+
+
+def test_no_link_is_lost(make, monkeypatch):
+    """Many pairs of lines that just reach 0.8, of which bands miss some, half of them with a frequent phrase."""
+    rnd = random.Random(31)
+    phrase, docs = [f"p{k}" for k in range(12)], []
+    for i in range(1500):  # 90 shingles, of which the other line has 80
+        w = [f"c{i}x{k}" for k in range(82)] + (phrase if i % 2 else [f"d{i}x{k}" for k in range(12)])
+        docs.append((2 * i, " ".join(w)))
+        w[rnd.randrange(10, 20)] = w[rnd.randrange(60, 70)] = "new"
+        docs.append((2 * i + 1, " ".join(w)))
+    want = {i: (1, i % 2) for i, _ in docs}
+    for few in (16, 1):  # of one, all shared shingles are frequent
+        monkeypatch.setattr(paragraphs, "FEW", few)
+        monkeypatch.setattr(paragraphs, "BLOCK", 100, raising=False)
+        got = {r.doc_id: (r.n_linked, r.n_removed) for r in paragraphs.paragraph_duplicates(make(docs)).collect()}
+        assert {i: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
+
+
+def test_prefixes_meet():
+    """Any two lines of similarity 0.8 share a shingle of their prefixes."""
+    rnd = random.Random(32)
+    lines = []
+    for _ in range(150):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(20, 90))]
+        lines += [w, [*w[: len(w) - rnd.randint(0, 8)]], [*w[:-1], "new"], ["a"] * rnd.randint(20, 30)]
+    u = paragraphs.Units([" ".join(w).encode() for w in lines], 20)
+    n, prefix = u.prefixes(0.8)
+    prefix = [set(x) for x in prefix.to_pylist()]
+    own = [frozenset(tuple(" ".join(w).split()[k : k + 5]) for k in range(len(w) - 4)) for w in lines if len(w) >= 20]
+    assert n.tolist() == [len(x) for x in own] and all(len(p) <= len(x) // 5 + 1 for p, x in zip(prefix, own, strict=True))
+    near = [(x, y) for y in range(len(own)) for x in range(y) if 5 * len(own[x] & own[y]) >= 4 * len(own[x] | own[y])]
+    assert len(near) > 150 and all(prefix[x] & prefix[y] for x, y in near)
