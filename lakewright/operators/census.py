@@ -26,6 +26,8 @@ FEATURES = {
 }
 #: The last code point.
 LAST = 0x10FFFF
+#: Characters, and about so many bytes of text, that are counted at a time.
+SLICE = 1 << 18
 #: Magic bytes in hex -> type.
 SIGNATURES = {
     "25504446": "pdf", "504B0304": "zip", "89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "47494638": "gif",
@@ -64,7 +66,7 @@ def script_census(df: DataFrame, id: str, text: str, scripts: dict[str, str] = S
     """(id, script, n) with n > 0: characters of each class, a pattern for one character.
 
     Each text is read once: its code points are looked up in one table (some hundred ranges, sent with the
-    function), and classes are counted for all texts of a slice together. Null texts have no characters.
+    function), and classes are counted for some SLICE characters at a time. Null texts have no characters.
     """
     begins, kind, members = code_classes(tuple(scripts.values()))
     names, schema = list(scripts), df.select(id).schema
@@ -72,16 +74,23 @@ def script_census(df: DataFrame, id: str, text: str, scripts: dict[str, str] = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_code = np.repeat(kind, np.diff(np.append(begins, LAST + 1)))
         for batch in batches:
-            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))  # about 4 MB of text at a time
+            step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
+                found = np.zeros((part.num_rows, len(members)), np.int64)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-                row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-                found = np.bincount(row * len(members) + by_code[codes], minlength=len(texts) * len(members)).reshape(len(texts), -1)
+                ends = np.cumsum([len(t) for t in texts])
+                whole = "".join(texts)
+                for first in range(0, len(whole), SLICE):
+                    codes = np.frombuffer(whole[first : first + SLICE].encode("utf-32-le"), np.uint32)
+                    low, high = np.searchsorted(ends, (first, first + len(codes) - 1), side="right")
+                    own = np.diff(np.clip(ends[low : high + 1], first, first + len(codes)), prepend=first)
+                    row = np.repeat(np.arange(len(own)), own)
+                    found[low : high + 1] += np.bincount(row * len(members) + by_code[codes], minlength=len(own) * len(members)).reshape(len(own), -1)
                 n = found @ members.astype(np.int64)
                 i, k = np.nonzero(n)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array([names[x] for x in k], pa.string()), pa.array(n[i, k], pa.int64())], [id, "script", "n"])
+        pa.default_memory_pool().release_unused()
 
     return df.select(id, text).mapInArrow(run, schema.add("script", "string").add("n", "long"))
 

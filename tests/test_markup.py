@@ -137,3 +137,29 @@ def test_scripts_in_one_pass(spark):
     assert got == {(1, "latin", 3), (1, "greek", 2), (1, "digits", 2), (1, "hebrew", 4), (1, "han", 2), (4, "latin", 2), (None, "cyrillic", 1)}
     both = census.script_census(df, "id", "t", {"letters": r"\p{L}", "latin": r"\p{IsLatin}"})
     assert {(r.script, r.n) for r in both.where("id = 1").collect()} == {("letters", 11), ("latin", 3)}
+
+
+def test_script_census_of_long_texts_in_slices(spark, monkeypatch):
+    """Python's memory for a long text is that of a slice besides the text itself."""
+    monkeypatch.setattr(census, "SLICE", 7)
+    texts = ["", None, "abc" * 9 + "é1", "", "дд1", "x" * 7, "", "я" * 30 + "9", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    got = {(r.id, r.script): r.n for r in census.script_census(df, "id", "t").collect()}
+    assert got == {(2, "latin"): 28, (2, "digits"): 1, (4, "cyrillic"): 2, (4, "digits"): 1, (5, "latin"): 7, (7, "cyrillic"): 30, (7, "digits"): 1}
+
+
+def test_script_census_memory(spark):
+    """A text of 8 million characters needs under 64 MB of arrays besides itself."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    made = []
+    census_rows = type("Rows", (), {"select": lambda self, *c: self, "schema": spark.range(1).schema, "mapInArrow": lambda self, run, schema: made.append(run)})()
+    census.script_census(census_rows, "id", "t")
+    batch = pa.RecordBatch.from_pydict({"id": [1], "t": ["a" * 8_000_000]})
+    tracemalloc.start()
+    rows = [r for b in made[0](iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [{"id": 1, "script": "latin", "n": 8_000_000}] and peak < 64e6, peak
