@@ -243,11 +243,17 @@ def graph(rows: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFra
     return words, pairs, written(edges)
 
 
-def flow(edges: DataFrame) -> DataFrame:
-    """(lang, phrase, n): the occurrences of all phrases of three words or more with which edges begin."""
+def flow(edges: DataFrame, longest: int) -> DataFrame:
+    """(lang, phrase, n): the occurrences of all phrases of three words or more with which edges begin. Those of
+    k words are the sums of those of k + 1 that begin with them and of edges that end there."""
     w = F.split("phrase", " ")
-    begins = F.transform(F.sequence(F.lit(3), F.size(w)), lambda k: F.array_join(F.slice(w, 1, k), " "))
-    return edges.select("lang", "n", F.explode(begins).alias("phrase")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    sized = edges.withColumn("size", F.size(w))
+    out = level = sized.where(F.col("size") == longest).drop("size")
+    for k in range(longest - 1, 2, -1):
+        begins = level.select("lang", F.array_join(F.slice(w, 1, k), " ").alias("phrase"), "n")
+        level = begins.unionByName(sized.where(F.col("size") == k).drop("size")).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        out = out.unionByName(level)
+    return out
 
 
 #: floor(1000 * a * n / (l * r)), exactly: products have up to 38 digits, and div leaves no fraction to round.
@@ -265,7 +271,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, most: int
     further columns are ignored.
     """
     words, pairs, edges = graph(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text"), least, longest)
-    own = written(pairs.unionByName(flow(edges).where(F.col("n") >= least)))
+    own = written(pairs.unionByName(flow(edges, longest).where(F.col("n") >= least)))
     known = own.unionByName(words.where("word is not null").select("lang", F.col("word").alias("phrase"), "n"))
     w = F.split("phrase", " ")
     part = lambda a, b: F.array_join(F.slice(w, a, b), " ")

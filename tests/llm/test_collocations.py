@@ -97,3 +97,12 @@ def test_bitmap_holds_every_hash_and_few_others(spark):
     found = collocations.Bitmap(collocations.bitmap(df))
     assert found.has(own).all() and found.has(other).sum() <= 20
     assert not collocations.Bitmap(collocations.bitmap(df.where("false"))).has(own).any()
+
+
+def test_flow_adds_up_level_by_level(spark):
+    """Shorter phrases are sums of those one word longer; no edge is made into rows of all its beginnings."""
+    edges = spark.createDataFrame([("en", "a b c d e", 3), ("en", "a b c d f", 2), ("en", "a b c d", 1), ("en", "a b c x y", 5), ("en", "a b c", 7), ("de", "a b c", 1)], "lang string, phrase string, n long")
+    made = collocations.flow(edges, 5)
+    got = {(r.lang, r.phrase): r.n for r in made.collect()}
+    assert got == {("en", "a b c d e"): 3, ("en", "a b c d f"): 2, ("en", "a b c x y"): 5, ("en", "a b c d"): 6, ("en", "a b c x"): 5, ("en", "a b c"): 18, ("de", "a b c"): 1}
+    assert "Generate" not in made._jdf.queryExecution().toString()
