@@ -131,3 +131,13 @@ def written(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the folders of tables made by `written`, which nothing may read any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("table-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -18,7 +18,7 @@ Fourteen bands of five rows: similarity 0.8 collides with probability 1 - (1 - 0
 0.999998, 0.4 with 0.13. Pieces aren't banded, as there equal and similar are nearly the same: a changed word
 costs five shingles on either side, so similarity 0.8 takes 49 words, and fewer can only differ at an end.
 
-A bucket of FEW classes or fewer is checked pair by pair. In a larger one a class leads, the one that is in
+In a bucket of FEW classes or fewer all are checked against its first. In a larger one a class leads, the one that is in
 most large buckets (what others are copies of shares more bands with them than they do with each other), and
 every class is checked against it; those unlike it choose a leader again and are checked against that one,
 and so on until a round links under a tenth of what is left. Those classes are then dealt out anew by bands of
@@ -32,11 +32,14 @@ e = log(0.8) / log(s). Rows of a frequent
 band are thinned to one where they are made, so no task gets a whole bucket.
 
 Bands and leaders miss some links. So each line's smallest shingles by hash, a fifth and one, are its prefix: two
-lines of similarity 0.8 share a shingle of their prefixes, whatever the order (prefix filtering, exact). Prefixes
-of FEW classes or fewer are checked pair by pair along with the bands. Classes of more frequent ones that the
-links so far leave in several components get prefixes by a second order, frequent shingles last, and pairs of
-different components that share one there are checked if sizes and positions allow 0.8; a frequent shingle's
-classes are compared by blocks of BLOCK. So components are those of all links.
+lines of similarity 0.8 share a shingle of their prefixes, whatever the order (prefix filtering, exact). A shingle
+whose classes the links so far leave in several components is open. Classes of open ones of FEW classes or fewer
+meet there; those of more frequent ones get prefixes by a second order, frequent shingles last, and meet by these,
+by blocks of BLOCK. Where classes meet, pairs of different components are compared by sizes, places and parities:
+a parity tells of each of BITS parts of all hashes whether a set has an odd number there, so two sets differ in as
+many shingles at least as their parities in bits, and at similarity 0.8 in a ninth of both sizes together at most
+(exact too). No pair leaves the task: classes that may have a partner meet once more with their sets, and of each
+meeting come the links that join its components, fewer than its classes. So components are those of all links.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, map_columns, parts, release, words, written
+from .common import WORD_BYTES, dropped, map_columns, parts, release, words, written
 from .components import components
 from .repeated_bytes import powers, sliding_minimum
 
@@ -63,10 +66,10 @@ AGAIN_ROWS, STEP = 10, 5
 #: Bits of a sketch, and how many of them agree in pairs that are checked: 0.9 at similarity 0.8, less four
 #: standard deviations.
 SKETCH, AGREE = 256, 211
-#: Words on either side of a cut; classes of a bucket that are checked pair by pair; see `cuts`.
+#: Words on either side of a cut; classes of a bucket that are checked against its first; see `cuts`.
 REACH, FEW = 8, 16
-#: Classes of a frequent shingle that are compared with all others of it at a time.
-BLOCK = 1024
+#: Classes of a frequent shingle that are compared with all others of it at a time; bits of a parity.
+BLOCK, BITS = 1024, 256
 #: Frequent shingles that are sent to all tasks with their counts.
 MOST = 1 << 20
 RUN = 16
@@ -127,9 +130,9 @@ def cuts(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Units:
     """The paragraphs of some texts: of which text, whether a line, first word within the text, words,
-    first word within `h`, which has the hashes of all words."""
+    first word within `h`, which has the hashes of all words. Without pieces: lines alone."""
 
-    def __init__(self, texts: list[bytes], least_words: int):
+    def __init__(self, texts: list[bytes], least_words: int, pieces: bool = True):
         all_words, begin, lines = [], [], []
         for i, t in enumerate(texts):
             start = len(all_words)
@@ -141,10 +144,10 @@ class Units:
             begin.append(start)
         self.h = word_hashes(all_words)
         begin_, end = np.array(begin, np.int64), np.array([*begin[1:], len(all_words)], np.int64)
-        full = end > begin_
+        full = (end > begin_) & pieces
         owner = np.flatnonzero(full)
         start, nth = cuts(self.h, begin_[full]) if len(owner) else np.zeros((2, 0), np.int64)
-        size = np.diff(np.append(start, len(self.h)))
+        size = np.diff(np.append(start, len(self.h))) if len(owner) else start
         text = owner[np.searchsorted(begin_[full], start, side="right") - 1] if len(owner) else start
         keep = size >= SHINGLE
         start, size, text, nth = start[keep], size[keep], text[keep], nth[keep]
@@ -208,7 +211,7 @@ def prefix_length(n: np.ndarray, least: float) -> np.ndarray:
     return n - np.ceil(least * n - 1e-6).astype(np.int64) + 1
 
 
-def chunks(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[tuple[pa.RecordBatch, Units]]:
+def chunks(batches: Iterator[pa.RecordBatch], least_words: int, pieces: bool = True) -> Iterator[tuple[pa.RecordBatch, Units]]:
     """Rows (columns ending with the text) and their paragraphs, some CHUNK words at a time."""
     for batch in (part for b in batches for part in parts(b)):
         texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
@@ -218,33 +221,32 @@ def chunks(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[tupl
             while end < len(texts) and (end == at or total < 6 * CHUNK):
                 total += len(texts[end])
                 end += 1
-            yield batch.slice(at, end - at), Units(texts[at:end], least_words)
+            yield batch.slice(at, end - at), Units(texts[at:end], least_words, pieces)
             at = end
     release()
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.bool_()), ("first", pa.int32()), ("size", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64()), ("shingles", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-FOUND_SQL = "doc_id long, text_key long, line boolean, first int, size int, n1 long, n2 long, shingles int, prefix array<long>"
+FOUND = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.bool_()), ("first", pa.int32()), ("size", pa.int32()), ("n1", pa.int64()), ("n2", pa.int64())])
+FOUND_SQL = "doc_id long, text_key long, line boolean, first int, size int, n1 long, n2 long"
 
 
-def paragraphs(docs: DataFrame, least_words: int, least: float = 0.8) -> DataFrame:
-    """The paragraphs of each row of docs (doc_id, text_key, text), by name (n1, n2); of lines also the number
-    of their shingles and their prefix."""
+def paragraphs(docs: DataFrame, least_words: int) -> DataFrame:
+    """The paragraphs of each row of docs (doc_id, text_key, text), by name (n1, n2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, u in chunks(batches, least_words):
             row = pa.array(u.text)
-            n, prefix = u.prefixes(least)
-            rest = len(u.text) - len(n)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(row), batch.column(1).take(row), pa.array(u.line), pa.array(u.first.astype(np.int32)), pa.array(u.size.astype(np.int32)), *map(pa.array, u.names()),
-                pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(rest, pa.int32())]), pa.concat_arrays([prefix, pa.nulls(rest, prefix.type)]),
             ], schema=FOUND)
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, FOUND_SQL)
 
 
-BANDED = pa.schema([("band", pa.int64()), ("name", pa.int64()), ("large", pa.bool_()), ("stays", pa.bool_())])
+BANDED = pa.schema([("band", pa.int64()), ("name", pa.int64()), ("kind", pa.int64())])
+#: Kinds of rows: bands, those that are large, and those of them that stay; of prefixes the number of the line's
+#: shingles, times 2**32, and the place.
+BAND, LARGE, STAYS = -1, -2, -3
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -256,14 +258,18 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def banded(docs: DataFrame, least_words: int) -> DataFrame:
-    """(band, name, large, stays): each band of each line's class, once for each chunk of rows.
+def banded(docs: DataFrame, least_words: int, least: float) -> DataFrame:
+    """(band, name, kind): each band of each line's class, once for each chunk of rows, and each shingle of its
+    prefix (as band).
 
     A band of over FEW classes in a chunk is large: these rows stay, and one of them goes on to the others.
     """
 
+    def batch(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], schema=BANDED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, u in chunks(batches, least_words):
+        for _, u in chunks(batches, least_words, pieces=False):
             n1, _ = u.names()
             for band in u.bands():
                 name = n1[: len(band)]
@@ -279,43 +285,67 @@ def banded(docs: DataFrame, least_words: int) -> DataFrame:
                 goes = np.flatnonzero(~large | first)
                 stays = np.flatnonzero(large)
                 rows = np.concatenate([goes, stays])
-                yield pa.RecordBatch.from_arrays([pa.array(band[rows]), pa.array(name[rows]), pa.array(large[rows]), pa.array(np.arange(len(rows)) >= len(goes))], schema=BANDED)
+                kind = np.where(np.arange(len(rows)) < len(goes), np.where(large[rows], LARGE, BAND), STAYS)
+                yield batch(band[rows], name[rows], kind)
+            n, prefix = u.prefixes(least)
+            name, once = np.unique(n1[: len(n)], return_index=True)
+            prefix = prefix.take(pa.array(once))
+            long = np.diff(prefix.offsets.to_numpy())
+            place = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            yield batch(prefix.flatten().to_numpy(), np.repeat(name, long), (np.repeat(n[once], long) << 32) + place)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "band long, name long, large boolean, stays boolean")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "band long, name long, kind long")
 
 
-CANDIDATES = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+CANDIDATES = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("shingles", pa.int32()), ("place", pa.int32())])
 
 
 def candidates(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Rows (band, name, large, stays) sorted by stays, band and name -> pairs (null, a, b) of small buckets,
-    and the members (bucket, a, null) of large ones, such as all rows that stay. About `most` rows wait."""
+    """Rows (band, name, kind) sorted by band -> pairs (null, a, b) of the first of small buckets with each other
+    one, and the members (bucket, a, null) of large ones, such as all rows that stay. About `most` rows wait. And
+    prefixes of several classes (shingle, a, null, shingles, place), some of them twice."""
 
     def found(t: pa.Table, all_large: bool = False) -> pa.RecordBatch:
-        band, name, large = (t.column(c).to_numpy() for c in ("band", "name", "large"))
-        known = set(band[large].tolist())
+        band, name, kind = (t.column(c).to_numpy() for c in ("band", "name", "kind"))
+        known = set(band[kind != BAND].tolist())
+        order = np.lexsort((name, band))
+        band, name = band[order], name[order]
         once = _starts(band, name)
         band, name = band[once], name[once]
         group = _starts(band)
         size = np.diff(np.append(group, len(band)))
-        buckets, a, b = [], [], []
         many = (size > FEW) | np.isin(band[group], list(known)) | all_large
         rows = np.flatnonzero(np.repeat(many, size))
-        for g in np.flatnonzero((size > 1) & ~many):
-            own = name[group[g] : group[g] + size[g]].tolist()
-            a += [x for i, x in enumerate(own) for _ in own[i + 1 :]]
-            b += [y for i, _ in enumerate(own) for y in own[i + 1 :]]
-        buckets = band[rows].tolist() + [None] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(name[rows].tolist() + a, pa.int64()), pa.array([None] * len(rows) + b, pa.int64())], schema=CANDIDATES)
+        first = np.repeat(name[group], size)
+        pair = np.flatnonzero((first != name) & np.repeat(~many, size))
+        none = pa.nulls(len(rows) + len(pair), pa.int32())
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(band[rows]), pa.nulls(len(pair), pa.int64())]), pa.array(np.concatenate([name[rows], first[pair]])),
+            pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(name[pair])]), none, none,
+        ], schema=CANDIDATES)
+
+    def shared(t: np.ndarray, last: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Prefixes of several classes among columns band, name and kind; those of the last one, which may go on."""
+        t = np.concatenate([last, t], 1)
+        t = t[:, np.lexsort(t[1::-1])]
+        t = t[:, _starts(t[0], t[1])]
+        group = _starts(t[0])
+        size = np.diff(np.append(group, t.shape[1]))
+        last = t[:, group[-1] : group[-1] + 2]  # two suffice to tell that there are several
+        t = t[:, np.repeat(size > 1, size)]
+        none = pa.nulls(t.shape[1], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), none, pa.array(t[2] >> 32, pa.int32()), pa.array(t[2] & 0xFFFFFFFF, pa.int32())], schema=CANDIDATES), last
 
     wait: list[pa.RecordBatch] = []
-    hot = None
+    hot, last = None, np.zeros((3, 0), np.int64)
     for batch in batches:
-        stay = batch.column("stays").to_numpy(zero_copy_only=False)
-        if stay.any():
-            t = pa.Table.from_batches([batch.filter(pa.array(stay))])
-            yield found(t, True)
-            batch = batch.filter(pa.array(~stay))
+        kind = batch.column("kind").to_numpy()
+        if (kind >= 0).any():
+            made, last = shared(np.stack([x.to_numpy()[kind >= 0] for x in batch.columns]), last)
+            yield made
+        if (kind == STAYS).any():
+            yield found(pa.Table.from_batches([batch.filter(pa.array(kind == STAYS))]), True)
+        batch = batch.filter(pa.array((kind == BAND) | (kind == LARGE)))
         wait += [batch.slice(at, most) for at in range(0, batch.num_rows, most)]
         if sum(x.num_rows for x in wait) < most:
             continue
@@ -345,23 +375,32 @@ def candidates(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterato
 
 
 def shingle_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(name, own): the distinct shingles, as bytes of sorted 64-bit numbers, of the paragraphs at the given
-    places (name, doc_id, text_key, first, size) of docs (doc_id, text_key, text)."""
-    wanted = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("name", "first", "size")).alias("at"))
-    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__at"), "at")
-    texts = docs.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    """(name, own, bits): the distinct shingles, as bytes of sorted 64-bit numbers, of the paragraphs at the given
+    places (name, doc_id, text_key, first, size) of docs (doc_id, text_key, text), and their parities."""
+    def by_row(df: DataFrame) -> DataFrame:  # keys without nulls, so texts are shuffled once
+        return df.withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("none", F.col("doc_id").isNull())
+
+    keys = ["id", "none", "text_key"]
+    wanted = by_row(places).groupBy(keys).agg(F.collect_list(F.struct("name", "first", "size")).alias("at"))
+    texts = by_row(docs).repartition(*keys).groupBy(keys).agg(F.first("text").alias("text"))
 
     def run(texts_: list, at: list) -> list:
-        names, own = [], []
+        names, own, bits = [], [], []
         for t, want in zip(texts_, at, strict=True):
             w = words(t or b"")
             for x in want:
                 names.append(x["name"])
-                own.append(np.unique(shingles(word_hashes(w[x["first"] : x["first"] + x["size"]]))).tobytes())
-        return [names, own]
+                own.append(np.unique(shingles(word_hashes(w[x["first"] : x["first"] + x["size"]]))))
+                bits.append(parity(own[-1]))
+        return [names, [x.tobytes() for x in own], bits]
 
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__at")))
-    return map_columns(found, ["text", "at"], run, "name long, own binary", pa.schema([("name", pa.int64()), ("own", pa.binary())]))
+    return map_columns(texts.join(wanted, keys), ["text", "at"], run, "name long, own binary, bits array<long>", pa.schema([("name", pa.int64()), ("own", pa.binary()), ("bits", pa.list_(pa.int64()))]))
+
+
+def parity(own: np.ndarray) -> list:
+    """Of each of BITS parts of all hashes, whether a set has an odd number there; as longs."""
+    odd = np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -385,7 +424,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(keep).cast(LINKS)
         release()
 
-    rows = pairs.join(sets.withColumnRenamed("name", "a"), "a").join(sets.select(F.col("name").alias("b"), F.col("own").alias("other")), "b")
+    rows = pairs.join(sets.select(F.col("name").alias("a"), "own"), "a").join(sets.select(F.col("name").alias("b"), F.col("own").alias("other")), "b")
     return rows.select("a", "b", "own", "other").mapInArrow(run, "a long, b long")
 
 
@@ -506,16 +545,92 @@ def led(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         rows += STEP
 
 
-def sharing(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of rows (token, name, component, shingles, place, blocks) that share a token and, by their
-    sizes and places, may be similar; those of one component aren't made. A token's rows meet in so many blocks."""
-    own = rows.withColumn("block", F.expr("cast(pmod(xxhash64(name), blocks) as int)"))
-    other = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("name").alias("b"), F.col("component").alias("c"), F.col("shingles").alias("n"), F.col("place").alias("at"))
-    both = least / (1 + least) * (F.col("shingles") + F.col("n")) - 1e-6
-    return own.join(other, ["token", "block"]).where(
-        (F.col("name") < F.col("b")) & (F.col("component") != F.col("c")) & (F.least(F.col("shingles") - F.col("place"), F.col("n") - F.col("at")) >= both)
-        & (F.least("shingles", "n") >= least * F.greatest("shingles", "n") - 1e-6)
-    ).select(F.col("name").alias("a"), "b").distinct()
+class Meeting:
+    """Rows (bucket, name, component, shingles, place, bits) sorted by bucket, some whole buckets at a time."""
+
+    def __init__(self, t: pa.Table):
+        self.name, self.component, self.shingles, self.place = (t.column(c).to_numpy() for c in ("name", "component", "shingles", "place"))
+        self.bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)  # of signed numbers NumPy counts the bits of the absolute value
+        self.begin = _starts(t.column("bucket").to_numpy())
+        self.size = np.diff(np.append(self.begin, t.num_rows))
+
+    def may(self, x: np.ndarray | int, y: np.ndarray | slice, least: float) -> np.ndarray:
+        """Whether rows of different components may be similar, by sizes, places and parities."""
+        both = self.shingles[x] + self.shingles[y]
+        left = np.minimum(self.shingles[x] - self.place[x], self.shingles[y] - self.place[y])
+        good = (self.component[x] != self.component[y]) & (left >= least / (1 + least) * both - 1e-6)
+        return good & (np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(1) <= (1 - least) / (1 + least) * both + 1e-6)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket in tables that cut no bucket."""
+    wait: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if b.num_rows):
+        bucket = batch.column("bucket").to_numpy()
+        first = int(np.argmax(bucket != bucket[0])) if bucket[0] != bucket[-1] else 0
+        end = int(_starts(bucket)[-1])
+        if wait and wait[-1].column("bucket")[0].as_py() != bucket[0]:
+            yield pa.Table.from_batches(wait)
+            wait = []
+        if end:
+            yield pa.Table.from_batches([*wait, batch.slice(0, first)])
+            if end > first:
+                yield pa.Table.from_batches([batch.slice(first, end - first)])
+            wait = []
+        wait.append(batch.slice(end))
+    if wait:
+        yield pa.Table.from_batches(wait)
+
+
+PARTNERS = pa.schema([("bucket", pa.int64()), ("name", pa.int64()), ("component", pa.int64())])
+
+
+def partners(least: float):
+    """Of rows (bucket, name, component, shingles, place, bits) sorted by bucket those that may be similar to
+    one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_buckets(batches):
+            m = Meeting(t)
+            hit = np.zeros(t.num_rows, bool)
+            small = np.repeat(m.size <= FEW, m.size)
+            of = np.repeat(np.arange(len(m.size)), m.size)
+            for lag in range(1, min(FEW, int(m.size.max()))):
+                x = np.flatnonzero((of[lag:] == of[:-lag]) & small[lag:])
+                x = x[m.may(x, x + lag, least)]
+                hit[x] = hit[x + lag] = True
+            for g, n in zip(m.begin[m.size > FEW].tolist(), m.size[m.size > FEW].tolist(), strict=True):
+                for x in range(g, g + n - 1):
+                    may = m.may(x, slice(x + 1, g + n), least)
+                    hit[x] |= may.any()
+                    hit[x + 1 : g + n] |= may
+            yield from t.select(PARTNERS.names).filter(pa.array(hit)).cast(PARTNERS).to_batches()
+        release()
+
+    return run
+
+
+def joined(least: float):
+    """Of rows (bucket, name, component, own, shingles, place, bits) sorted by bucket the links (a, b) that join
+    the components of similar rows of each bucket, fewer than its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_buckets(batches):
+            m, links = Meeting(t), []
+            own = [np.frombuffer(x, np.uint64) for x in t.column("own").to_pylist()]
+            m.component = m.component.copy()
+            for g, n in zip(m.begin.tolist(), m.size.tolist(), strict=True):
+                of = m.component[g : g + n]
+                for x in range(g, g + n - 1):
+                    for y in (x + 1 + np.flatnonzero(m.may(x, slice(x + 1, g + n), least))).tolist():
+                        if m.component[x] != m.component[y] and similar(own[x], own[y], least):
+                            links.append((m.name[x], m.name[y]))
+                            of[of == m.component[y]] = m.component[x]
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=LINKS)
+        release()
+
+    return run
 
 
 def by_rarity(sets: DataFrame, counted: DataFrame, least: float) -> DataFrame:
@@ -541,16 +656,34 @@ def by_rarity(sets: DataFrame, counted: DataFrame, least: float) -> DataFrame:
     return each.select("name", "component", "shingles", F.posexplode("tokens").alias("place", "token"))
 
 
-def missed(frequent: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between classes with a shingle in common in frequent (token, name, many) that `links` leaves apart."""
+def open_tokens(rows: DataFrame) -> DataFrame:
+    """(token, many) of rows (token, component): the tokens in several components."""
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token", "many")
+
+
+def missed(tokens: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), written, between classes with a shingle in common in tokens (token, name, shingles, place),
+    such as `links` leaves apart."""
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = components(links).withColumnRenamed("node", "name")
-    members = frequent.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    apart = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = members.join(apart, "token", "left_semi").select("name", "component").distinct()
-    rows = written(by_rarity(sets.join(open_, "name"), frequent.select("token", "many").distinct(), least))
-    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = rows.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "token")
-    return verified(written(sharing(rows, least)), sets, least)
+    rows = tokens.join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    rows = written(rows.join(open_tokens(rows), "token"))
+    frequent = rows.where(F.col("many") > FEW)
+    columns = ["bucket", "name", "component", "shingles", "place"]
+    meet = rows.where(F.col("many") <= FEW).withColumn("bucket", F.col("token")).select(columns)
+    again = None
+    if not frequent.isEmpty():
+        known = sets.join(frequent.select("name", "component").distinct(), "name")
+        again = written(by_rarity(known, frequent.select("token", "many").distinct(), least))
+        dealt = again.join(open_tokens(again), "token").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+        dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(name), blocks) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        meet = meet.unionByName(dealt.withColumn("bucket", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))).select(columns))
+    found = meet.join(sets.select("name", "bits"), "name").repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = written(found.mapInArrow(partners(least), "bucket long, name long, component long"))
+    whole = found.join(sets, "name").withColumn("shingles", F.expr("cast(length(own) / 8 as int)")).withColumn("place", F.lit(0))
+    made = written(whole.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(joined(least), "a long, b long").distinct())
+    dropped(rows, found, *([again] if again else []))
+    return made
 
 
 def repeats(docs: DataFrame, least_words: int = 20, least_similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -559,25 +692,19 @@ def repeats(docs: DataFrame, least_words: int = 20, least_similarity: float = 0.
     All: doc_id, text_key, line, first, size, n1, n2. Repeated: the same and stays (struct: doc_id,
     text_key, first; the paragraph that stays of its component) and removed (it isn't that one).
     """
-    found = written(paragraphs(docs, least_words, least_similarity))
+    found = written(paragraphs(docs, least_words))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bands = banded(docs, least_words)
+    bands = banded(docs, least_words, least_similarity)
     rows = written(
-        bands.repartition(n, F.when(F.col("stays"), F.xxhash64("band", "name")).otherwise(F.col("band")))
-        .sortWithinPartitions("stays", "band", "name").mapInArrow(candidates, "bucket long, a long, b long").distinct()
+        bands.repartition(n, F.when(F.col("kind") == STAYS, F.xxhash64("band", "name")).otherwise(F.col("band")))
+        .sortWithinPartitions("band").mapInArrow(candidates, "bucket long, a long, b long, shingles int, place int")
     )
-    lines = found.where("line").groupBy(F.col("n1").alias("name")).agg(F.first("shingles").alias("shingles"), F.first("prefix").alias("prefix"))
-    found = found.drop("shingles", "prefix")
-    tokens = written(lines.select("name", "shingles", F.posexplode("prefix").alias("place", "token")))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = written(tokens.join(shared, "token").withColumn("component", F.col("name")).withColumn("blocks", F.lit(1)))
-    frequent = shared.where(F.col("many") > FEW).select("token", "name", "many")
-    pairs = rows.where("bucket is null").select("a", "b").unionByName(sharing(shared.where(F.col("many") <= FEW), least_similarity))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    members = rows.where("bucket is not null").select("bucket", F.col("a").alias("name"))
-    names = pairs.select(F.explode(F.array("a", "b")).alias("n1")).unionByName(members.select(F.col("name").alias("n1"))).unionByName(frequent.select(F.col("name").alias("n1"))).distinct()
+    tokens = rows.where("shingles is not null").select(F.col("bucket").alias("token"), F.col("a").alias("name"), "shingles", "place")
+    pairs = rows.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = rows.where("bucket is not null and shingles is null").select("bucket", F.col("a").alias("name"))
+    names = rows.select(F.col("a").alias("n1")).unionByName(rows.where("bucket is null").select(F.col("b").alias("n1"))).distinct()
     at = F.struct("doc_id", "text_key", "first")
-    classes = found.groupBy("n1", "n2").agg(
+    classes = found.repartition("n1", "n2").groupBy("n1", "n2").agg(
         F.count(F.lit(1)).alias("n"), F.min(at).alias("stays"), F.min(F.struct("doc_id", "text_key", "first", "size")).alias("place"),
     ).join(names.withColumn("collides", F.lit(True)), "n1", "left")
     known = written(classes.where("n > 1 or collides"))
@@ -588,9 +715,10 @@ def repeats(docs: DataFrame, least_words: int = 20, least_similarity: float = 0.
     if not members.isEmpty():
         members = members.join(sets.select("name"), "name", "left_semi")
         links = links.unionByName(led(members, sets, least_similarity))
-    if not frequent.isEmpty():
-        links = written(links)
-        links = links.unionByName(missed(frequent, links, sets, least_similarity))
+    links = written(links)
+    if not tokens.isEmpty():
+        links = links.unionByName(missed(tokens.join(sets.select("name"), "name", "left_semi"), links, sets, least_similarity))
+    dropped(rows, sets)
     groups = components(links).withColumnRenamed("node", "n1")
     known = known.join(groups, "n1", "left").where("n > 1 or component is not null")
     whole = F.struct(F.coalesce("component", "n1").alias("n1"), F.when(F.col("component").isNull(), F.col("n2")).alias("n2"))

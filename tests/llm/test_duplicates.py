@@ -393,3 +393,29 @@ def test_prefixes_meet():
     assert n.tolist() == [len(x) for x in own] and all(len(p) <= len(x) // 5 + 1 for p, x in zip(prefix, own, strict=True))
     near = [(x, y) for y in range(len(own)) for x in range(y) if 5 * len(own[x] & own[y]) >= 4 * len(own[x] | own[y])]
     assert len(near) > 150 and all(prefix[x] & prefix[y] for x, y in near)
+
+
+def test_rows_of_a_group_are_linear():
+    """A bucket of n classes makes n - 1 pairs, and n similar classes that meet make n - 1 links: no pair of all."""
+    import pyarrow as pa
+
+    n = 16
+    rows = [(5, k, -1) for k in range(n)] + [(9, k, (40 << 32) + 3) for k in range(n)] + [(11, 1, (40 << 32) + 3)]
+    banded = pa.table([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["band", "name", "kind"])
+    for size in (3, 100):
+        made = {(r["bucket"], r["a"], r["b"], r["shingles"]) for b in paragraphs.candidates(iter(banded.to_batches(size))) for r in b.to_pylist()}
+        assert {r for r in made if r[0] is None} == {(None, 0, k, None) for k in range(1, n)}
+        assert {r for r in made if r[0] is not None} == {(9, k, None, 40) for k in range(n)}
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+    own = [np.unique(np.append(base[: 90 - k % 5], rng.integers(0, 1 << 63, k % 5, dtype=np.uint64))) for k in range(30)]
+    own += [rng.integers(0, 1 << 63, 90, dtype=np.uint64) for _ in range(10)]
+    name = list(range(40))
+    bits = pa.array([paragraphs.parity(x) for x in own], pa.list_(pa.int64()))
+    t = pa.table({"bucket": [7] * 40, "name": name, "component": name, "shingles": pa.array([len(x) for x in own], pa.int32()), "place": pa.array([0] * 40, pa.int32()), "bits": bits, "own": [np.sort(x).tobytes() for x in own]})
+    for size in (6, 100):
+        may = [r["name"] for b in paragraphs.partners(0.8)(iter(t.to_batches(size))) for r in b.to_pylist()]
+        assert may == name[:30]
+        links = [(r["a"], r["b"]) for b in paragraphs.joined(0.8)(iter(t.to_batches(size))) for r in b.to_pylist()]
+        assert len(links) == 29 and set(classes(links, name).values()) == {0, *range(30, 40)}
